@@ -150,15 +150,16 @@ def normalize_phones(phones: DataFrame, rollout: DataFrame) -> DataFrame:
         .withColumn("_home", F.coalesce(F.upper(F.trim("country")) == "BR", F.lit(False)))
         .withColumn("_explicit", F.coalesce(F.trim("country") != "", F.lit(False)))
         .withColumn("_plus", F.startswith("_compact", F.lit("+")))
+        .withColumn("_dialled", F.startswith("_compact", F.lit("+55")))
         .withColumn(
-            "_certain", F.when(F.col("_explicit"), F.col("_home")).otherwise(F.startswith("_compact", F.lit("+55")))
+            "_certain", F.when(F.col("_explicit"), F.col("_home")).otherwise(F.col("_dialled"))
         )
         .withColumn(
             "_local_only", F.col("area").isNotNull() & ~F.col("_plus") & F.length("_compact").isin(8, 9)
         )
         .withColumn(
             "_national",
-            F.when(F.startswith("_compact", F.lit("+55")), F.substring("_compact", 4, 40))
+            F.when(F.col("_dialled"), F.substring("_compact", 4, 40))
             .when(F.col("_local_only"), F.concat("area", "_compact"))
             .when(~F.col("_plus"), F.col("_compact")),
         )
@@ -175,7 +176,9 @@ def normalize_phones(phones: DataFrame, rollout: DataFrame) -> DataFrame:
         .when(F.col("_inline") != F.col("_given"), "conflicting_extensions")
         .when(~F.col("_body").rlike(r"\A\+?[0-9\s().-]+\z"), "unsupported_characters")
         .when(F.col("_local_only") & ~F.col("_certain"), "country_required_for_ddd")
-        .when(F.col("_explicit") & (F.col("_home") != (~F.col("_plus") | F.startswith("_compact", F.lit("+55")))), "country_conflict")
+        .when(F.col("_explicit") & ~F.col("_home"), "country_not_covered")
+        .when(F.col("_home") & F.col("_plus") & ~F.col("_dialled"), "country_conflict")
+        .when(F.col("_plus") & ~F.col("_dialled"), "country_not_covered")
         .when(F.col("_area").isNotNull() & (F.col("area") != F.col("_area")), "ddd_conflict")
         .when(F.col("rollout_date").isNull(), "missing_or_invalid_ddd")
         .when(short & (first == "7"), "specialized_or_legacy_radio")

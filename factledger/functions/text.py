@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Every character a Unicode-aware regular expression calls white space.
 SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Case- and accent-insensitive form: decompose, casefold, drop marks."""
 
@@ -25,7 +26,7 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sort_text(text: pd.Series) -> pd.Series:
     """Ordering form: canonical composition around a casefold, code-point order."""
 
@@ -37,7 +38,7 @@ def sort_text(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 

@@ -6,6 +6,8 @@ from factledger.plans.registry import ORACLES, QUERIES
 
 FAMILIES = (
     "state_queries",
+    "normalize_queries",
+    "search_queries",
 )
 
 for family in FAMILIES:
