@@ -8,6 +8,7 @@ FAMILIES = (
     "state_queries",
     "normalize_queries",
     "search_queries",
+    "load_queries",
 )
 
 for family in FAMILIES:
