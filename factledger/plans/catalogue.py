@@ -9,6 +9,10 @@ FAMILIES = (
     "normalize_queries",
     "search_queries",
     "load_queries",
+    "identity_queries",
+    "bulk_queries",
+    "catalog_queries",
+    "proof_queries",
 )
 
 for family in FAMILIES:

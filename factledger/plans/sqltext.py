@@ -102,10 +102,10 @@ flag_state AS (
 
 IDREC = """
 idrec AS (
-  SELECT o_orderkey AS record, 'C' || o_custkey AS source_key,
-         CASE WHEN o_orderkey % 3 <> 0 THEN 'D' || (CAST(round(o_totalprice * 100) AS BIGINT) % 1000) END AS doc_key,
+  SELECT o_orderkey AS record, 'C' || o_custkey || '.' || (o_orderkey % 4) AS source_key,
+         CASE WHEN o_orderkey % 3 <> 0 THEN 'D' || (CAST(round(o_totalprice * 100) AS BIGINT) % 100003) END AS doc_key,
          o_orderkey AS arrival
-  FROM orders WHERE o_orderkey % 40 = 0)"""
+  FROM orders)"""
 
 
 def with_(fixture: str, body: str, recursive: bool = False) -> str:

@@ -144,10 +144,10 @@ class Tables:
     def idrec(self) -> DataFrame:
         """Every order as a source record with a source and a document key."""
         key = F.col("o_orderkey")
-        doc = F.pmod(F.round(F.col("o_totalprice") * 100).cast("long"), F.lit(1000))
-        return self.orders.filter(key % 40 == 0).select(
+        doc = F.round(F.col("o_totalprice") * 100).cast("long") % 100003
+        return self.orders.select(
             key.alias("record"),
-            F.concat(F.lit("C"), F.col("o_custkey")).alias("source_key"),
+            F.concat(F.lit("C"), F.col("o_custkey"), F.lit("."), key % 4).alias("source_key"),
             F.when(key % 3 != 0, F.concat(F.lit("D"), doc)).alias("doc_key"),
             key.alias("arrival"),
         )
