@@ -13,6 +13,7 @@ FAMILIES = (
     "bulk_queries",
     "catalog_queries",
     "proof_queries",
+    "stream_queries",
 )
 
 for family in FAMILIES:
