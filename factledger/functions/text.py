@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,17 +15,18 @@ from pyspark.sql.types import StringType
 SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
-@F.pandas_udf(StringType())
-def fold(text: pd.Series) -> pd.Series:
+def fold_text(value: str) -> str:
     """Case- and accent-insensitive form: decompose, casefold, drop marks."""
+    if value.isascii():
+        return value.lower()
+    wide = unicodedata.normalize("NFKD", value).casefold()
+    return "".join(c for c in wide if not unicodedata.combining(c))
 
-    def one(value: str) -> str:
-        if value.isascii():
-            return value.lower()
-        wide = unicodedata.normalize("NFKD", value).casefold()
-        return "".join(c for c in wide if not unicodedata.combining(c))
 
-    return text.map(one, na_action="ignore")
+@F.pandas_udf(StringType())
+def fold(text: pd.Series) -> pd.Series:
+    """Column form of :func:`fold_text`."""
+    return text.map(fold_text, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -43,14 +46,16 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
-def tokens(folded: Column) -> Column:
-    """Distinct words of folded text."""
-    words = F.split(F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+def words(text: str) -> list[str]:
+    """Distinct words of a query, folded."""
+    return sorted(set(re.findall(r"[^\W_]+", fold_text(text))))
 
 
-def has_all_tokens(folded: Column, folded_query: Column) -> Column:
-    return F.size(F.array_except(tokens(folded_query), tokens(folded))) == 0
+def has_all_words(folded: Column, query: str) -> Column:
+    """Every word of the query occurs as a whole word of the folded text."""
+    spaced = F.concat(F.lit(" "), F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    wanted = [F.contains(spaced, F.lit(f" {word} ")) for word in words(query)]
+    return reduce(lambda a, b: a & b, wanted)
 
 
 def escape_controls(text: Column) -> Column:

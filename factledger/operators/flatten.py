@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,8 +78,15 @@ def _rows(raw: str) -> Iterator[tuple]:
         yield "leaf", path, base, kind, text, None, depth
 
 
-_COLUMNS = ["row_kind", "source_path", "base_field", "json_type", "value", "size", "depth"]
-_SCHEMA = "row_kind string, source_path string, base_field string, json_type string, value string, size long, depth long"
+_FIELDS = (
+    ("row_kind", pa.string(), "string"),
+    ("source_path", pa.string(), "string"),
+    ("base_field", pa.string(), "string"),
+    ("json_type", pa.string(), "string"),
+    ("value", pa.string(), "string"),
+    ("size", pa.int64(), "long"),
+    ("depth", pa.int64(), "long"),
+)
 
 
 def flatten_json(records: DataFrame, record: str, raw: str) -> DataFrame:
@@ -89,30 +96,31 @@ def flatten_json(records: DataFrame, record: str, raw: str) -> DataFrame:
     keep their spelling. A record that cannot be read faithfully becomes one
     ``error`` row. Records are independent, so this is a single narrow pass.
     """
-    name = records.schema[record]
 
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            idents: list = []
+            idents = batch.column(0)
+            owners: list[int] = []
             rows: list[tuple] = []
-            for ident, text in zip(batch[record], batch[raw]):
-                before = len(rows)
-                rows.extend(_rows(text))
-                idents.extend([ident] * (len(rows) - before))
+            for place, text in enumerate(batch.column(1).to_pylist()):
+                found = list(_rows(text))
+                rows.extend(found)
+                owners.extend([place] * len(found))
                 if len(rows) >= _ROWS_PER_YIELD:
-                    yield _frame(record, idents, rows)
-                    idents, rows = [], []
+                    yield _batch(record, idents, owners, rows)
+                    owners, rows = [], []
             if rows:
-                yield _frame(record, idents, rows)
+                yield _batch(record, idents, owners, rows)
 
-    return records.select(record, raw).mapInPandas(flatten, f"{record} {name.dataType.simpleString()}, {_SCHEMA}")
+    kind = records.schema[record].dataType.simpleString()
+    schema = ", ".join([f"{record} {kind}", *[f"{name} {ddl}" for name, _, ddl in _FIELDS]])
+    return records.select(record, raw).mapInArrow(flatten, schema)
 
 
-def _frame(record: str, idents: list, rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=_COLUMNS)
-    frame["size"] = frame["size"].astype("Int64")
-    frame.insert(0, record, idents)
-    return frame
+def _batch(record: str, idents: pa.Array, owners: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    columns = [idents.take(pa.array(owners, pa.int64()))]
+    columns += [pa.array(values, kind) for values, (_, kind, _) in zip(zip(*rows), _FIELDS)]
+    return pa.RecordBatch.from_arrays(columns, names=[record, *[name for name, _, _ in _FIELDS]])
 
 
 def leaves(flat: DataFrame) -> DataFrame:

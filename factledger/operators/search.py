@@ -12,7 +12,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factledger.functions.text import fold
+from factledger.functions.text import fold, fold_text
 
 UNRESOLVED = ("pending", "ambiguous", "unclassified")  # fixed values: unresolved statuses
 
@@ -31,14 +31,14 @@ def fold_contains(value: Column, query: str) -> Column:
     """Accent- and case-insensitive substring; wildcards are literal."""
     if len(query) < 3:
         raise ValueError("contains needs at least three characters")
-    return F.contains(fold(value), fold(F.lit(query)))
+    return F.contains(fold(value), F.lit(fold_text(query)))
 
 
 def fold_prefix(value: Column, query: str, beside_selective: bool = False) -> Column:
     """Accent- and case-insensitive prefix; one character only beside a selective filter."""
     if len(query) < (1 if beside_selective else 2):
         raise ValueError("a one-character prefix needs a selective filter beside it")
-    return F.startswith(fold(value), fold(F.lit(query)))
+    return F.startswith(fold(value), F.lit(fold_text(query)))
 
 
 def with_item(records: DataFrame, items: DataFrame, on: str | Sequence[str], condition: Column | None = None) -> DataFrame:

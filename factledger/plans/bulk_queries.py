@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from factledger.operators import bulk, flatten, imports, mapping, reconcile
+from factledger.operators import bulk, imports, mapping, reconcile
 from factledger.plans import sqltext as q
-from factledger.plans.load_queries import FACTS, docrec, flat, rules
+from factledger.plans.load_queries import FACTS, leaf_table, rules
 from factledger.plans.registry import query
 from factledger.plans.tables import Tables
 from factledger.sources import exports, lists
@@ -89,7 +89,7 @@ SELECT input_id, doc_id FROM e JOIN d ON contains(d.folded, e.folded)
 """,
 )
 def bulk_match_contains(t: Tables):
-    return bulk.match_contains(word_entries(t), t.documents, "doc_id", "text")
+    return bulk.match_contains(word_entries(t), t.spread("documents"), "doc_id", "text")
 
 
 @query(
@@ -100,7 +100,7 @@ SELECT doc_id, CAST(unnest(range(1, len(cells) + 1)) AS VARCHAR) AS input_id, un
 """,
 )
 def entry_list_scan(t: Tables):
-    pasted = t.documents.select("doc_id", F.regexp_replace("text", '["\\r]', "").alias("list"))
+    pasted = t.spread("documents").select("doc_id", F.regexp_replace("text", '["\\r]', "").alias("list"))
     return lists.list_entries(pasted, "doc_id", "list")
 
 
@@ -115,7 +115,7 @@ SELECT source_id, field, type, CASE field WHEN '/id' THEN 'identity.number' WHEN
     ),
 )
 def inventory_map(t: Tables):
-    leaves = flatten.leaves(flat(t)).select(F.lit("orders").alias("source_id"), F.col("base_field").alias("field"), F.col("json_type").alias("type"))
+    leaves = leaf_table(t).select(F.lit("orders").alias("source_id"), F.col("base_field").alias("field"), F.col("json_type").alias("type"))
     events = t.events.select(F.lit("events").alias("source_id"), F.concat(F.lit("/"), "event_type", F.lit("/email")).alias("field"), F.lit("text").alias("type"))
     path = new_path(t.spark, "inventory")
     leaves.distinct().unionByName(events.distinct()).write.csv(path, header=True)
@@ -200,7 +200,7 @@ def export_manifest(t: Tables):
 
 
 def keyed_facts(t: Tables) -> DataFrame:
-    facts = mapping.map_facts(flatten.leaves(flat(t)), rules(t), "record")
+    facts = mapping.map_facts(leaf_table(t), rules(t), "record")
     return facts.withColumns(
         {"key": mapping.last_step(F.col("base_field")), "item": mapping.parent_path(F.col("source_path"))}
     )

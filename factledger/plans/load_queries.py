@@ -26,13 +26,18 @@ def docrec(t: Tables) -> DataFrame:
         F.lit('","total":'), (key % 1000).cast("string"), F.lit('.500e+1,"none":null,"lines":['), lines,
         F.lit('],"empty":{},"list":[],"n~1":"é '), F.substring("o_orderpriority", 3, 20), F.lit('"}'),
     )
-    return t.orders.select(key.alias("record"), doc.alias("doc"))
+    return t.spread("orders").select(key.alias("record"), doc.alias("doc"))
 
 
 def flat(t: Tables) -> DataFrame:
     return flatten.flatten_json(docrec(t), "record", "doc")
 
 
+def leaf_table(t: Tables) -> DataFrame:
+    """The flattened records as the load keeps them: written once, read by all."""
+    return t.staged("leaves", lambda: flatten.leaves(flat(t)))
+
+
 LEAVES = """
 o AS (SELECT o_orderkey AS record, * FROM orders),
 n AS (SELECT *, unnest(range(0, record % 4 + 1)) AS i FROM o),
@@ -169,7 +174,7 @@ facts AS (SELECT l.record, l.source_path, l.base_field, l.json_type, l.value, co
 
 @query("map_facts", q.with_(FACTS, "SELECT * FROM facts"))
 def map_facts(t: Tables):
-    return mapping.map_facts(flatten.leaves(flat(t)), rules(t), "record").drop("depth")
+    return mapping.map_facts(leaf_table(t), rules(t), "record").drop("depth")
 
 
 @query(
@@ -183,7 +188,7 @@ SELECT record, source_path, field, item_key, components FROM g JOIN k USING (rec
     ),
 )
 def group_item_key(t: Tables):
-    components = flatten.leaves(flat(t)).filter(F.startswith("source_path", F.lit("/lines/")))
+    components = leaf_table(t).filter(F.startswith("source_path", F.lit("/lines/")))
     return mapping.group_item_keys(components, "record").select("record", "source_path", "field", "item_key", "components")
 
 
@@ -212,7 +217,7 @@ SELECT *, missing + extra + changed + duplicates = 0 AS passed FROM stats""",
     ),
 )
 def coverage_check(t: Tables):
-    expected = flatten.leaves(flat(t)).select("record", "source_path", "json_type", "value")
+    expected = leaf_table(t).select("record", "source_path", "json_type", "value")
     mark = F.col("record") * 31 + F.char_length("source_path")
     kept = expected.filter(mark % 101 != 0)
     facts = kept.withColumn("value", F.when(mark % 107 == 0, F.lit("tampered")).otherwise(F.col("value")))
@@ -245,7 +250,7 @@ def identity_eligible(t: Tables):
     q.with_(FACTS, "SELECT DISTINCT target_kind, regexp_extract(base_field, '/([^/]*)$', 1) AS key FROM facts"),
 )
 def kind_columns(t: Tables):
-    facts = mapping.map_facts(flatten.leaves(flat(t)), rules(t), "record")
+    facts = mapping.map_facts(leaf_table(t), rules(t), "record")
     keyed = facts.withColumn("key", mapping.last_step(F.col("base_field")))
     return mapping.discovered_columns(keyed, "target_kind", "key")
 
@@ -264,7 +269,7 @@ def kind_columns(t: Tables):
 )
 def typed_scalar(t: Tables):
     scalar = values.typed_scalar(F.col("value"), F.col("json_type"))
-    return flatten.leaves(flat(t)).withColumn("s", scalar).select("record", "source_path", "s.*")
+    return leaf_table(t).withColumn("s", scalar).select("record", "source_path", "s.*")
 
 
 @query(
@@ -286,7 +291,7 @@ def pred_eq_typed(t: Tables):
             for name, v, k in operands
         ]
     )
-    return flatten.leaves(flat(t)).select("record", "source_path", F.explode(F.array_compact(hits)).alias("asked"))
+    return leaf_table(t).select("record", "source_path", F.explode(F.array_compact(hits)).alias("asked"))
 
 
 def projection_input(t: Tables) -> DataFrame:

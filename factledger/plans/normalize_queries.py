@@ -73,7 +73,7 @@ def doc_check14(t: Tables):
 def found_addresses(t: Tables):
     """Every address-like word of every document, domains partly upper-cased."""
     found = F.regexp_extract_all("text", F.lit(r"[^\s@]+@[^\s@]+"), F.lit(0))
-    rows = t.documents.select("doc_id", F.posexplode(found).alias("pos", "word"))
+    rows = t.spread("documents").select("doc_id", F.posexplode(found).alias("pos", "word"))
     return rows.select(
         "doc_id",
         F.col("pos").cast("long").alias("pos"),
@@ -187,7 +187,7 @@ def phone_area_rule(t: Tables):
         .when(style == 5, F.lit("  "))
         .otherwise(F.concat(area, F.lit("9"), local))
     )
-    phones = t.orders.select(
+    phones = t.spread("orders").select(
         "o_orderkey",
         raw.alias("raw"),
         F.when(key % 4 == 0, "BR").when(key % 4 == 1, " br ").alias("country"),
@@ -199,7 +199,7 @@ def phone_area_rule(t: Tables):
 
 @query("text_fold", "SELECT doc_id, strip_accents(replace(lower(text), 'ß', 'ss')) AS folded FROM documents")
 def text_fold(t: Tables):
-    return t.documents.select("doc_id", text.fold("text").alias("folded"))
+    return t.spread("documents").select("doc_id", text.fold("text").alias("folded"))
 
 
 @query(
@@ -301,7 +301,7 @@ WHERE abs(x) > 999999999999999 OR (x = 0 AND CAST(x AS VARCHAR) = '-0.0') OR CAS
 """,
 )
 def exact_numbers(t: Tables):
-    cells = t.lineitem.select(
+    cells = t.spread("lineitem").select(
         "l_orderkey",
         "l_linenumber",
         F.explode(
@@ -325,7 +325,7 @@ SELECT doc_id, length(s) AS chars, md5(s) AS digest FROM (
 )
 def export_text_safe(t: Tables):
     dirty = F.concat("text", F.char(F.col("doc_id") % 31 + 1))
-    safe = t.documents.select("doc_id", text.escape_controls(dirty).alias("s"))
+    safe = t.spread("documents").select("doc_id", text.escape_controls(dirty).alias("s"))
     return safe.select("doc_id", F.char_length("s").cast("long").alias("chars"), F.md5("s").alias("digest"))
 
 
@@ -337,7 +337,7 @@ SELECT doc_id, i AS position, substr(text, i * 1000 + 1, 1000) AS content FROM n
 """,
 )
 def text_fragments(t: Tables):
-    long_texts = t.documents.filter(F.char_length("text") > 1500)
+    long_texts = t.spread("documents").filter(F.char_length("text") > 1500)
     pieces = long_texts.select("doc_id", F.posexplode(text.fragments(F.col("text"), 1000)).alias("position", "content"))
     return pieces.withColumn("position", F.col("position").cast("long"))
 
