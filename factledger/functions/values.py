@@ -109,7 +109,8 @@ def plain_number_text(x: Column) -> Column:
     mantissa = F.regexp_replace(F.regexp_extract(text, r"\A(-?[0-9.]+)E", 1), r"\.0\z", "")
     power = F.regexp_extract(text, r"E(-?)([0-9]+)\z", 2)
     sign = F.when(F.contains(text, F.lit("E-")), "-").otherwise("+")
-    exponent = F.concat(mantissa, F.lit("e"), sign, F.lpad(power, 2, "0"))
+    padded = F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power)
+    exponent = F.concat(mantissa, F.lit("e"), sign, padded)
     spread = text.try_cast("decimal(38,18)").cast("string")
     decimal = F.regexp_replace(spread, r"(\.[0-9]+?)0+\z", "$1")
     size = F.abs(x)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,20 +52,21 @@ def match_contains(entries: DataFrame, registry: DataFrame, entity: str, value:
     shared = registry.sparkSession.sparkContext.broadcast(patterns)
     ident = registry.schema[entity].dataType.simpleString()
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(shared.value)
         for batch in batches:
             inputs: list[str] = []
-            owners: list = []
-            for owner, text in zip(batch[entity], batch["_text"]):
+            places: list[int] = []
+            for place, text in enumerate(batch.column(1).to_pylist()):
                 for pattern in find(text or ""):
                     hits = shared.value[pattern]
                     inputs.extend(hits)
-                    owners.extend([owner] * len(hits))
-            yield pd.DataFrame({"input_id": inputs, entity: owners})
+                    places.extend([place] * len(hits))
+            owners = batch.column(0).take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(inputs, pa.string()), owners], names=["input_id", entity])
 
     folded = registry.select(entity, fold(value).alias("_text"))
-    return folded.mapInPandas(search, f"input_id string, {entity} {ident}")
+    return folded.mapInArrow(search, f"input_id string, {entity} {ident}")
 
 
 def _finder(patterns: dict[str, list[str]]):
