@@ -25,13 +25,22 @@ def with_errors(entries: DataFrame) -> DataFrame:
     return entries.withColumn("error", F.when(blank, "empty_entry").when(short, "text_too_short"))
 
 
+def _refuse_long(entries: DataFrame) -> None:
+    if entries.limit(MAX_ENTRIES + 1).count() > MAX_ENTRIES:
+        raise ValueError(f"a list holds at most {MAX_ENTRIES} entries")
+
+
 def match_equal(entries: DataFrame, registry: DataFrame, entity: str, value: str) -> DataFrame:
-    """Links ``input_id, entity`` by equality of the folded value."""
+    """Links ``input_id, entity`` by equality of the folded value.
+
+    The list is within its bound, so it is shipped and the registry stays put.
+    """
+    _refuse_long(entries)
     asked = entries.filter(F.col("error").isNull() & (F.col("mode") == "eq")).select(
         "input_id", fold("value").alias("_folded")
     )
     have = registry.select(entity, fold(value).alias("_folded"))
-    return have.join(asked, "_folded").select("input_id", entity)
+    return have.join(F.broadcast(asked), "_folded").select("input_id", entity)
 
 
 def match_contains(entries: DataFrame, registry: DataFrame, entity: str, value: str) -> DataFrame:

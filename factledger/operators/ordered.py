@@ -3,7 +3,8 @@
 A window over a hot key would put the whole key into one task. These helpers
 split every key into *blocks* that follow the order, run the window inside a
 block, summarise each block to one row and carry the summaries forward. A task
-then never holds more than one block per key.
+then never holds more than one block per key. Keys that fit in one block need
+no carry, so only the owners that outgrow a block take part in the second step.
 """
 
 from __future__ import annotations
@@ -22,7 +23,18 @@ BLOCK_ROWS = 1_000_000
 
 def version_block(version: Column, rows: int = BLOCK_ROWS) -> Column:
     """Block number from a dense per-owner version: no shuffle, no sampling."""
-    return F.floor((version - 1) / F.lit(rows)).cast("long")
+    return F.call_function("div", version - 1, F.lit(rows))
+
+
+def outgrown(rows: DataFrame, owner: str, version: str, block_rows: int) -> DataFrame:
+    """Rows of the owners that need more than one block.
+
+    Versions are dense, so such an owner has more than ``block_rows``
+    operations: there are at most (all rows / block_rows) of them, which bounds
+    the broadcast. The version filter reaches the scan and skips row groups.
+    """
+    owners = rows.filter(F.col(version) > block_rows).select(owner).distinct()
+    return rows.join(F.broadcast(owners), owner, "left_semi")
 
 
 def pin_layout(df: DataFrame, order: Sequence, name: str = "layout") -> DataFrame:
@@ -45,27 +57,35 @@ _FOLD = {
 def before(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence,
+    order: Sequence[str],
     folds: dict[str, tuple[str, Column]],
-    block: str = BLOCK,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add, per name, the fold of a column over the earlier rows of the key.
 
     ``folds`` maps an output name to ``("max" | "min" | "sum", column)``. Nulls
-    are skipped; the first row of a key gets null (0 for sums). ``df`` must be
-    deterministic and carry a block column that increases with ``order``.
+    are skipped; the first row of a key gets null (0 for sums). ``keys[0]`` is
+    the owner and ``order[0]`` its dense version; ``df`` must be deterministic.
     """
-    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    parts = df.groupBy(*keys, block).agg(*[_FOLD[f][0](c).alias(f"_sum_{n}") for n, (f, c) in folds.items()])
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    block = version_block(F.col(order[0]), block_rows)
+    parts = (
+        outgrown(df, keys[0], order[0], block_rows)
+        .withColumn(BLOCK, block)
+        .groupBy(*keys, BLOCK)
+        .agg(*[_FOLD[f][0](c).alias(f"_sum_{n}") for n, (f, c) in folds.items()])
+    )
     carried = parts.select(
-        *keys, block, *[_FOLD[f][0](f"_sum_{n}").over(across).alias(f"_carry_{n}") for n, (f, _) in folds.items()]
+        *keys, BLOCK, *[_FOLD[f][0](f"_sum_{n}").over(across).alias(f"_carry_{n}") for n, (f, _) in folds.items()]
+    )
+    rows = df.withColumn(BLOCK, block).select(
+        "*", *[_FOLD[f][0](c).over(inside).alias(f"_in_{n}") for n, (f, c) in folds.items()]
     )
-    rows = df.select("*", *[_FOLD[f][0](c).over(inside).alias(f"_in_{n}") for n, (f, c) in folds.items()])
-    joined = rows.join(carried, [*keys, block])
+    joined = rows.join(carried, [*keys, BLOCK], "left")
     merged = {n: _FOLD[f][1](F.col(f"_carry_{n}"), F.col(f"_in_{n}")) for n, (f, _) in folds.items()}
     spent = [f"_{p}_{n}" for n in folds for p in ("carry", "in")]
-    return joined.withColumns(merged).drop(*spent)
+    return joined.withColumns(merged).drop(BLOCK, *spent)
 
 
 def with_ordinal(

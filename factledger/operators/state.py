@@ -12,7 +12,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factledger.operators.ordered import BLOCK, BLOCK_ROWS, before, version_block, with_ordinal
+from factledger.operators.ordered import BLOCK, BLOCK_ROWS, before, outgrown, version_block, with_ordinal
 
 FIELD_KEY = ("owner", "item", "path", "dimension")
 UNDATED = "0001-01-01 00:00:00"
@@ -51,15 +51,18 @@ def _scan(rows: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
     across = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     k, resolved = F.col("_k"), F.col("_elig") & F.col("_res")
 
-    local = rows.withColumn(BLOCK, version_block(F.col("version"), block_rows)).withColumns(
-        {
-            "_lm": F.max(F.when(F.col("_elig"), k)).over(earlier),
-            "_lmr": F.max(F.when(resolved, k)).over(earlier),
-        }
-    )
+    def scanned(some: DataFrame) -> DataFrame:
+        return some.withColumn(BLOCK, version_block(F.col("version"), block_rows)).withColumns(
+            {
+                "_lm": F.max(F.when(F.col("_elig"), k)).over(earlier),
+                "_lmr": F.max(F.when(resolved, k)).over(earlier),
+            }
+        )
+
     beats_local = resolved & (F.col("_lm").isNull() | (k > F.col("_lm")))
     blocks = (
-        local.groupBy(*keys, BLOCK)
+        scanned(outgrown(rows, keys[0], "version", block_rows))
+        .groupBy(*keys, BLOCK)
         .agg(
             F.max(F.when(F.col("_elig"), k)).alias("_bm"),
             F.max(F.when(resolved, k)).alias("_bmr"),
@@ -72,13 +75,13 @@ def _scan(rows: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
         .withColumn("_cwon", F.coalesce(F.max("_won").over(across), F.lit(False)))
         .select(*keys, BLOCK, "_cm", "_cmr", "_cwon")
     )
-    joined = local.join(blocks, [*keys, BLOCK]).withColumns(
+    joined = scanned(rows).join(blocks, [*keys, BLOCK], "left").withColumns(
         {"_m": F.greatest("_lm", "_cm"), "_mr": F.greatest("_lmr", "_cmr")}
     )
     wins = resolved & (F.col("_m").isNull() | (k > F.col("_m")))
     return (
         joined.withColumn("_win", wins)
-        .withColumn("_settled", F.col("_cwon") | F.coalesce(F.max("_win").over(earlier), F.lit(False)))
+        .withColumn("_settled", F.coalesce(F.col("_cwon"), F.lit(False)) | F.coalesce(F.max("_win").over(earlier), F.lit(False)))
         .drop("_lm", "_lmr", "_cm", "_cmr", "_cwon", "_win", BLOCK)
     )
 
@@ -123,17 +126,12 @@ def field_precedence_by_date(
 ) -> DataFrame:
     """Variant where only dates decide and the later arrival wins a tie."""
     dated = F.coalesce("effective", undated_floor())
-    rows = obs.withColumns(
-        {
-            "_future": is_future(F.col("effective"), F.col("received")),
-            BLOCK: version_block(F.col("version"), block_rows),
-        }
-    )
-    scanned = before(rows, keys, ["version", "seq"], {"_m": ("max", F.when(~F.col("_future"), dated))})
+    rows = obs.withColumn("_future", is_future(F.col("effective"), F.col("received")))
+    scanned = before(rows, keys, ["version", "seq"], {"_m": ("max", F.when(~F.col("_future"), dated))}, block_rows)
     applied = ~F.col("_future") & (F.col("_m").isNull() | (dated >= F.col("_m")))
     return scanned.withColumns(
         {"applied": applied, "pending_reason": F.when(F.col("_future"), "future_timestamp")}
-    ).drop("_future", "_m", BLOCK)
+    ).drop("_future", "_m")
 
 
 def flag_precedence(
@@ -152,8 +150,8 @@ def flag_precedence(
     seen = F.when(F.col("applied"), F.struct("version", "seq", binding_of.alias("b")))
     value_marks = values.select(*keys, "version", "seq", seen.alias("_mark"), F.lit(None).cast("long").alias("id"))
     flag_marks = flags.select(*keys, "version", "seq", F.lit(None).cast(value_marks.schema["_mark"].dataType).alias("_mark"), "id")
-    marks = value_marks.unionByName(flag_marks).withColumn(BLOCK, version_block(F.col("version"), block_rows))
-    current = before(marks, keys, ["version", "seq"], {"_now": ("max", F.col("_mark"))})
+    marks = value_marks.unionByName(flag_marks)
+    current = before(marks, keys, ["version", "seq"], {"_now": ("max", F.col("_mark"))}, block_rows)
     bound = current.filter(F.col("id").isNotNull()).select(
         *keys, "version", "seq", F.col("_now.b").alias("current_binding")
     )
@@ -174,11 +172,10 @@ def previous_applied(
 ) -> DataFrame:
     """Id and value that were current when each observation arrived."""
     mark = F.when(F.col("applied"), F.struct("version", "seq", "id", "value"))
-    rows = decided.withColumn(BLOCK, version_block(F.col("version"), block_rows))
     return (
-        before(rows, keys, ["version", "seq"], {"_prev": ("max", mark)})
+        before(decided, keys, ["version", "seq"], {"_prev": ("max", mark)}, block_rows)
         .withColumns({"previous_id": F.col("_prev.id"), "previous_value": F.col("_prev.value")})
-        .drop("_prev", BLOCK)
+        .drop("_prev")
     )
 
 

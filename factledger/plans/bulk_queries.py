@@ -216,11 +216,10 @@ def keyed_facts(t: Tables) -> DataFrame:
 def export_kind_tables(t: Tables):
     """The document sheet: one row per item over the columns found for its kind."""
     facts = pin(keyed_facts(t), "facts")
-    names = mapping.discovered_columns(facts.filter(F.col("target_kind") == "document"), "target_kind", "key")
-    columns = sorted(r.key for r in names.limit(16384).collect())
-    sheet = exports.kind_table(facts, "document", ["record", "item"], columns)
-    exports.write_tables({"document": sheet, "facts": facts}, new_path(t.spark, "sheets"))
-    return sheet
+    sheets = exports.kind_tables(facts, "document", ["record", "item"])
+    named = {f"document_{n}": sheet for n, sheet in enumerate(sheets, 1)}
+    exports.write_tables({**named, "facts": facts}, new_path(t.spark, "sheets"))
+    return sheets[0]
 
 
 @query(

@@ -72,8 +72,8 @@ def stream_field_state(t: Tables):
         low, high = most * number // BATCHES, most * (number + 1) // BATCHES
         add_files(t.obs.filter((F.col("version") > low) & (F.col("version") <= high)), path)
         stream = batches.file_stream(t.spark, path, schema, files_per_batch=None)
-        field_state.maintain(stream, history, winners, checkpoint)
-    return field_state.winners(batches.read_parts(t.spark, winners, schema)).select(*schema.names)
+        field_state.maintain(stream, history, winners, checkpoint, every=3)
+    return field_state.winners_before(t.spark, winners, schema, BATCHES, every=3).select(*schema.names)
 
 
 @query(

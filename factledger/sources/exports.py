@@ -12,23 +12,27 @@ from factledger.operators.reconcile import digest_columns
 
 BUCKETS = 64
 VOLUME_ROWS = 50_000
-FRAGMENT_ABOVE, FRAGMENT_SIZE = 32_767, 30_000
+COLUMN_LIMIT = 16_384
+MAX_COLUMNS = 200_000
 
 
 def owner_bucket(owner: Column) -> Column:
     return F.pmod(F.xxhash64(owner), F.lit(BUCKETS)).cast("int")
 
 
-def append_history(observations: DataFrame, path: str, files_per_bucket: int = 1) -> None:
+def append_history(observations: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """Append observations below one of 64 bucket folders, sorted for skipping.
 
-    ``files_per_bucket`` spreads a bucket over several writers by a hash of the
-    row id, so an owner with most of the rows does not land in one task.
+    Bucket sizes (64 rows) are counted first; a bucket gets one writer per
+    ``rows_per_file`` rows, so an owner with a third of all rows is spread.
     """
-    spread = F.pmod(F.xxhash64("id"), F.lit(files_per_bucket))
+    placed = observations.withColumn("bucket", owner_bucket(F.col("owner")))
+    sizes = placed.groupBy("bucket").count().collect()
+    if not sizes:
+        return
+    writers = F.create_map(*[F.lit(x) for r in sizes for x in (r["bucket"], -(-r["count"] // rows_per_file))])
     (
-        observations.withColumn("bucket", owner_bucket(F.col("owner")))
-        .repartition("bucket", spread)
+        placed.repartition("bucket", F.pmod(F.xxhash64("id"), F.element_at(writers, F.col("bucket"))))
         .sortWithinPartitions("bucket", "owner", "version", "seq")
         .write.mode("append")
         .partitionBy("bucket")
@@ -70,10 +74,18 @@ def verify_volumes(before: DataFrame, after: DataFrame, columns: Sequence[str])
     )
 
 
-def kind_table(facts: DataFrame, kind: str, item: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Wide table of one item kind over its discovered columns."""
+def kind_tables(facts: DataFrame, kind: str, item: Sequence[str], width: int = COLUMN_LIMIT) -> list[DataFrame]:
+    """Wide tables of one item kind over the columns found for it.
+
+    More columns than ``width`` continue in further tables with the same item
+    key. Column names are schema, so they must fit the driver; that is checked.
+    """
     rows = facts.filter(F.col("target_kind") == kind)
-    return rows.groupBy(*item).pivot("key", list(columns)).agg(F.max("value"))
+    names = sorted(r.key for r in rows.select("key").distinct().limit(MAX_COLUMNS + 1).collect())
+    if len(names) > MAX_COLUMNS:
+        raise ValueError(f"{kind} has more than {MAX_COLUMNS} columns; export it in long form")
+    parts = [names[n : n + width] for n in range(0, len(names), width)]
+    return [rows.groupBy(*item).pivot("key", part).agg(F.max("value")) for part in parts]
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> DataFrame:

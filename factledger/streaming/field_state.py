@@ -9,8 +9,9 @@ field receives most of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factledger.operators import state
 from factledger.streaming.batches import part, read_parts, run_available
@@ -18,6 +19,11 @@ from factledger.streaming.batches import part, read_parts, run_available
 KEY = list(state.FIELD_KEY)
 
 
+# Every so many batches one folder repeats all winners, so that a reader never
+# opens more than this many folders.
+COMPACT_EVERY = 20
+
+
 def winners(rows: DataFrame) -> DataFrame:
     """Latest winner per field out of the per-batch winners."""
     rest = [c for c in rows.columns if c not in KEY]
@@ -25,6 +31,12 @@ def winners(rows: DataFrame) -> DataFrame:
     return latest.select(*KEY, "_w.*")
 
 
+def winners_before(spark: SparkSession, path: str, schema: StructType, batch: int, every: int = COMPACT_EVERY) -> DataFrame:
+    """Winners after all batches before ``batch``; older folders are pruned."""
+    complete = batch // every * every - 1
+    return winners(read_parts(spark, path, schema, before=batch).filter(F.col("batch") >= complete)).drop("batch")
+
+
 def decide_batch(batch: DataFrame, current: DataFrame) -> DataFrame:
     """Decisions for a batch given the winners so far.
 
@@ -36,16 +48,20 @@ def decide_batch(batch: DataFrame, current: DataFrame) -> DataFrame:
     return state.field_precedence(carried.unionByName(batch)).filter(F.col("version") > 0)
 
 
-def maintain(stream: DataFrame, history: str, winner_path: str, checkpoint: str) -> None:
+def maintain(stream: DataFrame, history: str, winner_path: str, checkpoint: str, every: int = COMPACT_EVERY) -> None:
     """Decide every micro-batch, append its history and its new winners."""
     schema = stream.schema
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        current = winners(read_parts(spark, winner_path, schema, before=number)).drop("batch")
+        current = winners_before(spark, winner_path, schema, number, every)
         decided = decide_batch(batch.select(*schema.names), current)
         decided.write.mode("overwrite").parquet(part(history, number))
         again = spark.read.schema(decided.schema).parquet(part(history, number))
-        state.current_state(again).select(*schema.names).write.mode("overwrite").parquet(part(winner_path, number))
+        fresh = state.current_state(again).select(*schema.names)
+        if number % every == every - 1:
+            untouched = current.join(fresh.select(*KEY), KEY, "left_anti").select(*schema.names)
+            fresh = fresh.unionByName(untouched)
+        fresh.write.mode("overwrite").parquet(part(winner_path, number))
 
     run_available(stream, each, checkpoint)

@@ -135,7 +135,7 @@ def test_history_reads_one_bucket_for_an_owner(spark):
 
     obs = spark.range(500).select((F.col("id") % 9).alias("owner"), "id", F.col("id").alias("version"), F.lit(1).alias("seq"))
     path = new_path(spark, "history")
-    exports.append_history(obs, path, files_per_bucket=2)
+    exports.append_history(obs, path, rows_per_file=20)
     schema = StructType([*obs.schema.fields, StructField("bucket", IntegerType())])
     one = exports.read_history(spark, path, schema, owner=4)
     assert one.count() == obs.filter("owner = 4").count()
@@ -169,6 +169,13 @@ def test_stream_publication_keeps_the_newest(spark):
     assert {r.decision: r["count"] for r in seen} == {"indexed": 4, "obsolete": 1, "conflict": 1, "already_indexed": 1}
 
 
+def test_wide_kinds_continue_in_further_tables(spark):
+    facts = spark.createDataFrame([(1, "k", f"c{n}", str(n)) for n in range(5)], "item long, target_kind string, key string, value string")
+    tables = exports.kind_tables(facts, "k", ["item"], width=2)
+    assert [t.columns for t in tables] == [["item", "c0", "c1"], ["item", "c2", "c3"], ["item", "c4"]]
+    assert tables[2].first().c4 == "4"
+
+
 def test_the_shared_folder_is_the_configured_one(spark):
     path = new_path(spark, "x")
     assert os.path.isabs(path.removeprefix("file:")) and spark.sparkContext.applicationId in path

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from factledger.operators.ordered import BLOCK, before, beside, version_block, with_ordinal
+from factledger.operators.ordered import before, beside, with_ordinal
 
 
 def test_global_and_keyed_ordinals(spark):
@@ -29,8 +29,8 @@ def test_missing_values_sort_last_in_both_directions(spark):
 def test_before_carries_across_blocks(spark):
     rng = random.Random(8)
     rows = [(key, n, rng.randint(0, 50) if rng.random() < 0.8 else None) for key in (1, 2) for n in range(1, 41)]
-    df = spark.createDataFrame(rows, "k long, n long, x long").withColumn(BLOCK, version_block(F.col("n"), 4))
-    got = before(df, ["k"], ["n"], {"top": ("max", F.col("x")), "total": ("sum", F.col("x")), "low": ("min", F.col("x"))})
+    df = spark.createDataFrame(rows, "k long, n long, x long")
+    got = before(df, ["k"], ["n"], {"top": ("max", F.col("x")), "total": ("sum", F.col("x")), "low": ("min", F.col("x"))}, block_rows=4)
     for r in got.collect():
         seen = [x for k, n, x in rows if k == r.k and n < r.n and x is not None]
         assert (r.top, r.low, r.total) == (max(seen, default=None), min(seen, default=None), sum(seen))
