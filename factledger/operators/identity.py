@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.operators.reconcile import digest
-from factledger.workspace import pin
+from factledger.workspace import is_small, pin
 
 MAX_ROUNDS = 200
 
@@ -50,14 +50,18 @@ def components(keys: DataFrame, record: str) -> DataFrame:
     a third of all records is a star, never a set of pairs. Alternating large-
     and small-star rounds (Kiveris et al., 2014) then shrink every tree to a
     star in a logarithmic number of rounds. A round is two partial aggregations
-    and two joins against one row per node; it is pinned before the next.
+    and two joins against one row per node; it is pinned before the next, and a
+    large graph also between its two halves, so that no shuffle runs twice.
     """
     anchor = keys.groupBy("kind", "key").agg(F.min(record).alias("v"))
     tied = keys.join(anchor, ["kind", "key"]).select(F.col(record).alias("u"), "v")
     edges = pin(tied.filter(F.col("u") != F.col("v")).distinct(), "edges")
     seen = digest(edges, ["u", "v"])
     for _ in range(MAX_ROUNDS):
-        edges = pin(_small_star(_large_star(edges)).distinct(), "edges")
+        wide = _large_star(edges)
+        if not is_small(edges):
+            wide = pin(wide, "edges")
+        edges = pin(_small_star(wide).distinct(), "edges")
         now = digest(edges, ["u", "v"])
         if now == seen:
             break
@@ -72,7 +76,7 @@ def components(keys: DataFrame, record: str) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Point every larger neighbour at the smallest node of the neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.filter(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -80,8 +84,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Point a node and its smaller neighbours at the smallest of them."""
     lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(lowest, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(lowest.select("u", F.col("m").alias("v")))
+    moved = edges.join(lowest, "u").select(
+        F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+    )
+    return moved.filter(F.col("u") != F.col("v"))
 
 
 def mixed_types(records: DataFrame, group: str, kind: str) -> DataFrame:
