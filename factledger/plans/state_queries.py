@@ -139,22 +139,31 @@ def flag_details(t: Tables):
 @query(
     "record_view",
     q.with_(
-        q.CURRENT,
-        """, fields AS (SELECT owner, item, count(*) AS n,
-      string_agg(dimension || '|' || path || '|' || CAST(value AS VARCHAR), ';' ORDER BY dimension, path) AS txt
-      FROM value_state GROUP BY owner, item)
+        q.FLAG_STATE,
+        """, cells AS (SELECT owner, item, dimension, path, CAST(value AS VARCHAR) AS v FROM value_state
+      UNION ALL SELECT owner, item, dimension, path, CASE WHEN applicable THEN CAST(flag AS VARCHAR) END FROM flag_state),
+fields AS (SELECT owner, item, string_agg(dimension || '|' || path || '|' || coalesce(v, 'null'), ';' ORDER BY dimension, path) AS txt FROM cells GROUP BY owner, item)
 SELECT owner, CAST(1 AS BIGINT) AS parts, CAST(0 AS BIGINT) AS part, string_agg(item || '=' || txt, ',' ORDER BY item) AS record
 FROM fields GROUP BY owner""",
     ),
 )
 def record_view(t: Tables):
-    nested = state.nested_records(t.value_state)
+    """Values and applicable flags of every item, one document per owner."""
+    key = ["owner", "item", "path", "dimension"]
+    values = t.value_state.select(*key, F.col("value").cast("string").alias("value"))
+    flags = t.flag_state.select(*key, F.when(F.col("applicable"), F.col("flag")).cast("string").alias("value"))
+    nested = state.nested_records(values.unionByName(flags))
     spelled = F.transform(
         "items",
         lambda i: F.concat(
             i["item"],
             F.lit("="),
-            F.array_join(F.transform(i["fields"], lambda f: F.concat_ws("|", f["dimension"], f["path"], f["value"])), ";"),
+            F.array_join(
+                F.transform(
+                    i["fields"], lambda f: F.concat_ws("|", f["dimension"], f["path"], F.coalesce(f["value"], F.lit("null")))
+                ),
+                ";",
+            ),
         ),
     )
     return nested.select("owner", "parts", "part", F.array_join(spelled, ",").alias("record"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factledger.operators import bulk, catalog, reconcile, relations, search
-from factledger.sources import exports, lists
+from factledger.sources import exports, jsonl, lists
 from factledger.streaming import batches, publish
 from factledger.workspace import new_path
 
@@ -169,6 +169,33 @@ def test_stream_publication_keeps_the_newest(spark):
     assert {r.decision: r["count"] for r in seen} == {"indexed": 4, "obsolete": 1, "conflict": 1, "already_indexed": 1}
 
 
+def test_json_lines_are_kept_or_refused_never_lost(spark):
+    lines = [
+        '{"source_id":"s","external_id":"1","record":{"n":1.2300e+2}}', '{"source_id":"s","external_id":2,"record":{}}',
+        '{"source_id":"s","external_id":"3","record":{},"x":1}', '{"source_id":"s","source_id":"s","external_id":"4","record":{}}', "not json",
+        '{"source_id":"s","external_id":"6","source_version":1.5,"record":{}}', '{"source_id":"s","external_id":"7","source_version":null,"record":{}}',
+    ]
+    path = new_path(spark, "lines")
+    spark.createDataFrame([(x,) for x in lines], "line string").write.text(path)
+    good, bad = jsonl.split(jsonl.envelopes(jsonl.read_lines(spark, path)))
+    assert sorted(r.external_id for r in good.collect()) == ["1", "7"]
+    assert any("1.2300e+2" in r.line for r in good.collect())
+    assert {r.line: r.error for r in bad.collect()} == {
+        lines[1]: "invalid_envelope", lines[2]: "invalid_envelope", lines[3]: "json_duplicate_keys", lines[4]: "json_invalid", lines[5]: "invalid_source_version",
+    }
+
+
+def test_uploaded_lists_and_inventories(spark):
+    path = new_path(spark, "list")
+    spark.createDataFrame([("a,b",), (" ,c",)], "v string").coalesce(1).write.text(path)
+    assert [r.value for r in lists.read_lists(spark, path).orderBy("input_id").collect()] == ["a", "b", "c"]
+    fields = new_path(spark, "inv")
+    spark.createDataFrame([("s", "/id", "text"), ("s", "/my_email", "text"), ("s", "/z", "text")], "source_id string, field string, type string").write.csv(fields, header=True)
+    rules = spark.createDataFrame([("/id", "identity.number", "mapped")], "field string, target string, status string")
+    mapped = lists.map_inventory(lists.read_inventory(spark, fields), rules, F.upper("field").rlike("EMAIL"), ("custom.original_field", "pending_mapping"))
+    assert {r.field: r.status for r in mapped.collect()} == {"/id": "mapped", "/my_email": "pending_contact_parse", "/z": "pending_mapping"}
+
+
 def test_wide_kinds_continue_in_further_tables(spark):
     facts = spark.createDataFrame([(1, "k", f"c{n}", str(n)) for n in range(5)], "item long, target_kind string, key string, value string")
     tables = exports.kind_tables(facts, "k", ["item"], width=2)
