@@ -151,7 +151,12 @@ def assign(records: DataFrame) -> DataFrame:
         firsts.join(documents.withColumnRenamed("doc_key", "first_doc"), "first_doc", "left")
         .select("source_key", "first_at", F.coalesce("doc_owner", F.concat(F.lit("source:"), "source_key")).alias("source_owner"))
     )
-    judged = records.join(sources, "source_key").join(documents, "doc_key", "left")
+    # Records without a document stay out of the join: as null keys they would
+    # all meet in one task.
+    owned = records.join(sources, "source_key")
+    judged = owned.filter(F.col("doc_key").isNotNull()).join(documents, "doc_key", "left").unionByName(
+        owned.filter(F.col("doc_key").isNull()), allowMissingColumns=True
+    )
     known = F.coalesce(F.col("reg_at") <= F.col("arrival"), F.lit(False))
     agrees = F.col("doc_key").isNull() | (known & (F.col("doc_owner") == F.col("source_owner")))
     return judged.select(

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 RUNTIME_SETTINGS = {
     # Instants are compared and printed in UTC everywhere.
     "spark.sql.session.timeZone": "UTC",
@@ -11,15 +17,30 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Arrow batches for the few Python helpers; bounded so a batch of 2 MiB
-    # records stays far below an executor's memory.
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Python helpers are unpickled by module name, so workers must be able to
+    import them wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="factledger-ship-"), os.path.basename(package))
+    spark.sparkContext.addPyFile(
+        shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+    )
+    _SHIPPED.add(app)
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings this library's results depend on."""
+    """Apply the runtime settings and ship the package the jobs depend on."""
+    ship(spark)
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

@@ -102,12 +102,15 @@ def append_once(stream: DataFrame, operation: str, target: str, checkpoint: str)
     """Exactly-once by operation id, without streaming state.
 
     Copies inside a batch collapse by a partial aggregation and known
-    operations drop out by an anti-join against earlier batches.
+    operations drop out by an anti-join against earlier batches. Only their id
+    column is read, and only where it can overlap the ids of the batch.
     """
     schema = stream.schema
 
     def each(batch: DataFrame, number: int) -> None:
+        span = batch.agg(F.min(operation).alias("low"), F.max(operation).alias("high")).first()
         known = read_parts(batch.sparkSession, target, schema, before=number).select(operation)
+        known = known.filter(F.col(operation).between(F.lit(span.low), F.lit(span.high)))
         rest = [c for c in batch.columns if c != operation]
         once = batch.groupBy(operation).agg(F.min(F.struct(*rest)).alias("_row")).select(operation, "_row.*")
         fresh = once.join(known, operation, "left_anti").select(*batch.columns)
