@@ -9,7 +9,6 @@ no carry, so only the owners that outgrow a block take part in the second step.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,7 +121,3 @@ def beside(df: DataFrame, keys: Sequence[str], position: str, columns: Sequence[
         *keys, (F.col(position) - step).alias(position), *[F.col(c).alias(prefix + c) for c in columns]
     )
     return df.join(shifted, [*keys, position], "left")
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -296,23 +296,21 @@ WITH c AS (
   SELECT l_orderkey, l_linenumber, 'l_charge' AS col, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS x FROM lineitem
   UNION ALL SELECT l_orderkey, l_linenumber, 'l_scaled', l_extendedprice * 100000000000.0 FROM lineitem
   UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', -l_discount FROM lineitem)
-SELECT l_orderkey, l_linenumber, col, x, CAST(x AS VARCHAR) AS exact_text FROM c
+SELECT l_orderkey, l_linenumber, 'l_key' AS col, CAST(l_orderkey * 1000000000000 + l_linenumber AS VARCHAR) AS exact_text FROM lineitem WHERE l_orderkey >= 1000
+UNION ALL SELECT l_orderkey, l_linenumber, col, CAST(x AS VARCHAR) FROM c
 WHERE abs(x) > 999999999999999 OR (x = 0 AND CAST(x AS VARCHAR) = '-0.0') OR CAST(printf('%.15g', x) AS DOUBLE) <> x
 """,
 )
 def exact_numbers(t: Tables):
-    cells = t.spread("lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        F.explode(
-            F.create_map(
-                F.lit("l_charge"), F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")),
-                F.lit("l_scaled"), F.col("l_extendedprice") * F.lit(100000000000.0),
-                F.lit("l_discount"), -F.col("l_discount"),
-            )
-        ).alias("col", "x"),
-    )
-    return cells.withColumn("exact_text", values.exact_number_text(F.col("x"))).filter(F.col("exact_text").isNotNull())
+    texts = {
+        "l_charge": values.exact_number_text(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))),
+        "l_scaled": values.exact_number_text(F.col("l_extendedprice") * F.lit(100000000000.0)),
+        "l_discount": values.exact_number_text(-F.col("l_discount")),
+        "l_key": values.exact_integer_text(F.col("l_orderkey") * 1000000000000 + F.col("l_linenumber")),
+    }
+    cells = F.array(*[F.struct(F.lit(name).alias("col"), text.alias("exact_text")) for name, text in texts.items()])
+    rows = t.spread("lineitem").select("l_orderkey", "l_linenumber", F.inline(cells))
+    return rows.filter(F.col("exact_text").isNotNull())
 
 
 @query(
