@@ -94,7 +94,8 @@ def settle(frame: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
     name = f"{SEED}/{level}/{source if isinstance(source, str) else chr(0)}/{frame['block'].iloc[0]}"
     rates, sizes_ = frame["rate"].to_numpy(), frame["size"].to_numpy().astype(float)
     tries = []
-    for k in range(max(DRAWS, DRAW_STEPS // len(frame))):
+    unsettled = int((rates - np.floor(rates + EXACT) >= EXACT).sum())
+    for k in range(min(max(DRAWS, DRAW_STEPS // len(frame)), 1 << min(max(unsettled - 1, 0), 9))):
         draws = np.random.default_rng([xxhash.xxh64_intdigest(name), k]).random(len(frame) + 1)
         copies, parts, held = pivot(rates, draws, last)
         words = float(((copies + parts - rates) * sizes_).sum())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import exact_dedup, fingerprints, mixing, packing, pii, quality, records, simhash, url_rules
+from factledger.llm import exact_dedup, fingerprints, line_dedup, mixing, packing, pii, quality, records, simhash, url_rules
 from factledger.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +176,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("ids")
 
 
+@query("op9_fuzzy_lines")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(read(spark, sf_dir, "documents"))
+
+
 @query(
     "op10_url_rules",
     r"""
