@@ -38,7 +38,7 @@ from factledger.llm.tokens import encoder
 
 END_ID = 0
 #: Target bytes of text for one file.
-FILE_BYTES = 128 << 20
+FILE_BYTES = 64 << 20
 #: Bytes whose checksums are worked out side by side.
 _BLOCK = 512
 _MASK_DELTA = 0xA282EAD8  # fixed value of the format
