@@ -28,7 +28,7 @@ _BYTE_SPLIT = (
 )
 _WORD_SPLIT = f"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+"
 
-#: Pieces kept by a worker; beyond it the store starts anew. About 200 bytes each.
+#: Pieces kept by a worker, besides those of one batch; beyond it the store starts anew. About 200 bytes each.
 KEPT_PIECES = 800_000
 
 
@@ -58,8 +58,6 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.pieces) + len(new) > self.kept:
-            self.pieces.clear()
         words = [p for p in new if (p[0].isalpha() if self.by_word else p[0] == " " and p[1:2].isalpha())]
         others = list(new.difference(words))
         self.pieces.update(zip(others, self._direct(others), strict=True))
@@ -77,6 +75,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, in order."""
+        if len(self.pieces) > self.kept:
+            self.pieces.clear()
         split: list[list[str] | None] = []
         new: set[str] = set()
         for text in texts:
@@ -89,10 +89,7 @@ class Encoder:
             new.update(filterfalse(self.pieces.__contains__, pieces))
             split.append(pieces)
         if new:
-            before = len(self.pieces)
             self._learn(new)
-            if len(self.pieces) < before + len(new):  # the store was emptied: this batch needs all its own
-                self._learn({p for pieces in split if pieces for p in pieces if p not in self.pieces})
         whole = iter(self._direct([t for t, p in zip(texts, split, strict=True) if p is None]))
         get = self.pieces.__getitem__
         return [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in split]
