@@ -167,7 +167,8 @@ def normalize_phones(phones: DataFrame, rollout: DataFrame) -> DataFrame:
         .withColumn("_local", F.substring("_national", 3, 9))
     )
     known = F.broadcast(rollout.withColumnRenamed("area", "_area"))
-    joined = parts.join(known, "_area", "left")
+    listed = F.broadcast(rollout.select(F.col("area").alias("_said"), F.lit(True).alias("_listed")))
+    joined = parts.join(known, "_area", "left").join(listed, F.col("area") == F.col("_said"), "left")
     short, first = F.length("_local") == 8, F.substring("_local", 1, 1)
     legacy = short & first.isin("6", "8", "9")
     reason = (
@@ -175,6 +176,7 @@ def normalize_phones(phones: DataFrame, rollout: DataFrame) -> DataFrame:
         .when(F.col("_given").isNotNull() & ~F.col("_given").rlike(r"\A[0-9]{1,10}\z"), "invalid_extension")
         .when(F.col("_inline") != F.col("_given"), "conflicting_extensions")
         .when(~F.col("_body").rlike(r"\A\+?[0-9\s().-]+\z"), "unsupported_characters")
+        .when(F.col("area").isNotNull() & F.col("_listed").isNull(), "invalid_ddd")
         .when(F.col("_local_only") & ~F.col("_certain"), "country_required_for_ddd")
         .when(F.col("_explicit") & ~F.col("_home"), "country_not_covered")
         .when(F.col("_home") & F.col("_plus") & ~F.col("_dialled"), "country_conflict")

@@ -52,10 +52,13 @@ def words(text: str) -> list[str]:
 
 
 def has_all_words(folded: Column, query: str) -> Column:
-    """Every word of the query occurs as a whole word of the folded text."""
+    """Every word of the query occurs as a whole word of the folded text.
+
+    A query without a word matches nothing.
+    """
     spaced = F.concat(F.lit(" "), F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     wanted = [F.contains(spaced, F.lit(f" {word} ")) for word in words(query)]
-    return reduce(lambda a, b: a & b, wanted)
+    return reduce(lambda a, b: a & b, wanted) if wanted else F.lit(False)
 
 
 def escape_controls(text: Column) -> Column:

@@ -50,8 +50,16 @@ def _type_and_text(value) -> tuple[str, str | None]:
     return ("empty_object", None) if isinstance(value, dict) else ("empty_array", None)
 
 
-def _rows(raw: str) -> Iterator[tuple]:
+def _spelled(text: str) -> str:
+    """Lone surrogates as their escapes: they have no place in UTF-8."""
+    return text.encode("utf-8", "backslashreplace").decode()
+
+
+def _rows(raw: str | None) -> Iterator[tuple]:
     """(kind, path, base, type, value, size, depth) for one record."""
+    if raw is None:
+        yield "error", "", "", "json_missing", None, None, 0
+        return
     try:
         root = json.loads(raw, parse_float=_Number, parse_int=_Integer, parse_constant=_constant, object_pairs_hook=_object)
     except _Refused as refused:
@@ -68,13 +76,15 @@ def _rows(raw: str) -> Iterator[tuple]:
             yield "container", path, base, shape, None, len(value), depth
             if shape == "object":
                 for key, child in value.items():
-                    step = "/" + key.replace("~", "~0").replace("/", "~1")
+                    step = "/" + _spelled(key).replace("~", "~0").replace("/", "~1")
                     todo.append((path + step, base + step, child, depth + 1))
             else:
                 todo.extend((f"{path}/{i}", base, child, depth + 1) for i, child in enumerate(value))
             if value:
                 continue
         kind, text = _type_and_text(value)
+        if text is not None and (shown := _spelled(text)) != text:
+            kind, text = "unsafe_text", shown
         yield "leaf", path, base, kind, text, None, depth
 
 
@@ -141,12 +151,21 @@ def structure_rows(flat: DataFrame) -> DataFrame:
 def record_limits(records: DataFrame, flat: DataFrame, record: str, raw: str) -> DataFrame:
     """Size of every record and the limit it breaks, if any; records stay whole."""
     sizes = flat.groupBy(record).agg(
-        F.sum(F.when(F.col("row_kind") == "leaf", 1).otherwise(0)).alias("leaves"), F.max("depth").alias("depth")
+        F.sum(F.when(F.col("row_kind") == "leaf", 1).otherwise(0)).alias("leaves"), F.max("depth").alias("depth"),
+        F.max(F.when(F.col("row_kind") == "error", F.col("json_type"))).alias("error"),
     )
     measured = records.select(record, F.octet_length(raw).cast("long").alias("bytes")).join(sizes, record)
-    return measured.withColumn(
+    refused = measured.withColumn(
         "refused",
-        F.when(F.col("depth") > MAX_DEPTH, "depth")
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("depth") > MAX_DEPTH, "depth")
         .when(F.col("leaves") > MAX_LEAVES, "leaves")
         .when(F.col("bytes") > MAX_BYTES, "bytes"),
     )
+    return refused.drop("error")
+
+
+def quarantine(records: DataFrame, flat: DataFrame, record: str) -> DataFrame:
+    """Records that could not be read, whole, with the ``error`` code."""
+    codes = flat.filter(F.col("row_kind") == "error").select(record, F.col("json_type").alias("error"))
+    return records.join(codes, record)

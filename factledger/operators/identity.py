@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.operators.reconcile import digest
-from factledger.workspace import is_small, pin
-
-MAX_ROUNDS = 200
+from factledger.workspace import pin
 
 
 def key_rows(records: DataFrame, record: str, keys: dict[str, Column]) -> DataFrame:
@@ -50,24 +48,20 @@ def components(keys: DataFrame, record: str) -> DataFrame:
     a third of all records is a star, never a set of pairs. Alternating large-
     and small-star rounds (Kiveris et al., 2014) then shrink every tree to a
     star in a logarithmic number of rounds. A round is two partial aggregations
-    and two joins against one row per node; it is pinned before the next, and a
-    large graph also between its two halves, so that no shuffle runs twice.
+    and two joins against one row per node; it is pinned between its halves and
+    before the next, so that no shuffle runs twice.
     """
     anchor = keys.groupBy("kind", "key").agg(F.min(record).alias("v"))
     tied = keys.join(anchor, ["kind", "key"]).select(F.col(record).alias("u"), "v")
     edges = pin(tied.filter(F.col("u") != F.col("v")).distinct(), "edges")
     seen = digest(edges, ["u", "v"])
-    for _ in range(MAX_ROUNDS):
-        wide = _large_star(edges)
-        if not is_small(edges):
-            wide = pin(wide, "edges")
+    while True:
+        wide = pin(_large_star(edges), "edges")
         edges = pin(_small_star(wide).distinct(), "edges")
         now = digest(edges, ["u", "v"])
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     everyone = keys.select(record).distinct()
     return everyone.join(edges.select(F.col("u").alias(record), "v"), record, "left").select(
         record, F.coalesce("v", record).alias("component")
@@ -173,7 +167,7 @@ def assign(records: DataFrame) -> DataFrame:
 def _earliest_matching(wishes: DataFrame) -> DataFrame:
     """Greedy matching of (source_key, doc_key) pairs in order of ``at``."""
     left, chosen = wishes, []
-    for _ in range(MAX_ROUNDS):
+    while True:
         by_source = left.groupBy("source_key").agg(F.min("at").alias("s_at"))
         by_doc = left.groupBy("doc_key").agg(F.min("at").alias("d_at"))
         ranked = left.join(by_source, "source_key").join(by_doc, "doc_key")
@@ -185,8 +179,6 @@ def _earliest_matching(wishes: DataFrame) -> DataFrame:
         )
         if left.isEmpty():
             break
-    else:
-        raise RuntimeError(f"matching did not settle in {MAX_ROUNDS} rounds")
     result = chosen[0]
     for won in chosen[1:]:
         result = result.unionByName(won)

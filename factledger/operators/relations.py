@@ -66,6 +66,13 @@ def resolve_by_document(edges: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def pending_identity(edges: DataFrame) -> DataFrame:
+    """Edges that give neither an id nor a document: a name alone resolves nothing."""
+    return edges.filter(F.col("target_id").isNull() & F.col("target_document").isNull()).select(
+        "owner", "rel", F.lit("pending_identity").alias("status"), F.lit(None).cast("string").alias("target")
+    )
+
+
 def connections(resolved: DataFrame) -> DataFrame:
     """Every resolved edge from both ends; the far end is marked derived."""
     pairs = [F.lit(x) for role in INVERSE_ROLE.items() for x in role]

@@ -155,7 +155,8 @@ def rel_by_document(t: Tables):
     "rel_connections",
     q.with_(
         EDGES,
-        """, every AS (SELECT owner, rel, status, target FROM by_id UNION ALL SELECT owner, rel, status, target FROM by_doc)
+        """, every AS (SELECT owner, rel, status, target FROM by_id UNION ALL SELECT owner, rel, status, target FROM by_doc
+  UNION ALL SELECT owner, rel, 'pending_identity', NULL FROM edge WHERE target_id IS NULL AND target_document IS NULL)
 SELECT owner AS entity, 'outgoing' AS direction, target AS other, rel AS role, FALSE AS derived, status FROM every
 UNION ALL SELECT target, 'incoming', owner, CASE rel WHEN 'mother' THEN 'child' WHEN 'father' THEN 'child' WHEN 'sibling' THEN 'sibling' WHEN 'spouse' THEN 'spouse' END, TRUE, status
 FROM every WHERE status = 'resolved'""",
@@ -165,4 +166,5 @@ def rel_connections(t: Tables):
     columns = ["owner", "rel", "status", "target"]
     by_id = relations.resolve_by_id(edges(t), entities(t)).select(*columns)
     by_document = relations.resolve_by_document(edges(t), owned_documents(t)).select(*columns)
-    return relations.connections(by_id.unionByName(by_document))
+    every = by_id.unionByName(by_document).unionByName(relations.pending_identity(edges(t)))
+    return relations.connections(every)

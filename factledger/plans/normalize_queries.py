@@ -157,6 +157,7 @@ x AS (SELECT *, CASE style WHEN 0 THEN '+55 (' || ar || ') ' || substr(loc,1,4)
 o AS (SELECT x.*, r.day, style IN (0, 2) OR country IS NOT NULL AS certain,
   CASE WHEN style = 6 THEN '9' || loc ELSE loc END AS l FROM x LEFT JOIN roll r ON r.a = x.ar),
 d AS (SELECT *, CASE WHEN style = 5 THEN 'non_text_or_empty_number' WHEN style = 4 THEN 'unsupported_characters'
+   WHEN style = 3 AND day IS NULL THEN 'invalid_ddd'
    WHEN style = 3 AND NOT certain THEN 'country_required_for_ddd' WHEN day IS NULL THEN 'missing_or_invalid_ddd'
    WHEN length(l) = 9 THEN NULL
    WHEN l[1] = '7' THEN 'specialized_or_legacy_radio' WHEN l[1] IN ('2','3','4','5') THEN NULL

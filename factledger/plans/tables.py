@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.operators import state
-from factledger.workspace import is_small, new_path
+from factledger.workspace import new_path
 
 # Append-only tables are written once per application and input folder, the way
 # the registry keeps them, and read back by every query that needs them.
@@ -29,17 +29,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table for CPU-heavy row work.
-
-        One small file is one scan task however many cores there are, so a
-        small table is rewritten once as one file per core. Larger inputs have
-        splits enough and are read as they are.
-        """
-        table = self.read(name)
-        if not is_small(table):
-            return table
-        cores = self.spark.sparkContext.defaultParallelism
-        return self.staged(f"spread_{name}", lambda: table.repartition(cores))
+        """A table for CPU-heavy row work, read as it is at every size."""
+        return self.read(name)
 
     def staged(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)

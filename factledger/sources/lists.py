@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql.types import ArrayType, StringType
 def csv_cells(text: pd.Series) -> pd.Series:
     """Non-blank cells of a CSV text in reading order, trimmed."""
 
+    csv.field_size_limit(sys.maxsize)  # a cell may be as long as the text
+
     def one(value: str) -> list[str]:
         cells = (cell.strip() for row in csv.reader(io.StringIO(value)) for cell in row)
         return [cell for cell in cells if cell]

@@ -31,7 +31,7 @@ def file_stream(
     return reader.load(path)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, timeout: int = 600) -> StreamingQuery:
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Process what is there in micro-batches, then stop."""
     query = (
         stream.writeStream.foreachBatch(each)
@@ -39,12 +39,15 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
         .trigger(availableNow=True)
         .start()
     )
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"stream did not finish in {timeout} s")
+    query.awaitTermination()
     return query
 
 
+def nothing_there(error: AnalysisException) -> bool:
+    """Is a folder not written yet? Any other error is one."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def part(path: str, batch: int) -> str:
     return f"{path}/batch={batch}"
 
@@ -57,7 +60,9 @@ def read_parts(spark: SparkSession, path: str, schema: StructType, before: int |
     """Rows of the committed batches, optionally only those before one batch."""
     try:
         rows = spark.read.schema(batch_schema(schema)).option("basePath", path).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not nothing_there(error):
+            raise
         return spark.createDataFrame([], batch_schema(schema))
     return rows if before is None else rows.filter(F.col("batch") < before)
 
@@ -68,7 +73,9 @@ RECEIPT = "rows long, xor_hash long, sum_hash string, batch long"
 def receipts(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(RECEIPT).option("basePath", path).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not nothing_there(error):
+            raise
         return spark.createDataFrame([], RECEIPT)
 
 

@@ -41,11 +41,3 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-SMALL_TABLE_BYTES = 256 * 1024 * 1024
-
-
-def is_small(df: DataFrame) -> bool:
-    """Is the input below a size where a few files mean idle cores?"""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_TABLE_BYTES

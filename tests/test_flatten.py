@@ -79,3 +79,16 @@ def test_identity_eligibility(spark):
     assert got == {
         1: (True, "a", None), 2: (False, None, "conflicting_claims"), 3: (False, None, "conflicting_claims"), 4: (False, None, None),
     }
+
+
+def test_records_that_cannot_be_read_are_kept_apart(spark):
+    rows = [(1, '{"a": 1}'), (2, None), (3, '{"a":'), (4, '{"a": 1, "a": 2}'), (5, '{"k\\ud800": "x\\ud800"}'), (6, '{"a": "\\u0000"}')]
+    records = spark.createDataFrame(rows, "record long, doc string")
+    flat = flatten.flatten_json(records, "record", "doc")
+    bad = {r["record"]: r["error"] for r in flatten.quarantine(records, flat, "record").collect()}
+    assert bad == {2: "json_missing", 3: "json_invalid", 4: "json_duplicate_keys"}
+    refused = {r["record"]: r["refused"] for r in flatten.record_limits(records, flat, "record", "doc").collect()}
+    assert refused == bad | {1: None, 5: None, 6: None}
+    odd = flatten.leaves(flat).filter("record = 5").first()
+    assert (odd["source_path"], odd["json_type"], odd["value"]) == ("/k\\ud800", "unsafe_text", "x\\ud800")
+    assert flatten.leaves(flat).filter("record = 6").first()["value"] == "\x00"

@@ -85,3 +85,11 @@ def test_mixed_types_and_document_conflicts(spark):
     rows = spark.createDataFrame([(1, "a", "person"), (1, "b", "company"), (2, "a", "person"), (2, None, "person")], "g long, doc string, typ string")
     assert [r.g for r in identity.mixed_types(rows, "g", "typ").collect()] == [1]
     assert [(r.g, r.documents) for r in identity.document_conflicts(rows, "g", "doc").collect()] == [(1, 2)]
+
+
+def test_edges_with_a_name_alone_stay_pending(spark):
+    from factledger.operators import relations
+
+    rows = [("A", "mother", "B", None), ("A", "father", None, 5), ("A", "spouse", None, None)]
+    edges = spark.createDataFrame(rows, "owner string, rel string, target_id string, target_document long")
+    assert [tuple(r) for r in relations.pending_identity(edges).collect()] == [("A", "spouse", "pending_identity", None)]
