@@ -29,7 +29,7 @@ _BYTE_SPLIT = (
 _WORD_SPLIT = f"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+"
 
 #: Pieces kept by a worker, besides those of one batch; beyond it the store starts anew. About 200 bytes each.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 600_000
 
 
 class Encoder:
