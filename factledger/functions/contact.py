@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.functions.text import SPACE, casefold
+from factledger.functions.text import SPACE, casefold, composed
 
 # Fixed values of the two check-digit schemes (mod 11).
 WEIGHTS_11 = ((10, 9, 8, 7, 6, 5, 4, 3, 2), (11, 10, 9, 8, 7, 6, 5, 4, 3, 2))
@@ -101,7 +101,7 @@ def normalize_handle(platform: Column, account: Column) -> Column:
 
 def address_component(field: Column, value: Column, json_type: Column) -> Column:
     """``struct(normalized, reason)`` of one address component."""
-    text = F.regexp_replace(value, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    text = composed(F.regexp_replace(value, rf"\A[{SPACE}]+|[{SPACE}]+\z", ""))
     postal = F.regexp_replace(text, rf"[-{SPACE}]", "")
 
     def outcome(normalized: Column, reason: str | Column | None) -> Column:

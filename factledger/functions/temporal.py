@@ -9,7 +9,11 @@ ISO_DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 _CLOCK = r"(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{1,6})?"
 _SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?(?:Z|[+-][0-9]{2}:[0-9]{2})?\z"
 _OFFSET = r"(?:Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])"
-ISO_INSTANT = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]" + _CLOCK + _OFFSET + r"\z"
+# day, hour, minute, second, fraction, then the offset or its sign, hours and minutes
+ISO_INSTANT = (
+    r"\A([0-9]{4}-[0-9]{2}-[0-9]{2})[\s\S]([01][0-9]|2[0-3])(?::([0-5][0-9])(?::([0-5][0-9])(?:[.,]([0-9]+))?)?)?"
+    r"(?:Z|([+-])([01][0-9]|2[0-3])(?::?([0-5][0-9]))?)\z"
+)
 _GOOD = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]" + _CLOCK + _OFFSET + r"?\z"
 
 
@@ -19,9 +23,19 @@ def parse_date(text: Column) -> Column:
 
 
 def utc_instant(text: Column) -> Column:
-    """Instant with an explicit offset, in UTC; null without one."""
+    """Instant with an explicit offset, in UTC; null without one.
+
+    Minutes, seconds and the colon of the offset may be missing; digits after
+    the microsecond are cut off.
+    """
+    part = lambda n: F.regexp_extract(text, ISO_INSTANT, n)
+    or_zero = lambda n: F.coalesce(F.nullif(part(n), F.lit("")), F.lit("00"))
+    fraction = F.rpad(F.substring(part(5), 1, 6), 6, "0")
+    spelled = F.concat(part(1), F.lit("T"), part(2), F.lit(":"), or_zero(3), F.lit(":"), or_zero(4), F.lit("."), fraction, F.lit("Z"))
+    sign = F.when(part(6) == "-", -1).otherwise(1)
+    ahead = F.make_dt_interval(F.lit(0), sign * or_zero(7).try_cast("int"), sign * or_zero(8).try_cast("int"))
     day = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
-    return F.when(text.rlike(ISO_INSTANT) & day.isNotNull(), F.try_to_timestamp(text))
+    return F.when(text.rlike(ISO_INSTANT) & day.isNotNull(), F.try_to_timestamp(spelled) - ahead)
 
 
 def date_by_rule(raw: Column, json_type: Column, epoch_declared: Column) -> Column:

@@ -41,6 +41,12 @@ def sort_text(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Canonical composition (NFC)."""
+    return text.map(lambda value: unicodedata.normalize("NFC", value), na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")

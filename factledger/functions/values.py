@@ -36,7 +36,7 @@ def exact_number(text: Column) -> Column:
     return F.when(text.rlike(DECIMAL_TEXT), spelled)
 
 
-def typed_scalar(value: Column, json_type: Column, folded: Column | None = None) -> Column:
+def typed_scalar(value: Column, json_type: Column) -> Column:
     """Value split into one typed column, or the reason it cannot be indexed."""
     unsafe = F.contains(value, F.lit("\x00"))
     long_text = F.octet_length(value) > MAX_TEXT_BYTES

@@ -1,96 +1,126 @@
-"""Bulk matching of a user's list against the registry.
+"""Bulk matching of a user's list against the registry, as joins.
 
-A list holds at most 100,000 entries by contract. That bound is checked before
-a list is shipped to the executors; a longer list is refused, never cut.
+A list may be as long as the registry: nothing of it is collected or shipped
+whole, and the optimiser chooses the join. Every match function returns links
+``(input_id, entity)``; entries with an error and null values take no part.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factledger.functions.contact import check_digits_11, check_digits_14, clean_document
 from factledger.functions.text import fold
+from factledger.workspace import pin
 
-MAX_ENTRIES = 100_000
-MAX_ENTRY_CHARS = 64_000_000
+MODES = ("eq", "prefix", "contains")
+SHORTEST = 3
+#: Document types whose numbers carry check digits.
+SCHEMES: dict[str, Callable[[Column], Column]] = {"CPF": check_digits_11, "CNPJ": check_digits_14}
+
+_GRAMS = rf"(?s)(?=(.{{{SHORTEST}}}))"
 
 
 def with_errors(entries: DataFrame) -> DataFrame:
-    """Entries with the reason one cannot be matched: blank, or too short."""
-    blank = F.coalesce(F.trim("value"), F.lit("")) == ""
-    short = (F.col("mode") == "contains") & (F.char_length("value") < 3)
-    return entries.withColumn("error", F.when(blank, "empty_entry").when(short, "text_too_short"))
+    """Entries with the reason one cannot be matched; an ``input_id`` names one entry."""
+    repeated = entries.groupBy("input_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    known = F.coalesce(F.col("mode").isin(*MODES), F.lit(False))
+    error = (
+        F.when(F.coalesce("value", F.lit("")) == "", "empty_entry")
+        .when(~known, "unknown_mode")
+        .when((F.col("mode") == "contains") & (F.char_length("value") < SHORTEST), "text_too_short")
+        .when(F.col("_n").isNotNull(), "repeated_input_id")
+    )
+    return entries.join(repeated, "input_id", "left").withColumn("error", error).drop("_n")
+
 
+def with_document_errors(entries: DataFrame) -> DataFrame:
+    """The same for entries ``(input_id, document_type, value)`` of document numbers."""
+    number = clean_document(F.col("value"))
+    wrong = F.lit(False)
+    for kind, valid in SCHEMES.items():
+        wrong = wrong | ((F.col("document_type") == kind) & ~valid(number))
+    checked = with_errors(entries.withColumn("mode", F.lit("eq"))).drop("mode")
+    return checked.withColumn("error", F.coalesce("error", F.when(F.coalesce(wrong, F.lit(False)), "document_invalid")))
 
-def _refuse_long(entries: DataFrame) -> None:
-    if entries.limit(MAX_ENTRIES + 1).count() > MAX_ENTRIES:
-        raise ValueError(f"a list holds at most {MAX_ENTRIES} entries")
+
+def _asked(entries: DataFrame, mode: str) -> DataFrame:
+    usable = entries.filter(F.col("error").isNull() & (F.col("mode") == mode))
+    return usable.select("input_id", fold("value").alias("_asked"))
 
 
 def match_equal(entries: DataFrame, registry: DataFrame, entity: str, value: str) -> DataFrame:
-    """Links ``input_id, entity`` by equality of the folded value.
+    """Links by equality of the folded value."""
+    have = registry.select(entity, fold(value).alias("_asked"))
+    return have.join(_asked(entries, "eq"), "_asked").select("input_id", entity)
+
+
+def match_prefix(entries: DataFrame, registry: DataFrame, entity: str, value: str) -> DataFrame:
+    """Links where the folded value starts with the folded entry.
 
-    The list is within its bound, so it is shipped and the registry stays put.
+    Both sides are cut to a power of two: the entry to the largest one it holds,
+    the value to every one it holds, so a value gives a logarithmic number of
+    rows and short and long entries meet it by equality.
     """
-    _refuse_long(entries)
-    asked = entries.filter(F.col("error").isNull() & (F.col("mode") == "eq")).select(
-        "input_id", fold("value").alias("_folded")
-    )
-    have = registry.select(entity, fold(value).alias("_folded"))
-    return have.join(F.broadcast(asked), "_folded").select("input_id", entity)
+
+    def power(length: Column) -> Column:
+        return F.pow(F.lit(2), F.floor(F.log2(length))).cast("int")
+
+    def head(column: str, length: Column) -> Column:
+        return F.substring(F.col(column), F.lit(1), length)
+
+    asked = _asked(entries, "prefix").withColumn("_cut", power(F.char_length("_asked")))
+    asked = asked.select("input_id", "_asked", "_cut", head("_asked", F.col("_cut")).alias("_head"))
+    folded = registry.select(entity, fold(value).alias("_text")).filter("_text <> ''")
+    exponents = F.sequence(F.lit(0), F.floor(F.log2(F.char_length("_text"))).cast("int"))
+    cuts = folded.select(entity, "_text", F.explode(exponents).alias("_e"))
+    cuts = cuts.select(entity, "_text", F.pow(F.lit(2), "_e").cast("int").alias("_cut"))
+    cuts = cuts.withColumn("_head", head("_text", F.col("_cut")))
+    return cuts.join(asked, ["_cut", "_head"]).filter(F.startswith("_text", "_asked")).select("input_id", entity)
 
 
 def match_contains(entries: DataFrame, registry: DataFrame, entity: str, value: str) -> DataFrame:
     """Links where the folded text contains the folded entry.
 
-    All entries are searched in one pass over each text, so the cost grows with
-    the text and not with entries x texts, and the registry is never shuffled.
+    An entry is looked up by that one of its trigrams which the fewest texts
+    hold, then verified against the text. Texts are folded and written once;
+    of their distinct trigrams only those that some entry has are kept. Texts
+    and entries meet by equality, so adaptive execution splits a hot trigram.
     """
-    wanted = entries.filter(F.col("error").isNull() & (F.col("mode") == "contains")).select(
-        "input_id", fold("value").alias("folded")
+    rows = pin(
+        registry.select(entity, fold(value).alias("_text"))
+        .filter(F.col("_text").isNotNull())
+        .withColumn("_row", F.monotonically_increasing_id()),
+        "bulk-texts",
+    )
+    asked = pin(_asked(entries, "contains"), "bulk-entries")
+
+    def grams(column: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all(column, F.lit(_GRAMS), F.lit(1)))
+
+    wanted = asked.select("input_id", F.explode(grams("_asked")).alias("_gram"))
+    held = rows.select("_row", F.explode(grams("_text")).alias("_gram"))
+    held = pin(held.join(wanted.select("_gram").distinct(), "_gram", "left_semi"), "bulk-trigrams")
+    texts = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # an entry with a trigram that no text holds is in no text
+    rated = wanted.join(texts, "_gram", "left")
+    best = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_best")
+    rare = rated.groupBy("input_id").agg(best).filter("_best._n > 0").select("input_id", F.col("_best._gram").alias("_gram"))
+    candidates = held.join(rare.join(asked, "input_id"), "_gram").select("_row", "input_id", "_asked")
+    found = candidates.join(rows, "_row").filter(F.contains("_text", "_asked"))
+    return found.select("input_id", entity)
+
+
+def match_document(entries: DataFrame, registry: DataFrame, entity: str, kind: str, number: str) -> DataFrame:
+    """Links by document type and cleaned number."""
+    asked = entries.filter(F.col("error").isNull()).select(
+        "input_id", F.col("document_type").alias("_kind"), clean_document(F.col("value")).alias("_number")
     )
-    listed = wanted.limit(MAX_ENTRIES + 1).collect()
-    if len(listed) > MAX_ENTRIES or sum(len(r.folded) for r in listed) > MAX_ENTRY_CHARS:
-        raise ValueError(f"a list holds at most {MAX_ENTRIES} entries")
-    patterns: dict[str, list[str]] = {}
-    for row in listed:
-        patterns.setdefault(row.folded, []).append(row.input_id)
-    shared = registry.sparkSession.sparkContext.broadcast(patterns)
-    ident = registry.schema[entity].dataType.simpleString()
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _finder(shared.value)
-        for batch in batches:
-            inputs: list[str] = []
-            places: list[int] = []
-            for place, text in enumerate(batch.column(1).to_pylist()):
-                for pattern in find(text or ""):
-                    hits = shared.value[pattern]
-                    inputs.extend(hits)
-                    places.extend([place] * len(hits))
-            owners = batch.column(0).take(pa.array(places, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(inputs, pa.string()), owners], names=["input_id", entity])
-
-    folded = registry.select(entity, fold(value).alias("_text"))
-    return folded.mapInArrow(search, f"input_id string, {entity} {ident}")
-
-
-def _finder(patterns: dict[str, list[str]]):
-    """Function from a text to the set of patterns it contains."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {p for p in patterns if p in text}
-    if not patterns:
-        return lambda text: set()
-    automaton = ahocorasick.Automaton()
-    for pattern in patterns:
-        automaton.add_word(pattern, pattern)
-    automaton.make_automaton()
-    return lambda text: {pattern for _, pattern in automaton.iter(text)}
+    have = registry.select(entity, F.col(kind).alias("_kind"), clean_document(F.col(number)).alias("_number"))
+    return have.join(asked, ["_kind", "_number"]).select("input_id", entity)
 
 
 def entry_status(entries: DataFrame, links: DataFrame) -> DataFrame:

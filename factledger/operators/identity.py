@@ -90,9 +90,13 @@ def mixed_types(records: DataFrame, group: str, kind: str) -> DataFrame:
     return span.filter(F.col("low") != F.col("high"))
 
 
-def document_conflicts(records: DataFrame, owner: str, document: str) -> DataFrame:
-    """Owners that claim two different documents of a unique type."""
-    counted = records.filter(F.col(document).isNotNull()).groupBy(owner).agg(F.countDistinct(document).alias("documents"))
+def document_conflicts(records: DataFrame, owner: str, document: str, kind: str | None = None) -> DataFrame:
+    """Owners that claim two different documents of one unique type.
+
+    ``kind`` names the column of the type; without it all are of one type.
+    """
+    group = [owner, kind] if kind else [owner]
+    counted = records.filter(F.col(document).isNotNull()).groupBy(*group).agg(F.countDistinct(document).alias("documents"))
     return counted.filter(F.col("documents") > 1)
 
 

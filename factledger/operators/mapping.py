@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def map_facts(leaves: DataFrame, rules: DataFrame, record: str) -> DataFrame:
+def digest_of(*columns: str) -> Column:
+    """One hash of several columns; no value can run into its neighbour."""
+    return F.sha2(F.concat(*[F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("null")) for c in columns]), 256)
+
+
+def map_facts(leaves: DataFrame, rules: DataFrame, identity: Sequence[str]) -> DataFrame:
     """Attach target, status and id to every leaf; unmapped leaves stay pending.
 
     ``rules`` has ``base_field, target_kind, target_path, status``. The join
     keeps every leaf; no hint is given, so a grown rule table shuffles.
+    ``identity`` names what makes a version of a record: source, record, source
+    version, record hash, adapter version. A fact's id is all of it and the path.
     """
     joined = leaves.join(rules, "base_field", "left")
     return joined.withColumns(
         {
-            "fact_id": F.sha2(F.concat_ws("\x1f", F.col(record).cast("string"), "source_path"), 256),
+            "fact_id": digest_of(*identity, "source_path"),
             "target_kind": F.coalesce("target_kind", F.lit("custom")),
             "target_path": F.coalesce("target_path", F.lit("value")),
             "pending_reason": F.when(F.col("target_kind").isNull(), "unmapped_semantics"),
@@ -32,15 +41,16 @@ def last_step(path: Column) -> Column:
     return F.regexp_extract(path, r"/([^/]*)\z", 1)
 
 
-def group_item_keys(leaves: DataFrame, record: str) -> DataFrame:
+def group_item_keys(leaves: DataFrame, record: str, normalized: str = "value") -> DataFrame:
     """Give the components of one object one item key: the hash of them all.
 
-    A group is one object of one record, bounded by the record limits.
+    The column ``normalized`` is hashed, not the spelling of the source. A group
+    is one object of one record, bounded by the record limits.
     """
     placed = leaves.withColumns({"parent": parent_path(F.col("source_path")), "field": last_step(F.col("source_path"))})
-    spelled = F.concat_ws("=", "field", F.coalesce("value", F.col("json_type")))
+    spelled = F.concat(F.sha2("field", 256), F.coalesce(F.sha2(normalized, 256), F.col("json_type")))
     keys = placed.groupBy(record, "parent").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(spelled)), "\x1f"), 256).alias("item_key"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(spelled)), ""), 256).alias("item_key"),
         F.count(F.lit(1)).alias("components"),
     )
     return placed.join(keys, [record, "parent"])

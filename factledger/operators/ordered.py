@@ -28,21 +28,22 @@ def version_block(version: Column, rows: int = BLOCK_ROWS) -> Column:
 def outgrown(rows: DataFrame, owner: str, version: str, block_rows: int) -> DataFrame:
     """Rows of the owners that need more than one block.
 
-    Versions are dense, so such an owner has more than ``block_rows``
-    operations: there are at most (all rows / block_rows) of them, which bounds
-    the broadcast. The version filter reaches the scan and skips row groups.
+    The version filter reaches the scan and skips row groups; the optimiser
+    chooses the join from the size of what is left.
     """
     owners = rows.filter(F.col(version) > block_rows).select(owner).distinct()
-    return rows.join(F.broadcast(owners), owner, "left_semi")
+    return rows.join(owners, owner, "left_semi")
 
 
-def pin_layout(df: DataFrame, order: Sequence, name: str = "layout") -> DataFrame:
+def pin_layout(df: DataFrame, order: Sequence, name: str = "layout", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Range-partition by ``order`` and pin the partition number as the block.
 
-    The layout is written before use: range bounds are sampled, so a second
-    evaluation could cut elsewhere.
+    The number of ranges follows the number of rows, so a block stays near
+    ``block_rows`` at any size. The layout is written before use: range bounds
+    are sampled, so a second evaluation could cut elsewhere.
     """
-    laid = df.repartitionByRange(*order).withColumn(BLOCK, F.spark_partition_id().cast("long"))
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, 1 + df.count() // block_rows)
+    laid = df.repartitionByRange(ranges, *order).withColumn(BLOCK, F.spark_partition_id().cast("long"))
     return pin(laid, name)
 
 
@@ -88,13 +89,18 @@ def before(
 
 
 def with_ordinal(
-    df: DataFrame, order: Sequence, keys: Sequence[str] = (), name: str = "ordinal", pinned: bool = False
+    df: DataFrame,
+    order: Sequence,
+    keys: Sequence[str] = (),
+    name: str = "ordinal",
+    pinned: bool = False,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Number rows 1..n in ``order``, globally or per key, without one big task.
 
     ``order`` must make rows distinct. Only block counts travel between blocks.
     """
-    laid = df if pinned else pin_layout(df, [*keys, *order])
+    laid = df if pinned else pin_layout(df, [*keys, *order], block_rows=block_rows)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -154,20 +154,20 @@ def freshness(hits: DataFrame, canonical: DataFrame, owner: str) -> DataFrame:
 def publish_decisions(incoming: DataFrame, target: DataFrame, owner: str) -> DataFrame:
     """Monotone publication: newer wins, equal content is already there.
 
-    ``incoming`` may repeat an owner; only its newest version is considered, and
-    two contents under one version are a conflict.
+    One decision per owner and version of ``incoming``. Two contents under one
+    version are a conflict; of the others only the newest is indexed.
     """
     batch = incoming.groupBy(owner, "version").agg(F.min("content").alias("_low"), F.max("content").alias("_high"))
-    newest = batch.groupBy(owner).agg(F.max_by(F.struct("version", "_low", "_high"), "version").alias("n"))
-    joined = newest.select(owner, "n.*").join(
+    clean = F.col("_low") == F.col("_high")
+    newest = batch.filter(clean).groupBy(owner).agg(F.max("version").alias("_top"))
+    joined = batch.join(newest, owner, "left").join(
         target.select(owner, F.col("version").alias("_at"), F.col("content").alias("_there")), owner, "left"
     )
     decision = (
-        F.when(F.col("_low") != F.col("_high"), "conflict")
-        .when(F.col("_at").isNull() | (F.col("version") > F.col("_at")), "indexed")
-        .when(F.col("version") < F.col("_at"), "obsolete")
-        .when(F.col("_low") == F.col("_there"), "already_indexed")
-        .otherwise("conflict")
+        F.when(~clean, "conflict")
+        .when(F.col("version") == F.col("_at"), F.when(F.col("_low") == F.col("_there"), "already_indexed").otherwise("conflict"))
+        .when((F.col("version") < F.col("_at")) | (F.col("version") < F.col("_top")), "obsolete")
+        .otherwise("indexed")
     )
     return joined.select(owner, "version", F.col("_low").alias("content"), decision.alias("decision"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from factledger.operators import bulk, imports, mapping, reconcile
 from factledger.plans import sqltext as q
-from factledger.plans.load_queries import FACTS, leaf_table, rules
+from factledger.plans.load_queries import FACTS, fact_table, leaf_table
 from factledger.plans.registry import query
 from factledger.plans.tables import Tables
 from factledger.sources import exports, lists
@@ -21,6 +23,7 @@ def name_entries(t: Tables) -> DataFrame:
         F.concat(F.lit("n"), "n_nationkey").alias("input_id"),
         F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("no such "), "n_name"))
         .when(F.col("n_nationkey") % 7 == 0, "  ")
+        .when(F.col("n_nationkey") % 11 == 0, "")
         .otherwise(F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")))
         .alias("value"),
     )
@@ -31,10 +34,10 @@ def name_entries(t: Tables) -> DataFrame:
 
 
 ENTRIES = """
-entry AS (SELECT 'n' || n_nationkey AS input_id, CASE WHEN n_nationkey % 5 = 0 THEN 'no such ' || n_name WHEN n_nationkey % 7 = 0 THEN '  '
+entry AS (SELECT 'n' || n_nationkey AS input_id, CASE WHEN n_nationkey % 5 = 0 THEN 'no such ' || n_name WHEN n_nationkey % 7 = 0 THEN '  ' WHEN n_nationkey % 11 = 0 THEN ''
    ELSE 'CUSTOMER#' || lpad(CAST(n_nationkey AS VARCHAR), 9, '0') END AS value FROM nation
   UNION ALL SELECT 'r' || r_regionkey, 'customer#000000001' FROM region),
-checked AS (SELECT *, CASE WHEN trim(value) = '' THEN 'empty_entry' END AS error FROM entry),
+checked AS (SELECT *, CASE WHEN value = '' THEN 'empty_entry' END AS error FROM entry),
 link AS (SELECT input_id, c_custkey FROM checked JOIN customer ON lower(c_name) = lower(value) WHERE error IS NULL)"""
 
 
@@ -83,7 +86,7 @@ def word_entries(t: Tables) -> DataFrame:
     """
 WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS value FROM part UNION SELECT substr(n_name, 1, 3) FROM nation
   UNION SELECT unnest(['Ouê', 'the of', 'en', 'tion', 'ÇRÉO'])),
-e AS (SELECT 'w:' || value AS input_id, strip_accents(lower(value)) AS folded FROM w WHERE length(value) >= 3 AND trim(value) <> ''),
+e AS (SELECT 'w:' || value AS input_id, strip_accents(lower(value)) AS folded FROM w WHERE length(value) >= 3),
 d AS (SELECT doc_id, strip_accents(replace(lower(text), 'ß', 'ss')) AS folded FROM documents)
 SELECT input_id, doc_id FROM e JOIN d ON contains(d.folded, e.folded)
 """,
@@ -92,6 +95,47 @@ def bulk_match_contains(t: Tables):
     return bulk.match_contains(word_entries(t), t.spread("documents"), "doc_id", "text")
 
 
+@query(
+    "bulk_match_prefix",
+    """
+WITH e AS (SELECT 's' || s_suppkey AS input_id, 'CUSTOMER#' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS value FROM supplier
+  UNION ALL SELECT 'n' || n_nationkey, substr(n_name, 1, 1) FROM nation)
+SELECT input_id, c_custkey FROM e JOIN customer ON starts_with(lower(c_name), lower(value))
+""",
+)
+def bulk_match_prefix(t: Tables):
+    """Prefixes of names, from one letter to all but two."""
+    heads = t.supplier.select(
+        F.concat(F.lit("s"), "s_suppkey").alias("input_id"),
+        F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("s_suppkey").cast("string"), 7, "0")).alias("value"),
+    )
+    letters = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("input_id"), F.substring("n_name", 1, 1).alias("value"))
+    entries = bulk.with_errors(heads.unionByName(letters).withColumn("mode", F.lit("prefix")))
+    return bulk.match_prefix(entries, t.customer, "c_custkey", "c_name")
+
+
+@query(
+    "bulk_match_document",
+    """
+SELECT 's' || s_suppkey AS input_id, c_custkey, CASE WHEN s_suppkey % 4 = 0 THEN 'document_invalid' END AS error
+FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey * 3 AND s_suppkey % 4 <> 0
+""",
+)
+def bulk_match_document(t: Tables):
+    """Punctuated numbers; every fourth claims a type whose check digits it lacks."""
+    digits = lambda c: F.lpad(c.cast("string"), 9, "0")
+    asked = digits(F.col("s_suppkey") * 3)
+    entries = t.supplier.select(
+        F.concat(F.lit("s"), "s_suppkey").alias("input_id"),
+        F.when(F.col("s_suppkey") % 4 == 0, "CPF").otherwise("OTHER").alias("document_type"),
+        F.concat(F.substring(asked, 1, 3), F.lit("."), F.substring(asked, 4, 6)).alias("value"),
+    )
+    stored = t.customer.select("c_custkey", F.lit("OTHER").alias("kind"), F.concat(digits(F.col("c_custkey")), F.lit(" ")).alias("number"))
+    checked = bulk.with_document_errors(entries)
+    links = bulk.match_document(checked, stored, "c_custkey", "kind", "number")
+    return checked.select("input_id", "error").join(links, "input_id", "left")
+
+
 @query(
     "entry_list_scan",
     """
@@ -200,7 +244,7 @@ def export_manifest(t: Tables):
 
 
 def keyed_facts(t: Tables) -> DataFrame:
-    facts = mapping.map_facts(leaf_table(t), rules(t), "record")
+    facts = fact_table(t)
     return facts.withColumns(
         {"key": mapping.last_step(F.col("base_field")), "item": mapping.parent_path(F.col("source_path"))}
     )
@@ -219,7 +263,7 @@ def export_kind_tables(t: Tables):
     sheets = exports.kind_tables(facts, "document", ["record", "item"])
     named = {f"document_{n}": sheet for n, sheet in enumerate(sheets, 1)}
     exports.write_tables({**named, "facts": facts}, new_path(t.spark, "sheets"))
-    return sheets[0]
+    return reduce(lambda left, right: left.join(right, ["record", "item"]), sheets)
 
 
 @query(

@@ -83,10 +83,13 @@ def type_conflict(t: Tables):
 
 @query(
     "unique_doc_conflict",
-    q.with_(q.IDREC, "SELECT source_key, count(DISTINCT doc_key) AS documents FROM idrec WHERE doc_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_key) > 1"),
+    q.with_(q.IDREC, """SELECT source_key, CASE WHEN CAST(substr(doc_key, 2) AS BIGINT) % 2 = 0 THEN 'CPF' ELSE 'CNPJ' END AS document_type,
+  count(DISTINCT doc_key) AS documents FROM idrec WHERE doc_key IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT doc_key) > 1"""),
 )
 def unique_doc_conflict(t: Tables):
-    return identity.document_conflicts(t.idrec, "source_key", "doc_key")
+    even = F.substring("doc_key", 2, 20).cast("long") % 2 == 0
+    typed = t.idrec.withColumn("document_type", F.when(even, "CPF").otherwise("CNPJ"))
+    return identity.document_conflicts(typed, "source_key", "doc_key", "document_type")
 
 
 # ---- relationships -------------------------------------------------------------

@@ -169,27 +169,34 @@ rules(base_field, target_kind, target_path, status) AS (VALUES ('/id', 'identity
 facts AS (SELECT l.record, l.source_path, l.base_field, l.json_type, l.value, coalesce(r.target_kind, 'custom') AS target_kind,
   coalesce(r.target_path, 'value') AS target_path, coalesce(r.status, 'pending') AS status,
   CASE WHEN r.target_kind IS NULL THEN 'unmapped_semantics' END AS pending_reason,
-  sha256(CAST(l.record AS VARCHAR) || chr(31) || l.source_path) AS fact_id FROM leaves l LEFT JOIN rules r USING (base_field))"""
+  'orders' AS source_id, l.record % 7 AS source_version,
+  sha256(sha256('orders') || sha256(CAST(l.record AS VARCHAR)) || sha256(CAST(l.record % 7 AS VARCHAR)) || sha256(l.source_path)) AS fact_id FROM leaves l LEFT JOIN rules r USING (base_field))"""
+
+
+def fact_table(t: Tables) -> DataFrame:
+    """Facts of all leaves; every seventh record has the same source version."""
+    versioned = leaf_table(t).withColumns({"source_id": F.lit("orders"), "source_version": F.col("record") % 7})
+    return mapping.map_facts(versioned, rules(t), ["source_id", "record", "source_version"])
 
 
 @query("map_facts", q.with_(FACTS, "SELECT * FROM facts"))
 def map_facts(t: Tables):
-    return mapping.map_facts(leaf_table(t), rules(t), "record").drop("depth")
+    return fact_table(t).drop("depth")
 
 
 @query(
     "group_item_key",
     q.with_(
         LEAVES,
-        """, g AS (SELECT record, source_path, regexp_replace(source_path, '/[^/]*$', '') AS parent, regexp_extract(source_path, '/([^/]*)$', 1) AS field, value
-   FROM leaves WHERE source_path LIKE '/lines/%'),
-k AS (SELECT record, parent, sha256(string_agg(field || '=' || value, chr(31) ORDER BY field || '=' || value)) AS item_key, count(*) AS components FROM g GROUP BY record, parent)
+        """, g AS (SELECT record, source_path, regexp_replace(source_path, '/[^/]*$', '') AS parent, regexp_extract(source_path, '/([^/]*)$', 1) AS field,
+   sha256(regexp_extract(source_path, '/([^/]*)$', 1)) || coalesce(sha256(upper(value)), json_type) AS spelled FROM leaves),
+k AS (SELECT record, parent, sha256(string_agg(spelled, '' ORDER BY spelled)) AS item_key, count(*) AS components FROM g GROUP BY record, parent)
 SELECT record, source_path, field, item_key, components FROM g JOIN k USING (record, parent)""",
     ),
 )
 def group_item_key(t: Tables):
-    components = leaf_table(t).filter(F.startswith("source_path", F.lit("/lines/")))
-    return mapping.group_item_keys(components, "record").select("record", "source_path", "field", "item_key", "components")
+    components = leaf_table(t).withColumn("normalized", F.upper("value"))
+    return mapping.group_item_keys(components, "record", "normalized").select("record", "source_path", "field", "item_key", "components")
 
 
 @query(
@@ -250,7 +257,7 @@ def identity_eligible(t: Tables):
     q.with_(FACTS, "SELECT DISTINCT target_kind, regexp_extract(base_field, '/([^/]*)$', 1) AS key FROM facts"),
 )
 def kind_columns(t: Tables):
-    facts = mapping.map_facts(leaf_table(t), rules(t), "record")
+    facts = fact_table(t)
     keyed = facts.withColumn("key", mapping.last_step(F.col("base_field")))
     return mapping.discovered_columns(keyed, "target_kind", "key")
 

@@ -206,22 +206,27 @@ def text_fold(t: Tables):
 @query(
     "ts_utc_strict",
     """
-WITH f AS (SELECT event_id, ts, event_id % 6 AS style, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS s FROM events),
+WITH f AS (SELECT event_id, ts, event_id % 9 AS style, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS s FROM events),
 r AS (SELECT *, CASE style WHEN 0 THEN s || 'Z' WHEN 1 THEN s || '+02:00' WHEN 2 THEN s WHEN 3 THEN substr(s, 1, 10)
-    WHEN 4 THEN replace(s, 'T', ' ') || '-03:30' ELSE '2024-02-30T00:00:00Z' END AS raw FROM f)
+    WHEN 4 THEN replace(s, 'T', ' ') || '-03:30' WHEN 6 THEN substr(s, 1, 16) || '+00:00' WHEN 7 THEN s || '.1234567Z' WHEN 8 THEN s || '+0300'
+    ELSE '2024-02-30T00:00:00Z' END AS raw FROM f)
 SELECT event_id, raw, CASE style WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) - INTERVAL 2 HOUR
-    WHEN 4 THEN date_trunc('second', ts) + INTERVAL 210 MINUTE END AS instant,
+    WHEN 4 THEN date_trunc('second', ts) + INTERVAL 210 MINUTE WHEN 6 THEN date_trunc('minute', ts)
+    WHEN 7 THEN date_trunc('second', ts) + INTERVAL 123456 MICROSECOND WHEN 8 THEN date_trunc('second', ts) - INTERVAL 3 HOUR END AS instant,
   CASE WHEN style IN (2, 3, 5) THEN 'invalid_timestamp' END AS error FROM r
 """,
 )
 def ts_utc_strict(t: Tables):
-    style, spelled = F.col("event_id") % 6, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    style, spelled = F.col("event_id") % 9, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     raw = (
         F.when(style == 0, F.concat(spelled, F.lit("Z")))
         .when(style == 1, F.concat(spelled, F.lit("+02:00")))
         .when(style == 2, spelled)
         .when(style == 3, F.substring(spelled, 1, 10))
         .when(style == 4, F.concat(F.replace(spelled, F.lit("T"), F.lit(" ")), F.lit("-03:30")))
+        .when(style == 6, F.concat(F.substring(spelled, 1, 16), F.lit("+00:00")))
+        .when(style == 7, F.concat(spelled, F.lit(".1234567Z")))
+        .when(style == 8, F.concat(spelled, F.lit("+0300")))
         .otherwise(F.lit("2024-02-30T00:00:00Z"))
     )
     rows = t.events.select("event_id", raw.alias("raw")).withColumn("instant", temporal.utc_instant(F.col("raw")))
@@ -383,12 +388,12 @@ def evidence_check(t: Tables):
 WITH p AS (SELECT c_custkey, unnest(['postal_code', 'state', 'number', 'city', 'complement']) AS field, c_name, c_nationkey, c_mktsegment FROM customer),
 v AS (SELECT c_custkey, field, CASE field WHEN 'postal_code' THEN CASE WHEN c_custkey % 2 = 0 THEN lpad(CAST(c_custkey AS VARCHAR), 5, '0') || '-' || '123' ELSE '12-3' END
    WHEN 'state' THEN CASE WHEN c_custkey % 2 = 0 THEN lower(substr(c_mktsegment, 1, 2)) ELSE 'abc' END
-   WHEN 'number' THEN CAST(c_custkey AS VARCHAR) WHEN 'city' THEN ' ' || c_name || ' ' ELSE CASE WHEN c_custkey % 2 = 0 THEN '  ' END END AS raw,
+   WHEN 'number' THEN CAST(c_custkey AS VARCHAR) WHEN 'city' THEN ' ' || c_name || 'e' || chr(769) || ' ' ELSE CASE WHEN c_custkey % 2 = 0 THEN '  ' END END AS raw,
    CASE WHEN field = 'number' THEN CASE WHEN c_custkey % 2 = 0 THEN 'integer' ELSE 'decimal' END
         WHEN field = 'complement' AND c_custkey % 2 = 1 THEN 'null' ELSE 'text' END AS json_type FROM p)
 SELECT c_custkey, field, json_type, CASE WHEN json_type = 'text' AND field = 'postal_code' THEN regexp_replace(trim(raw), '[-\\s]', '', 'g')
     WHEN json_type = 'text' AND field = 'state' AND regexp_matches(trim(raw), '^[A-Za-z]{2}$') THEN upper(trim(raw))
-    WHEN json_type = 'text' THEN trim(raw) ELSE raw END AS normalized,
+    WHEN json_type = 'text' THEN nfc_normalize(trim(raw)) ELSE raw END AS normalized,
   CASE WHEN json_type = 'null' THEN 'missing_value' WHEN field = 'number' AND json_type = 'integer' THEN NULL
     WHEN json_type <> 'text' THEN 'unrecognized_address_component' WHEN trim(raw) = '' THEN 'empty_value'
     WHEN field = 'postal_code' AND NOT regexp_matches(regexp_replace(raw, '[-\\s]', '', 'g'), '^[0-9]{8}$') THEN 'postal_code_requires_review' END AS reason FROM v
@@ -404,7 +409,7 @@ def address_rules(t: Tables):
         component("postal_code", F.when(even, F.concat(F.lpad(key, 5, "0"), F.lit("-123"))).otherwise("12-3"), F.lit("text")),
         component("state", F.when(even, F.lower(F.substring("c_mktsegment", 1, 2))).otherwise("abc"), F.lit("text")),
         component("number", key, F.when(even, "integer").otherwise("decimal")),
-        component("city", F.concat(F.lit(" "), "c_name", F.lit(" ")), F.lit("text")),
+        component("city", F.concat(F.lit(" "), "c_name", F.lit("e\u0301 ")), F.lit("text")),
         component("complement", F.when(even, "  "), F.when(even, "text").otherwise("null")),
     )
     rows = t.customer.select("c_custkey", F.inline(components))

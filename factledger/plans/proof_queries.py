@@ -220,8 +220,9 @@ target AS (SELECT owner, item, CASE WHEN id % 5 = 0 THEN version + 1 WHEN id % 5
     "publish_guard",
     q.with_(
         PUBLISH,
-        """SELECT s.owner || '/' || s.item AS entity, s.version, CAST(s.id AS VARCHAR) AS content, CASE WHEN tv IS NULL OR s.version > tv THEN 'indexed' WHEN s.version < tv THEN 'obsolete'
-  WHEN tc = CAST(s.id AS VARCHAR) THEN 'already_indexed' ELSE 'conflict' END AS decision FROM value_state s LEFT JOIN target t ON t.owner = s.owner AND t.item = s.item""",
+        """SELECT s.owner || '/' || s.item AS entity, s.version, CAST(s.id AS VARCHAR) AS content, CASE WHEN s.version = tv THEN CASE WHEN tc = CAST(s.id AS VARCHAR) THEN 'already_indexed' ELSE 'conflict' END
+  WHEN s.version < tv OR s.version < max(s.version) OVER (PARTITION BY s.owner, s.item) THEN 'obsolete' ELSE 'indexed' END AS decision
+  FROM decided s LEFT JOIN target t ON t.owner = s.owner AND t.item = s.item WHERE s.applied""",
     ),
 )
 def publish_guard(t: Tables):

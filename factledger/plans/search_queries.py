@@ -233,12 +233,11 @@ def pred_norm_eq(t: Tables):
 
 @query(
     "pred_ieq",
-    """SELECT c.c_custkey, e.c_custkey AS asked FROM customer c JOIN customer e ON lower(c.c_name) = lower(e.c_name)""",
+    """SELECT c.c_custkey, e.asked FROM customer c JOIN (SELECT DISTINCT upper(c_name) AS asked FROM customer) e ON lower(c.c_name) = lower(e.asked)""",
 )
 def pred_ieq(t: Tables):
-    asked = t.customer.select(
-        F.col("c_custkey").alias("asked"), text.fold(F.upper("c_name")).alias("folded")
-    )
+    listed = t.customer.select(F.upper("c_name").alias("asked")).distinct()
+    asked = listed.select("asked", text.fold("asked").alias("folded"))
     return t.customer.select("c_custkey", text.fold("c_name").alias("folded")).join(asked, "folded").select("c_custkey", "asked")
 
 

@@ -85,6 +85,7 @@ def test_mixed_types_and_document_conflicts(spark):
     rows = spark.createDataFrame([(1, "a", "person"), (1, "b", "company"), (2, "a", "person"), (2, None, "person")], "g long, doc string, typ string")
     assert [r.g for r in identity.mixed_types(rows, "g", "typ").collect()] == [1]
     assert [(r.g, r.documents) for r in identity.document_conflicts(rows, "g", "doc").collect()] == [(1, 2)]
+    assert identity.document_conflicts(rows, "g", "doc", "typ").isEmpty()
 
 
 def test_edges_with_a_name_alone_stay_pending(spark):

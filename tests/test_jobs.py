@@ -27,11 +27,34 @@ def test_contains_equals_brute_force(spark):
     assert status == {"a": ("found", 2), "b": ("found", 1), "c": ("found", 1), "d": ("invalid", 0), "e": ("found", 2), "f": ("invalid", 0)}
 
 
-def test_a_list_beyond_the_bound_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(bulk, "MAX_ENTRIES", 2)
-    registry = spark.createDataFrame([(1, "x")], "id long, text string")
-    with pytest.raises(ValueError):
-        bulk.match_contains(entries(spark, [(str(n), f"word{n}", "contains") for n in range(3)]), registry, "id", "text")
+def test_prefixes_of_every_length(spark):
+    texts = ["", "a", "ab", "abc", "Abcd", "abcdefgh", "abcdefghi", "b\u00e9ta", None]
+    registry = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = ["a", "ab", "abc", "ABCDE", "abcdefgh", "abcdefghij", "b\u00c9", "z", ""]
+    listed = entries(spark, [(a, a, "prefix") for a in asked])
+    links = bulk.match_prefix(listed, registry, "id", "text")
+    fold = lambda s: s.lower().replace("\u00e9", "e")
+    expected = {(a, n) for a in asked if a for n, s in enumerate(texts) if s is not None and fold(s).startswith(fold(a))}
+    got = [(r.input_id, r.id) for r in links.collect()]
+    assert set(got) == expected and len(got) == len(expected)
+
+
+def test_entries_that_cannot_be_matched_say_why(spark):
+    rows = [("a", None, "eq"), ("b", " ", "eq"), ("c", "x", "like"), ("d", "x", None), ("e", "xy", "contains"), ("f", "x", "eq"), ("f", "y", "eq")]
+    got = sorted((r.input_id, r.error or "") for r in entries(spark, rows).collect())
+    assert got == [
+        ("a", "empty_entry"), ("b", ""), ("c", "unknown_mode"), ("d", "unknown_mode"), ("e", "text_too_short"),
+        ("f", "repeated_input_id"), ("f", "repeated_input_id"),
+    ]
+
+
+def test_documents_need_their_check_digits(spark):
+    rows = [("a", "CPF", "529.982.247-25"), ("b", "CPF", "529.982.247-26"), ("c", "RG", "52998224725"), ("d", None, "1")]
+    listed = bulk.with_document_errors(spark.createDataFrame(rows, "input_id string, document_type string, value string"))
+    registry = spark.createDataFrame([(1, "CPF", "52998224725"), (2, "RG", "529 982 247 25")], "id long, kind string, number string")
+    links = bulk.match_document(listed, registry, "id", "kind", "number")
+    assert {(r.input_id, r.id) for r in links.collect()} == {("a", 1), ("c", 2)}
+    assert {r.input_id for r in listed.filter("error IS NOT NULL").collect()} == {"b"}
 
 
 def test_csv_lists_keep_quoted_cells(spark):
@@ -64,8 +87,13 @@ def test_idempotent_append_outcomes(spark):
 def test_publish_decisions(spark):
     target = spark.createDataFrame([("a", 2, "x"), ("b", 2, "x"), ("c", 2, "x"), ("d", 2, "x")], "entity string, version long, content string")
     incoming = spark.createDataFrame([("a", 1, "y"), ("a", 3, "z"), ("b", 2, "x"), ("c", 2, "y"), ("d", 1, "x"), ("e", 1, "q")], target.schema)
-    got = {r.entity: r.decision for r in reconcile.publish_decisions(incoming, target, "entity").collect()}
-    assert got == {"a": "indexed", "b": "already_indexed", "c": "conflict", "d": "obsolete", "e": "indexed"}
+    got = {(r.entity, r.version): r.decision for r in reconcile.publish_decisions(incoming, target, "entity").collect()}
+    assert got == {
+        ("a", 1): "obsolete", ("a", 3): "indexed", ("b", 2): "already_indexed", ("c", 2): "conflict", ("d", 1): "obsolete", ("e", 1): "indexed",
+    }
+    rows = [("x", 1, "p"), ("x", 1, "q"), ("x", 2, "r"), ("y", 1, "p"), ("y", 2, "q"), ("y", 2, "r")]
+    got = {(r.entity, r.version): r.decision for r in reconcile.publish_decisions(spark.createDataFrame(rows, target.schema), target, "entity").collect()}
+    assert got == {("x", 1): "conflict", ("x", 2): "indexed", ("y", 1): "indexed", ("y", 2): "conflict"}
 
 
 def test_keyset_pages_cover_everything_once(spark):

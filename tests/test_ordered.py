@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from factledger.operators.ordered import before, beside, with_ordinal
+from factledger.operators.ordered import before, beside, pin_layout, with_ordinal
 
 
 def test_global_and_keyed_ordinals(spark):
@@ -18,6 +18,15 @@ def test_global_and_keyed_ordinals(spark):
         assert [keyed[key, v] for v in own] == list(range(1, len(own) + 1))
 
 
+def test_more_blocks_than_shuffle_partitions(spark):
+    rows = [(n * 7 % 101,) for n in range(101)]
+    df = spark.createDataFrame(rows, "v long").repartition(3)
+    laid = pin_layout(df, ["v"], block_rows=4)
+    assert laid.select("_block").distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r.v: r.ordinal for r in with_ordinal(df, ["v"], block_rows=4).collect()}
+    assert got == {v: v + 1 for v in range(101)}
+
+
 def test_missing_values_sort_last_in_both_directions(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 9)], "id long, v long")
     down = with_ordinal(df, [F.col("v").desc_nulls_last(), F.col("id").asc()])
