@@ -5,7 +5,8 @@ library is asked for new pieces only, many in one call. Both vocabularies split
 a text by a regular expression before they merge, never across a split, so the
 ids of the pieces in order are the ids of the text. The pieces are found here
 for texts of Latin-1 characters, whose classes are written out below; any other
-text goes to the library whole. Tests compare both ways.
+text, and one that holds the string of a special token, goes to the library
+whole. Tests compare both ways.
 """
 
 from __future__ import annotations
@@ -33,14 +34,21 @@ KEPT_PIECES = 600_000
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, ``width`` bytes an id."""
+    """Ids of texts as little-endian bytes, ``width`` bytes an id.
 
-    def __init__(self, path: str, kept: int = KEPT_PIECES):
+    With ``special_as_text`` the strings of special tokens are ordinary text;
+    without it the ids are those of the library as it is.
+    """
+
+    def __init__(self, path: str, kept: int = KEPT_PIECES, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [t.content for t in self.model.get_added_tokens_decoder().values()]
+        # in any case: the library may fold it before it looks for them
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE).search if special else None
         vocabulary = self.model.get_vocab()
         largest = max(vocabulary.values())
         self.dtype = np.dtype("<u2" if largest < 1 << 16 else "<u4")
@@ -85,6 +93,9 @@ class Encoder:
             except UnicodeEncodeError:
                 split.append(None)
                 continue
+            if self.special and self.special(text):
+                split.append(None)
+                continue
             pieces = self.split(text.lower() if self.by_word else text)
             new.update(filterfalse(self.pieces.__contains__, pieces))
             split.append(pieces)
@@ -97,5 +108,5 @@ class Encoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and Python worker."""
-    return Encoder(path)
+    """One encoder for each vocabulary and Python worker, with the ids of the library as it is."""
+    return Encoder(path, special_as_text=False)
