@@ -72,7 +72,10 @@ def statistics(text: str) -> np.ndarray:
     lines = [x for x in data.split(b"\n") if x.strip()]
     packed = sum(len(zlib.compress(data[k : k + BLOCK], 1)) for k in range(0, size, BLOCK))
     worst = np.full(5, -np.inf)
-    for k in range(0, max(1, n - STRETCH // 2), STRETCH):
+    starts = [*range(0, n - STRETCH + 1, STRETCH)]
+    if n % STRETCH:
+        starts.append(max(0, n - STRETCH))  # the last words, with some of the stretch before
+    for k in starts:
         part = words[k : k + STRETCH]
         joined = b"".join(part)
         worst = np.maximum(
