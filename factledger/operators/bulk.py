@@ -21,7 +21,7 @@ SHORTEST = 3
 #: Document types whose numbers carry check digits.
 SCHEMES: dict[str, Callable[[Column], Column]] = {"CPF": check_digits_11, "CNPJ": check_digits_14}
 
-_GRAMS = rf"(?s)(?=(.{{{SHORTEST}}}))"
+_GRAMS = r"(?s)(?=(.{%d}))"
 
 
 def with_errors(entries: DataFrame) -> DataFrame:
@@ -89,6 +89,8 @@ def match_contains(entries: DataFrame, registry: DataFrame, entity: str, value:
     hold, then verified against the text. Texts are folded and written once;
     of their distinct trigrams only those that some entry has are kept. Texts
     and entries meet by equality, so adaptive execution splits a hot trigram.
+    An entry that folds to one or two characters is looked up as a gram of its
+    own length; one that folds to none is in every text.
     """
     rows = pin(
         registry.select(entity, fold(value).alias("_text"))
@@ -98,8 +100,8 @@ def match_contains(entries: DataFrame, registry: DataFrame, entity: str, value:
     )
     asked = pin(_asked(entries, "contains"), "bulk-entries")
 
-    def grams(column: str) -> Column:
-        return F.array_distinct(F.regexp_extract_all(column, F.lit(_GRAMS), F.lit(1)))
+    def grams(column: str, size: int = SHORTEST) -> Column:
+        return F.array_distinct(F.regexp_extract_all(column, F.lit(_GRAMS % size), F.lit(1)))
 
     wanted = asked.select("input_id", F.explode(grams("_asked")).alias("_gram"))
     held = rows.select("_row", F.explode(grams("_text")).alias("_gram"))
@@ -110,8 +112,19 @@ def match_contains(entries: DataFrame, registry: DataFrame, entity: str, value:
     best = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_best")
     rare = rated.groupBy("input_id").agg(best).filter("_best._n > 0").select("input_id", F.col("_best._gram").alias("_gram"))
     candidates = held.join(rare.join(asked, "input_id"), "_gram").select("_row", "input_id", "_asked")
-    found = candidates.join(rows, "_row").filter(F.contains("_text", "_asked"))
-    return found.select("input_id", entity)
+    found = candidates.join(rows, "_row").filter(F.contains("_text", "_asked")).select("input_id", entity)
+    for size in range(SHORTEST):
+        short = asked.filter(F.char_length("_asked") == size)
+        if short.isEmpty():
+            continue
+        if size:
+            short = short.withColumnRenamed("_asked", "_gram")
+            own = rows.select(entity, F.explode(grams("_text", size)).alias("_gram"))
+            more = own.join(short, "_gram")
+        else:
+            more = rows.crossJoin(short.drop("_asked"))
+        found = found.unionByName(more.select("input_id", entity))
+    return found
 
 
 def match_document(entries: DataFrame, registry: DataFrame, entity: str, kind: str, number: str) -> DataFrame:
