@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from factledger.llm.common import new_path, pin, prepare
 from factledger.llm.records import _file_system
 
-#: Shards of the digest array, by the top bits of the hash: 2**SHARD_BITS files.
+#: Shards of the digest array, by the top bits of the hash: 2**SHARD_BITS files at least.
 SHARD_BITS = 4
+#: Rules of one shard on average, at most.
+SHARD_RULES = 250_000
 DEFAULT_VERDICT = "allow"
 
 
@@ -51,12 +53,20 @@ def path_of(url: str = "url") -> Column:
     return F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
 
 
-def build(rules: DataFrame, folder: str | None = None, shard_bits: int = SHARD_BITS) -> DataFrame:
+def bits_for(n_rules: int, shard_rules: int = SHARD_RULES) -> int:
+    """Bits of the hash that name a shard, so that shards stay small at any number of rules."""
+    return max(SHARD_BITS, (max(0, n_rules - 1) // shard_rules).bit_length())
+
+
+def build(rules: DataFrame, folder: str | None = None, shard_bits: int | None = None) -> DataFrame:
     """Write the digest array of ``(host, path, verdict)``; returns its shards.
 
-    One row per shard: ``(folder, shard, name, path_lengths)``.
+    One row per shard: ``(folder, shard, name, path_lengths, shard_bits)``.
+    Without ``shard_bits`` the rules are counted.
     """
     spark = prepare(rules.sparkSession)
+    if shard_bits is None:
+        shard_bits = bits_for(rules.count())
     folder = folder or new_path(spark, "url-digests")
     key = F.concat("host", F.coalesce("path", F.lit("")))
     keys = (
@@ -91,7 +101,7 @@ def build(rules: DataFrame, folder: str | None = None, shard_bits: int = SHARD_B
 
     hashed = keys.mapInPandas(digests, "key string, path_length int, verdict string, digest long, shard int")
     shards = hashed.groupBy("shard").applyInPandas(write, "shard int, name string, path_lengths array<int>")
-    return pin(shards.withColumn("folder", F.lit(folder)), "url-shards")
+    return pin(shards.withColumns({"folder": F.lit(folder), "shard_bits": F.lit(shard_bits)}), "url-shards")
 
 
 @functools.lru_cache(maxsize=64)
@@ -163,14 +173,15 @@ class DigestArray:
         return out
 
 
-def judge(pages: DataFrame, shards: DataFrame, default: str = DEFAULT_VERDICT, shard_bits: int = SHARD_BITS) -> DataFrame:
+def judge(pages: DataFrame, shards: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
     """``(page_id, url, host, path, rule, verdict)`` for every row of ``pages``.
 
-    What tasks are told of the list is one short row per shard, ``2**shard_bits`` at most.
+    What tasks are told of the list is one short row per shard; the bits that name one are stored with it.
     """
     prepare(pages.sparkSession)
     known = shards.collect()
     lengths = sorted({n for row in known for n in row["path_lengths"]})
+    shard_bits = known[0]["shard_bits"] if known else SHARD_BITS
     array = DigestArray(known[0]["folder"] if known else "", {r["shard"]: r["name"] for r in known}, lengths, shard_bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
