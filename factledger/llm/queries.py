@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import exact_dedup, fingerprints, line_dedup, mixing, packing, pii, quality, records, simhash, url_rules
+from factledger.llm import (
+    exact_dedup,
+    fingerprints,
+    line_dedup,
+    mixing,
+    packing,
+    periodic,
+    pii,
+    quality,
+    records,
+    simhash,
+    url_rules,
+)
 from factledger.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +217,62 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return url_rules.judge(pages, url_rules.build(rules)).drop("url")
+
+
+@query(
+    "op11_periodic_runs",
+    r"""
+    WITH t AS (
+      SELECT row_number() OVER () AS r, doc_id,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS o,
+             -- crc32 of the decimal id: each byte is followed by seven empty steps
+             xor(list_reduce(list_prepend(4294967295::BIGINT,
+                   flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                                          lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                   lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384)), 4294967295) AS h
+      FROM documents),
+    g AS (SELECT *, len(o) AS n, h // 10 AS g FROM t),
+    a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+    p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+    e AS (
+      SELECT r, doc_id, n, CASE WHEN a IS NULL THEN o
+             ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN o[i + 1] ELSE o[1 + a + (i - a) % p] END)
+             END AS words
+      FROM p),
+    w AS (SELECT r, n, unnest(range(n)) AS i, unnest(words) AS term FROM e),
+    s AS (
+      SELECT x.r, y.i - x.i AS q, x.i FROM w x JOIN w y
+      ON x.r = y.r AND x.term = y.term AND y.i > x.i AND (y.i - x.i) * 3 <= x.n),
+    k AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM s),
+    l AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY r, q, island),
+    f AS (
+      SELECT r, start, length, min(q) AS period FROM l WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+    c AS (
+      SELECT r, count(*) AS n_runs,
+             first(struct_pack(start, length, period) ORDER BY length / period DESC, start, period) AS top,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said
+      FROM f GROUP BY r),
+    gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM f),
+    m AS (
+      SELECT w.r, string_agg(w.term, ' ' ORDER BY w.i) AS collapsed
+      FROM w LEFT JOIN gone ON gone.r = w.r AND gone.i = w.i WHERE gone.r IS NULL GROUP BY w.r)
+    SELECT e.doc_id, coalesce(c.n_runs, 0) AS n_runs, c.top.start AS start, c.top.length AS length,
+           c.top.period AS period, 1000 * c.top.length // c.top.period AS exponent_milli,
+           sha256(coalesce(c.said, '')) AS runs_sha256, sha256(coalesce(m.collapsed, '')) AS collapsed_sha256
+    FROM e LEFT JOIN c ON c.r = e.r LEFT JOIN m ON m.r = e.r
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_planted_runs(read(spark, sf_dir, "documents")))
+    said = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    top = periodic.foremost(F.col("runs"))
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(said, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
