@@ -200,7 +200,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
 
 
 def foremost(runs: Column) -> Column:
-    """The run with the greatest length / period, the first by start and period of equal ones."""
+    """Of runs in order the one with the greatest length / period, the first of equal ones."""
 
     def better(a: Column, b: Column) -> Column:
         return b["length"] * a["period"] > a["length"] * b["period"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.llm import (
+    divergence,
     exact_dedup,
     fingerprints,
     line_dedup,
@@ -276,3 +277,47 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(said, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    "op12_source_audit",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+      FROM documents),
+    t AS (
+      SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+    v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+    x AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n
+      FROM g JOIN k ON g.lang = k.lang
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM x GROUP BY lang, source),
+    p AS (
+      SELECT x.*, 1 + (1000000000 * (x.n + 2)) // (s.total + 2 * v.v) AS p
+      FROM x JOIN s ON s.lang = x.lang AND s.source = x.source JOIN v ON v.lang = x.lang),
+    l AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM x GROUP BY lang, term),
+    lt AS (SELECT lang, sum(n)::HUGEINT AS total FROM l GROUP BY lang),
+    q AS (
+      SELECT l.lang, l.term, 1 + (1000000000 * (l.n + 2)) // (lt.total + 2 * v.v) AS q
+      FROM l JOIN lt ON lt.lang = l.lang JOIN v ON v.lang = l.lang),
+    f AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    e AS (
+      SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+      LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source
+      UNION ALL
+      SELECT p.lang, p.source, 'term', p.term, ((p - q) * (p - q) // (p + q))::BIGINT
+      FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM e)
+    SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))

@@ -121,7 +121,7 @@ def test_foremost_run_and_planted_tails(spark):
             changed += 1
         want.append((-1 if i is None else i, text or ""))
     assert got == sorted(want) and changed > 2
-    rows = [(5, 60, 20), (2, 30, 10), (2, 36, 12), (0, 24, 9)]
+    rows = [(0, 24, 9), (2, 30, 10), (2, 36, 12), (5, 60, 20)]
     one = spark.createDataFrame([(rows,)], f"runs {periodic.RUN}").select(periodic.foremost(F.col("runs")).alias("top"))
     assert tuple(one.first()["top"]) == (2, 30, 10)
 
