@@ -40,6 +40,11 @@ def drained(batches: Iterator, work) -> Iterator:
             yield work(batch)
 
 
+def sent_if_few(table: DataFrame, rows: int) -> DataFrame:
+    """Sent to all tasks if it has at most ``rows`` rows, else left to the optimiser."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected edges ``(a long, b long)``.
 
@@ -82,4 +87,4 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-__all__ = ["BATCH_ROWS", "SPACE", "components", "drained", "new_path", "pin", "prepare", "read", "text_or_empty"]
+__all__ = ["BATCH_ROWS", "SPACE", "components", "drained", "new_path", "pin", "prepare", "read", "sent_if_few", "text_or_empty"]

@@ -16,6 +16,7 @@ from factledger.llm import (
     packing,
     periodic,
     pii,
+    positional,
     quality,
     records,
     simhash,
@@ -321,3 +322,46 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_decontaminate",
+    r"""
+    WITH t AS (
+      SELECT row_number() OVER () AS r, doc_id,
+             list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+      FROM documents),
+    b AS (
+      SELECT item_id,
+             list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+      FROM benchmark),
+    w AS (
+      SELECT DISTINCT item_id, least(10, len(words)) AS width,
+             array_to_string(words[s : s + least(10, len(words)) - 1], ' ') AS said
+      FROM (SELECT item_id, words, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS s FROM b WHERE len(words) > 0)),
+    g AS (
+      SELECT r, s, width, array_to_string(words[s : s + width - 1], ' ') AS said
+      FROM (SELECT r, words, width, unnest(range(1, len(words) - width + 2)) AS s
+            FROM t, (SELECT DISTINCT width FROM w) WHERE len(words) >= width)),
+    o AS (SELECT g.r, g.s, g.width, w.item_id FROM g JOIN w ON w.width = g.width AND w.said = g.said),
+    h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(s, s + width)) AS place FROM o) GROUP BY r),
+    i AS (
+      SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM o WHERE item_id IS NOT NULL) GROUP BY r)
+    SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM t LEFT JOIN h ON h.r = t.r LEFT JOIN i ON i.r = t.r
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
