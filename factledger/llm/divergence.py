@@ -4,8 +4,8 @@ A term is a run of letters: characters other than ASCII ones that are no letter,
 with A-Z lower-cased. A language keeps the terms of at least ``LEAST_DOCS`` of
 its documents. They are found by byte prefixes: the first level counts, for
 every prefix of ``FIRST_BYTES`` bytes, the documents that hold a term with it;
-prefixes below the threshold are discarded, the rest are extended to twice the
-length, until only complete terms are left. A prefix is in at least as many
+prefixes below the threshold are discarded, the rest are extended to ``LONGER``
+times the length, until only complete terms are left. A prefix is in at least as many
 documents as any term with it, so nothing is lost. Counts are made in narrow
 passes over term lists that are written once, added up within a task and only
 then shuffled.
@@ -36,125 +36,173 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factledger.llm.common import pin, prepare, text_or_empty
+from factledger.llm.common import drained, pin, prepare, text_or_empty
 
 LEAST_DOCS = 10
-FIRST_BYTES = 4
+#: Bytes of the first level's prefixes, and how many times as long the next level's are.
+FIRST_BYTES, LONGER = 3, 3
 SIEVE_BITS = 23
 TOP_TERMS = 10
-#: Terms a task counts at once.
-TERMS_AT_ONCE = 1 << 20
+#: Terms, or rows of counts, that a task handles at once.
+AT_ONCE = 1 << 18
 
 _LETTERS = bytes(b if b > 0x7F or chr(b).isalpha() else 0x20 for b in bytes(range(256)).lower())
-LISTS = "lang string, source string, terms array<string>, counts array<int>"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+LISTS = "lang string, source string, terms string, counts binary"
+
+
+def _batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A task's result in pieces of moderate size."""
+    yield from table.combine_chunks().to_batches(max_chunksize=1 << 15)
+
+
+def _split(joined: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of texts that are separated by blanks, and the text of each."""
+    pieces = pc.ascii_split_whitespace(joined)
+    parents, flat = pc.list_parent_indices(pieces), pc.list_flatten(pieces)
+    real = pc.not_equal(flat, "")
+    return parents.filter(real).to_numpy().astype(np.int64), flat.filter(real)
 
 
 def term_lists(docs: DataFrame) -> DataFrame:
-    """``(lang, source, terms, counts)``: the distinct terms of every row and how often it has them."""
+    """``(lang, source, terms, counts)``: the distinct terms of every row and how often it has them.
+
+    One row per document: terms joined by blanks, counts as 32-bit integers.
+    """
     prepare(docs.sparkSession)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.encode().translate(_LETTERS) for t in batch.column("text").to_pylist()]
-        pieces = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
-        parents, flat = pc.list_parent_indices(pieces), pc.list_flatten(pieces)
-        real = pc.not_equal(flat, "")
-        parents, coded = parents.filter(real).to_numpy().astype(np.int64), flat.filter(real).dictionary_encode()
+        parents, flat = _split(pa.array(texts, pa.binary()).cast(pa.string()))
+        coded = flat.dictionary_encode()
         width = max(1, len(coded.dictionary))
         pairs, counts = np.unique(parents * width + coded.indices.to_numpy(), return_counts=True)
-        ends = np.searchsorted(pairs, width * np.arange(batch.num_rows + 1))
-        offsets = pa.array(ends, pa.int32())
-        terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(pairs % width)))
-        often = pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms, often], ["lang", "source", "terms", "counts"])
+        ends = np.searchsorted(pairs, width * np.arange(batch.num_rows + 1)).astype(np.int32)
+        terms = pa.ListArray.from_arrays(pa.array(ends), coded.dictionary.take(pa.array(pairs % width)))
+        often = [pa.py_buffer(ends * np.int32(4)), pa.py_buffer(counts.astype("<i4"))]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("lang"),
+                batch.column("source"),
+                pc.binary_join(terms, " "),
+                pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, *often]),
+            ],
+            ["lang", "source", "terms", "counts"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+        return drained(batches, work)
 
     named = [text_or_empty(c).alias(c) for c in ("lang", "source", "text")]
     return docs.select(*named).mapInArrow(run, LISTS)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches of term lists together, up to a number of terms."""
+    """Batches of term lists together, up to about ``AT_ONCE`` terms."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         held.append(batch)
-        size += len(batch.column("terms").flatten())
-        if size >= TERMS_AT_ONCE:
+        size += batch.column("terms").nbytes // 8
+        if size >= AT_ONCE:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
     if size:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _sieve(found: DataFrame, term: str) -> np.ndarray:
-    """Bits of the pairs ``(lang, term)``: a table of fixed size."""
-    h = F.xxhash64("lang", term)
-    places = F.array(h, F.shiftrightunsigned(h, 32))
-    place = found.select(F.explode(places).alias("h")).select(F.col("h").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1)).alias("at"))
-    word = F.shiftright("at", 6).alias("word")
-    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
-    rows = place.groupBy(word).agg(F.bit_or(bit).alias("bits")).toPandas()  # at most 2^(SIEVE_BITS - 6) rows
-    table = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return table.view(np.uint64)
+def _marks(names: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A mixed number of each name and of each text."""
+    named, told = (pd.util.hash_array(x.to_numpy(zero_copy_only=False)) for x in (names, texts))
+    return named * _ODD, told
 
 
-def _passes(table: np.ndarray, langs: list[str], pairs: Iterator[tuple[int, bytes]]) -> np.ndarray:
-    """Whether the sieve holds each pair of language number and term."""
-    seeds = [xxhash.xxh64_intdigest(x.encode(), 42) for x in langs]
-    hashes = np.array([xxhash.xxh64_intdigest(t, seeds[k]) for k, t in pairs], np.uint64)
-    passed = np.ones(len(hashes), bool)
-    for h in (hashes, hashes >> np.uint64(32)):
+def _places(marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word and bit of the sieve, twice for each mark."""
+    for h in (marks, marks >> np.uint64(32)):
         at = h & np.uint64((1 << SIEVE_BITS) - 1)
-        passed &= (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return passed
+        yield at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+
+
+def sieve_of(found: DataFrame, term: str) -> np.ndarray:
+    """The bits of all pairs ``(lang, term)`` of ``found``: a table of fixed size."""
+    size = 1 << (SIEVE_BITS - 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, np.uint64)
+        for batch in batches:
+            named, told = _marks(batch.column(0).cast(pa.binary()), batch.column(1))
+            for word, bit in _places(named + told):
+                np.bitwise_or.at(own, word, bit)
+        word = np.flatnonzero(own)
+        yield from _batches(pa.table({"word": word.astype(np.int32), "bits": own[word].view(np.int64)}))
+
+    rows = found.select("lang", F.col(term).cast("binary")).mapInArrow(run, "word int, bits long")
+    table = np.zeros(size, np.int64)
+    for row in rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():  # at most ``size`` rows
+        table[row["word"]] = row["bits"]
+    return table.view(np.uint64)
 
 
 class _Terms:
-    """The terms of many rows as numbers: row, language and term of each."""
+    """The terms of many rows: row number, language number and term of each."""
 
     def __init__(self, table: pa.Table):
-        self.langs, lists = table.column("lang").combine_chunks().dictionary_encode(), table.column("terms").combine_chunks()
-        self.rows = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
-        self.terms = lists.flatten().cast(pa.binary())
-        self.lang = self.langs.indices.to_numpy().astype(np.int64)[self.rows]
-        self.names = self.langs.dictionary.to_pylist()
+        self.table = table
+        self.rows, terms = _split(table.column("terms").combine_chunks())
+        self.terms = terms.cast(pa.binary())
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        self.names = langs.dictionary
+        self.lang = langs.indices.to_numpy().astype(np.int64)[self.rows]
+
+    def cut(self, keep: np.ndarray) -> None:
+        self.rows, self.lang, self.terms = self.rows[keep], self.lang[keep], self.terms.filter(pa.array(keep))
 
     def sieved(self, sieve: np.ndarray, texts: pa.Array) -> np.ndarray:
-        """Which of the terms have a text (a prefix of theirs) that the sieve holds."""
+        """Which terms have a text (a prefix of theirs) that the sieve holds for their language."""
         coded = texts.dictionary_encode()
-        pairs, distinct = pd.factorize(self.lang * len(coded.dictionary) + coded.indices.to_numpy())
-        values = coded.dictionary.to_pylist()
-        each = ((int(x) // len(values), values[int(x) % len(values)]) for x in distinct)
-        return _passes(sieve, self.names, each)[pairs] if len(pairs) else np.zeros(0, bool)
-
-    def prefixes(self, size: int, keep: np.ndarray) -> pa.RecordBatch:
+        named, told = _marks(self.names.cast(pa.binary()), coded.dictionary)
+        marks = named[self.lang] + told[coded.indices.to_numpy()]
+        passed = np.ones(len(marks), bool)
+        for word, bit in _places(marks):
+            passed &= sieve[word] & bit != 0
+        return passed
+
+    def prefixes(self, size: int) -> pa.Table:
         """``(lang, prefix, whole, docs)``: how many rows have a prefix, or a term that is no longer."""
-        terms, rows, lang = self.terms.filter(pa.array(keep)), self.rows[keep], self.lang[keep]
-        whole = pc.less_equal(pc.binary_length(terms), size).to_numpy(zero_copy_only=False)
-        coded = pc.binary_slice(terms, 0, size).dictionary_encode()
-        named = (lang * len(coded.dictionary) + coded.indices.to_numpy()) * 2 + whole
-        number, distinct = pd.factorize(named)
-        once = pd.unique(rows * max(1, len(distinct)) + number) % max(1, len(distinct))
-        docs = np.bincount(once, minlength=len(distinct))
-        code = distinct // 2
+        whole = pc.less_equal(pc.binary_length(self.terms), size).to_numpy(zero_copy_only=False)
+        coded = pc.binary_slice(self.terms, 0, size).dictionary_encode()
         width = max(1, len(coded.dictionary))
-        return pa.RecordBatch.from_arrays(
-            [
-                self.langs.dictionary.take(pa.array(code // width)),
-                coded.dictionary.take(pa.array(code % width)),
-                pa.array(distinct % 2 == 1),
-                pa.array(docs, pa.int64()),
-            ],
-            ["lang", "prefix", "whole", "docs"],
+        number, distinct = pd.factorize((self.lang * width + coded.indices.to_numpy()) * 2 + whole)
+        many = max(1, len(distinct))
+        docs = np.bincount(pd.unique(self.rows * many + number) % many, minlength=len(distinct))
+        return pa.table(
+            {
+                "lang": self.names.take(pa.array(distinct // 2 // width)),
+                "prefix": coded.dictionary.take(pa.array(distinct // 2 % width)),
+                "whole": pa.array(distinct % 2 == 1),
+                "docs": pa.array(docs[: len(distinct)], pa.int64()),
+            }
+        )
+
+    def sums(self, counts: np.ndarray) -> pa.Table:
+        """``(lang, source, term, n)``: ``counts`` of the terms added up."""
+        sources = self.table.column("source").combine_chunks().dictionary_encode()
+        coded = self.terms.dictionary_encode()
+        width, many = max(1, len(coded.dictionary)), len(sources.dictionary)
+        source = sources.indices.to_numpy().astype(np.int64)[self.rows]
+        number, distinct = pd.factorize((self.lang * many + source) * width + coded.indices.to_numpy())
+        return pa.table(
+            {
+                "lang": self.names.take(pa.array(distinct // width // many)),
+                "source": sources.dictionary.take(pa.array(distinct // width % many)),
+                "term": coded.dictionary.take(pa.array(distinct % width)).cast(pa.string()),
+                # whole numbers below 2^53 add up exactly
+                "n": pa.array(np.bincount(number, counts, len(distinct)).astype(np.int64)[: len(distinct)]),
+            }
         )
 
 
@@ -165,11 +213,10 @@ def _level(lists: DataFrame, size: int, sieve: np.ndarray | None, least: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches):
             found = _Terms(table)
-            keep = np.ones(len(found.rows), bool)
             if sent is not None:
-                longer = pc.greater(pc.binary_length(found.terms), size // 2).to_numpy(zero_copy_only=False)
-                keep = longer & found.sieved(sent.value, pc.binary_slice(found.terms, 0, size // 2))
-            yield found.prefixes(size, keep)
+                found.cut(pc.greater(pc.binary_length(found.terms), size // LONGER).to_numpy(zero_copy_only=False))
+                found.cut(found.sieved(sent.value, pc.binary_slice(found.terms, 0, size // LONGER)))
+            yield from _batches(found.prefixes(size))
 
     counted = lists.select("lang", "terms").mapInArrow(run, "lang string, prefix binary, whole boolean, docs long")
     return counted.groupBy("lang", "prefix", "whole").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least)
@@ -182,41 +229,44 @@ def kept_terms(lists: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
         found = pin(_level(lists, size, sieve, least), "iceberg-level")
         whole = found.filter("whole").select("lang", F.col("prefix").cast("string").alias("term"), "docs")
         kept = whole if kept is None else kept.unionByName(whole)
-        open_ = found.filter("NOT whole")
-        if open_.isEmpty():
+        unfinished = found.filter("NOT whole")
+        if unfinished.isEmpty():
             return pin(kept, "iceberg-terms")
-        size, sieve = size * 2, _sieve(open_, "prefix")
+        size, sieve = size * LONGER, sieve_of(unfinished, "prefix")
 
 
 def occurrences(lists: DataFrame, kept: DataFrame) -> DataFrame:
-    """``(lang, source, term, n)``: how often each group has each kept term that it has."""
-    sent = lists.sparkSession.sparkContext.broadcast(_sieve(kept, "term"))
+    """``(lang, source, term, n, spoken)``: how often each group has each kept term that it has.
+
+    ``spoken`` is how often the language has it.
+    """
+    sent = lists.sparkSession.sparkContext.broadcast(sieve_of(kept, "term"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches):
             found = _Terms(table)
-            keep = pa.array(found.sieved(sent.value, found.terms))
-            rows = pa.array(found.rows).filter(keep)
-            each = pa.table(
-                {
-                    "lang": table.column("lang").take(rows),
-                    "source": table.column("source").take(rows),
-                    "term": found.terms.cast(pa.string()).filter(keep),
-                    "n": table.column("counts").combine_chunks().flatten().cast(pa.int64()).filter(keep),
-                }
-            )
-            added = each.group_by(["lang", "source", "term"]).aggregate([("n", "sum")])
-            yield from added.rename_columns(["lang", "source", "term", "n"]).combine_chunks().to_batches()
+            counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i4")
+            keep = found.sieved(sent.value, found.terms)
+            found.cut(keep)
+            yield from _batches(found.sums(counts[keep]))
 
     counted = lists.mapInArrow(run, "lang string, source string, term string, n long")
-    added = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return added.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n")
+    # dealt out by term: its groups, their sum and the check for kept terms meet in one place
+    added = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    added = added.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    spoken = F.sum("n").over(Window.partitionBy("lang", "term"))
+    return added.select("lang", "source", "term", "n", spoken.alias("spoken"))
 
 
-def _share(count: str) -> Column:
+def _share(count: str, total: str = "total") -> Column:
     """p of a count among ``total`` occurrences of ``v`` terms; null without terms."""
-    exact = f"1 + (CAST(1000000000 AS DECIMAL(10, 0)) * CAST({count} + 2 AS DECIMAL(20, 0))) div CAST(total + 2 * v AS DECIMAL(20, 0))"
-    return F.expr(f"CASE WHEN v > 0 THEN {exact} END")
+    whole = f"CAST({total} + 2 * v AS DECIMAL(20, 0))"
+    wide = f"(CAST(1000000000 AS DECIMAL(10, 0)) * CAST({count} + 2 AS DECIMAL(20, 0))) div {whole}"
+    # products of 64 bits where they suffice: the same numbers, sooner
+    return F.expr(
+        f"CASE WHEN v > 0 THEN 1 + CASE WHEN {count} < 9000000000L THEN (1000000000L * ({count} + 2)) div ({total} + 2 * v) "
+        f"ELSE {wide} END END"
+    )
 
 
 def _apart(p: str, q: str) -> Column:
@@ -228,6 +278,78 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
+def _in_common(rows: pa.Table) -> pa.Table:
+    """``(lang, a, b, value)``: the corrections of terms that two sources have.
+
+    ``rows`` are ordered by language and term; every row meets the next, the one
+    after that and so on within its term.
+    """
+    coded = [rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term", "source")]
+    lang, term, source = (c.indices.to_numpy().astype(np.int64) for c in coded)
+    p, none = rows.column("p").to_numpy(), rows.column("none").to_numpy()
+    many = len(coded[2].dictionary)
+    added: dict[int, int] = {}
+    step = 1
+    while True:
+        i = np.flatnonzero((lang[:-step] == lang[step:]) & (term[:-step] == term[step:]))
+        if not len(i):
+            break
+        j = i + step
+
+        def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return (x - y) * (x - y) // (x + y)
+
+        value = apart(p[i], p[j]) - apart(p[i], none[j]) - apart(none[i], p[j]) + apart(none[i], none[j])
+        number, distinct = pd.factorize((lang[i] * many + source[i]) * many + source[j])
+        # at most AT_ONCE values below 2^32: sums below 2^53 are exact
+        for key, x in zip(distinct.tolist(), np.bincount(number, value).tolist(), strict=True):
+            added[key] = added.get(key, 0) + int(x)
+        step += 1
+    keys = np.array(list(added), np.int64)
+    sources = coded[2].dictionary
+    return pa.table(
+        {
+            "lang": coded[0].dictionary.take(pa.array(keys // many // many)),
+            "a": sources.take(pa.array(keys // many % many)),
+            "b": sources.take(pa.array(keys % many)),
+            "value": pa.array(list(added.values()), pa.int64()),
+        }
+    )
+
+
+def _by_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of their terms in tables of whole terms."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < AT_ONCE:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        same = pc.and_(pc.equal(table["term"], table["term"][-1]), pc.equal(table["lang"], table["lang"][-1]))
+        cut = pc.index(same, True).as_py()
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).combine_chunks().to_batches()
+        size = table.num_rows - cut
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def shared_terms(counts: DataFrame) -> DataFrame:
+    """``(lang, a, b, value)``, ``a`` before ``b``: added up over the terms that both have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_terms(batches):
+            yield from _batches(_in_common(table))
+
+    rows = counts.select("lang", "term", "source", "p", "none").repartition("lang", "term")
+    found = rows.sortWithinPartitions("lang", "term").mapInArrow(run, "lang string, a string, b string, value long")
+    least, most = F.least("a", "b"), F.greatest("a", "b")
+    return found.groupBy("lang", least.alias("a"), most.alias("b")).agg(F.sum("value").alias("value"))
+
+
 def pairs(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """``(lang, source, item, value)``: every two sources of a language, both ways.
 
@@ -245,14 +367,10 @@ def pairs(groups: DataFrame, counts: DataFrame) -> DataFrame:
     )
     least, most = F.least("source", "item"), F.greatest("source", "item")
     single = single.groupBy("lang", least.alias("a"), most.alias("b")).agg(F.sum("value").alias("value"))
-    right = counts.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("p_b"), F.col("none").alias("none_b"))
-    shared = counts.withColumnRenamed("source", "a").join(right, ["lang", "term"]).filter("a < b")
-    value = _apart("p", "p_b") - _apart("p", "none_b") - _apart("none", "p_b") + _apart("none", "none_b")
-    shared = shared.select("lang", "a", "b", value.alias("value")).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     whole = both.filter("source < item").select(
         "lang", F.col("source").alias("a"), F.col("item").alias("b"), (F.col("v") * lacking).alias("value")
     )
-    every = whole.unionByName(single).unionByName(shared).groupBy("lang", "a", "b")
+    every = whole.unionByName(single).unionByName(shared_terms(counts)).groupBy("lang", "a", "b")
     added = every.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value"))
     ways = F.array(
         F.struct(F.col("a").alias("source"), F.col("b").alias("item")),
@@ -270,15 +388,13 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS) -> Dat
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = lists.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
-    groups = pin(groups.withColumn("none", _share("0")), "audit-groups")
-    counts = found.join(groups, ["lang", "source"]).withColumn("p", _share("n"))
-    counts = pin(counts.select("lang", "source", "term", "n", "p", "none"), "audit-shares")
-    langs = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
-    spoken = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(pin(langs, "audit-langs"), "lang")
-    spoken = spoken.select("lang", "term", _share("n").alias("q"))
-    own = counts.join(spoken, ["lang", "term"]).filter("p > q")
+    whole = groups.groupBy("lang").agg(F.sum("total").alias("all_total"))
+    groups = pin(groups.join(whole, "lang").withColumn("none", _share("0L")), "audit-groups")
+    shares = found.join(groups, ["lang", "source"]).withColumns({"p": _share("n"), "q": _share("spoken", "all_total")})
+    counts = pin(shares.select("lang", "source", "term", "p", "q", "none"), "audit-shares")
+    own = counts.filter("p > q")
     terms = own.select("lang", "source", F.col("term").alias("item"), _apart("p", "q").alias("value"))
     named = ["lang", "source", "part", "item", "value", "rank"]
     terms = _ranked(terms).filter(F.col("rank") <= top).withColumn("part", F.lit("term"))
-    sources = _ranked(pairs(groups.drop("total"), counts.drop("n"))).withColumn("part", F.lit("pair"))
+    sources = _ranked(pairs(groups.drop("total", "all_total"), counts)).withColumn("part", F.lit("pair"))
     return sources.select(*named).unionByName(terms.select(*named))

@@ -6,7 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,7 +81,7 @@ def test_audit_equals_plain_counting(spark, rows, least, top):
 def test_levels_discard_by_distinct_documents(spark, rows):
     lists = divergence.term_lists(frame(spark, rows))
     texts = [(a or "", set(plain_terms(t))) for a, _, t in rows]
-    for size in (4, 8):
+    for size in (3, 9):
         found = {(r["lang"], bytes(r["prefix"]), r["whole"]): r["docs"] for r in divergence._level(lists, size, None, 10).collect()}
         want = Counter()
         for lang, terms in texts:
@@ -90,11 +90,25 @@ def test_levels_discard_by_distinct_documents(spark, rows):
 
 
 def test_sieve_holds_what_it_was_given(spark):
-    names = [("en", f"t{k}é") for k in range(3000)] + [("", "")]
-    table = divergence._sieve(spark.createDataFrame(names, "lang string, term string"), "term")
-    own = divergence._passes(table, ["en", ""], [(0 if a else 1, t.encode()) for a, t in names])
-    other = divergence._passes(table, ["en"], [(0, f"u{k}".encode()) for k in range(3000)])
-    assert own.all() and other.mean() < 0.01 and table.dtype == np.uint64
+    names = [("en", f"t{k}é") for k in range(3000)] + [("de", "de")]
+    sieve = divergence.sieve_of(spark.createDataFrame(names, "lang string, term string"), "term")
+
+    def share(lang, terms):
+        table = pa.table({"lang": [lang], "source": [""], "terms": [" ".join(terms)]})
+        found = divergence._Terms(table)
+        return found.sieved(sieve, found.terms).mean()
+
+    assert share("en", [t for _, t in names[:-1]]) == 1 == share("de", ["de"])
+    assert share("en", [f"u{k}" for k in range(3000)]) < 0.01 > share("de", [t for _, t in names[:-1]])
+
+
+def test_blocks_hold_whole_terms(spark, rows, monkeypatch):
+    monkeypatch.setattr(divergence, "AT_ONCE", 50)
+    batches = pa.table({"lang": ["a"] * 90 + ["b"] * 90, "term": [f"t{k // 7:03}" for k in range(180)]}).to_batches(13)
+    found = [t.to_pydict() for t in divergence._by_terms(iter(batches))]
+    keys = [set(zip(t["lang"], t["term"], strict=True)) for t in found]
+    assert sum(len(t["term"]) for t in found) == 180 and len(found) > 2
+    assert sum(map(len, keys)) == len(set().union(*keys))
 
 
 def test_empty_and_wordless_tables(spark):
