@@ -120,9 +120,14 @@ def assign(records: DataFrame) -> DataFrame:
       a greedy matching on (source, document) pairs ordered by arrival;
     * with owners and registration times known, each record is judged alone.
 
-    The matching takes, each round, every pair that is the earliest at both of
-    its ends, so a document wanted by a third of all sources is settled in one
-    round. All steps are joins on unique right sides and partial aggregations.
+    A pair waits for the earlier ones at its source and at its document. Pairs
+    that wait for none are taken. A pair that waits for a single other one is
+    taken if that one is not, so along such links the answer alternates: they
+    are settled by pointer doubling, a chain of any length in as many rounds as
+    its length has binary digits. Pairs that wait for several are judged anew
+    once those settled are gone; a document wanted by a third of all sources is
+    settled in one round. All steps are joins on unique right sides and partial
+    aggregations.
     """
     firsts = records.groupBy("source_key").agg(F.min_by(F.struct("doc_key", "arrival"), "arrival").alias("f"))
     firsts = pin(firsts.select("source_key", F.col("f.doc_key").alias("first_doc"), F.col("f.arrival").alias("first_at")), "firsts")
@@ -169,21 +174,57 @@ def assign(records: DataFrame) -> DataFrame:
 
 
 def _earliest_matching(wishes: DataFrame) -> DataFrame:
-    """Greedy matching of (source_key, doc_key) pairs in order of ``at``."""
-    left, chosen = wishes, []
+    """Greedy matching of (source_key, doc_key) pairs in order of ``at``, which tells pairs apart."""
+    left, chosen = wishes, None
+    while not left.isEmpty():
+        ranked = left.withColumn("waits", F.lit(0)).withColumn("on", F.lit(None).cast(left.schema["at"].dataType))
+        for end in ("source_key", "doc_key"):
+            first = left.groupBy(end).agg(F.min("at").alias("first"))
+            later = left.join(first, end).filter("at > first").groupBy(end).agg(F.min("at").alias("second"))
+            ranked = ranked.join(first, end).join(later, end, "left")
+            # 0, 1 or several earlier pairs at this end
+            earlier = F.when(F.col("at") == F.col("first"), 0).when(F.col("at") == F.col("second"), 1).otherwise(2)
+            ranked = ranked.withColumn("on", F.when(earlier == 1, F.col("first")).otherwise(F.col("on")))
+            ranked = ranked.withColumn("waits", F.col("waits") + earlier).drop("first", "second")
+        ranked = pin(ranked.select("source_key", "doc_key", "at", "waits", F.when(F.col("waits") == 1, F.col("on")).alias("on")), "ranked")
+        settled = _settled(ranked)
+        won = pin(ranked.join(settled.filter("taken"), "at", "left_semi").select("source_key", "doc_key", "at"), "won")
+        chosen = won if chosen is None else chosen.unionByName(won)
+        left = left.join(won.select("source_key"), "source_key", "left_anti").join(won.select("doc_key"), "doc_key", "left_anti")
+        left = pin(left, "wishes")
+    return wishes if chosen is None else chosen
+
+
+def _settled(ranked: DataFrame) -> DataFrame:
+    """``(at, taken)`` of the pairs whose links lead to one that waits for none.
+
+    Every round doubles the reach of the links that have not arrived; parity
+    counts the links passed.
+    """
+    done = ranked.filter("waits = 0").select("at", F.lit(True).alias("taken"))
+    links = ranked.filter("waits = 1").select("at", "on", F.lit(1).alias("odd"))
     while True:
-        by_source = left.groupBy("source_key").agg(F.min("at").alias("s_at"))
-        by_doc = left.groupBy("doc_key").agg(F.min("at").alias("d_at"))
-        ranked = left.join(by_source, "source_key").join(by_doc, "doc_key")
-        won = pin(ranked.filter((F.col("at") == F.col("s_at")) & (F.col("at") == F.col("d_at"))).select("source_key", "doc_key", "at"), "won")
-        chosen.append(won)
-        left = pin(
-            left.join(won.select("source_key"), "source_key", "left_anti").join(won.select("doc_key"), "doc_key", "left_anti"),
-            "wishes",
-        )
-        if left.isEmpty():
-            break
-    result = chosen[0]
-    for won in chosen[1:]:
-        result = result.unionByName(won)
-    return result
+        links = _doubled(links, done)
+        done = links.filter("arrived").select("at", F.col("odd") == 0).toDF("at", "taken").unionByName(done)
+        moving = links.filter("moved AND NOT arrived")
+        if moving.isEmpty():
+            return done
+        links = links.filter("NOT arrived").select("at", "on", "odd")
+
+
+def _doubled(links: DataFrame, done: DataFrame) -> DataFrame:
+    """Every link passed on to where its target's link leads; ``arrived`` at a settled pair."""
+    ends = done.select(F.col("at").alias("on"), (~F.col("taken")).cast("int").alias("end_odd"), F.lit(True).alias("arrived"))
+    steps = links.select(F.col("at").alias("on"), F.col("on").alias("then"), F.col("odd").alias("then_odd"))
+    passed = links.join(ends, "on", "left").join(steps, "on", "left")
+    odd = F.col("odd").bitwiseXOR(F.coalesce("end_odd", "then_odd", F.lit(0)))
+    return pin(
+        passed.select(
+            "at",
+            F.coalesce("then", "on").alias("on"),
+            odd.alias("odd"),
+            F.coalesce("arrived", F.lit(False)).alias("arrived"),
+            F.col("then").isNotNull().alias("moved"),
+        ),
+        "links",
+    )

@@ -61,7 +61,41 @@ def entity_components(t: Tables):
     return identity.components(id_keys(t), "record")
 
 
-@query("entity_assign")
+ASSIGNED = q.IDREC + """,
+firsts AS (SELECT source_key, doc_key AS first_doc, arrival AS first_at FROM idrec
+  QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY arrival) = 1),
+claimed AS (SELECT first_doc AS doc_key, min(first_at) AS t0 FROM firsts WHERE first_doc IS NOT NULL GROUP BY 1),
+wishes AS (SELECT i.source_key, i.doc_key, min(i.arrival) AS moment FROM idrec i JOIN firsts f USING (source_key) LEFT JOIN claimed c ON c.doc_key = i.doc_key
+  WHERE f.first_doc IS NULL AND i.doc_key IS NOT NULL GROUP BY i.source_key, i.doc_key, c.t0 HAVING c.t0 IS NULL OR min(i.arrival) < c.t0),
+-- every step keeps the pairs that are first at both ends and what they leave over
+matching(step, source_key, doc_key, moment, won) AS (
+  SELECT 0, source_key, doc_key, moment, FALSE FROM wishes
+  UNION ALL
+  SELECT step, source_key, doc_key, moment, won FROM (
+    SELECT *, bool_or(won) OVER (PARTITION BY source_key) OR bool_or(won) OVER (PARTITION BY doc_key) AS touched FROM (
+      SELECT step + 1 AS step, source_key, doc_key, moment,
+        moment = min(moment) OVER (PARTITION BY source_key) AND moment = min(moment) OVER (PARTITION BY doc_key) AS won
+      FROM matching WHERE NOT won))
+  WHERE won OR NOT touched),
+documents AS (
+  SELECT doc_key, moment AS reg_at, 'source:' || source_key AS doc_owner FROM matching WHERE won
+  UNION ALL SELECT doc_key, t0, 'document:' || doc_key FROM claimed WHERE doc_key NOT IN (SELECT doc_key FROM matching WHERE won)),
+sources AS (SELECT f.source_key, f.first_at, coalesce(d.doc_owner, 'source:' || f.source_key) AS source_owner
+  FROM firsts f LEFT JOIN documents d ON d.doc_key = f.first_doc),
+judged AS (SELECT i.record, i.arrival, i.doc_key, s.first_at, s.source_owner, d.doc_owner, coalesce(d.reg_at <= i.arrival, FALSE) AS known
+  FROM idrec i JOIN sources s USING (source_key) LEFT JOIN documents d ON d.doc_key = i.doc_key)"""
+
+
+@query(
+    "entity_assign",
+    q.with_(
+        ASSIGNED,
+        """SELECT record, arrival, CASE WHEN doc_key IS NULL OR (known AND doc_owner = source_owner) THEN source_owner END AS owner,
+  CASE WHEN doc_key IS NULL OR (known AND doc_owner = source_owner) THEN CASE WHEN arrival = first_at THEN 'registered' ELSE 'joined' END
+       WHEN known THEN 'distinct_owners' ELSE 'different_document' END AS outcome FROM judged""",
+        recursive=True,
+    ),
+)
 def entity_assign(t: Tables):
     return identity.assign(t.idrec)
 

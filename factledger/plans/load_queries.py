@@ -302,57 +302,127 @@ def pred_eq_typed(t: Tables):
 
 
 def projection_input(t: Tables) -> DataFrame:
-    kind = F.element_at(
-        F.create_map(*[F.lit(x) for x in ("click", "email", "purchase", "document", "view", "phone", "signup", "username", "error", "gadget")]),
-        F.col("item"),
+    """Current fields of every kind, among them custom ones, days and texts that can't be indexed."""
+    key = F.col("id")
+    names = ("click", "email", "purchase", "document", "view", "phone", "signup", "username", "error", "gadget")
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in names]), F.col("item"))
+    kind = F.when(key % 17 == 0, "custom").when(key % 11 == 0, "identity").otherwise(kind)
+    path = F.element_at(F.array(*[F.lit(x) for x in ("number", "type", "email", "country")]), (key % 4 + 1).cast("int"))
+    path = F.when(key % 17 == 0, "value").when(key % 11 == 0, "birth_date").otherwise(path)
+    text = (
+        F.when(key % 31 == 0, F.concat(F.lit("a"), F.char(F.lit(0)), F.lit("b")))
+        .when(key % 37 == 0, F.repeat(F.lit("x"), F.lit(8193)))
+        .when(key % 22 == 0, "1999-02-30")
+        .when(key % 11 == 0, "1980-05-17")
+        .otherwise(F.concat(F.lit("Élan "), F.col("source")))
     )
-    path = F.element_at(F.array(*[F.lit(x) for x in ("number", "type", "email", "country")]), (F.col("id") % 4 + 1).cast("int"))
-    json_type = F.when(F.col("id") % 13 == 0, "object").when(F.col("id") % 2 == 0, "integer").otherwise("text")
+    json_type = F.when(key % 13 == 0, "object").when((key % 2 == 0) & (key % 11 > 0), "integer").otherwise("text")
+    types = F.when(key % 5 == 0, "reference").when(key % 5 == 1, "date").otherwise("text")
+    definition = F.struct(
+        F.col("item").alias("field_id"), (key % 3 + 1).alias("version"), F.sha2("item", 256).alias("sha256"),
+        types.alias("type"), F.lit("v1").alias("contract"), F.lit(None).cast("string").alias("deployment_id"),
+    )
     return t.decided.filter(F.col("applied")).select(
-        "owner", "id", kind.alias("kind"), path.alias("path"), F.col("source").cast("string").alias("value"),
-        json_type.alias("json_type"), "status", (F.col("id") % 5 == 1).alias("confirmed"),
+        "owner",
+        "id",
+        kind.alias("kind"),
+        path.alias("path"),
+        F.when(json_type == "integer", F.col("source").cast("string")).otherwise(text).alias("value"),
+        json_type.alias("json_type"),
+        "status",
+        (key % 8 == 5).alias("derived"),
+        F.col("source").cast("string").alias("source"),
+        F.when(key % 29 == 0, F.repeat(F.lit("m"), F.lit(9000))).otherwise("{}").alias("metadata"),
+        F.when(key % 34 != 0, definition).alias("definition"),
+        "effective",
+        "received",
+    )
+
+
+def projection_flags(t: Tables) -> DataFrame:
+    """One flag for every third field, some of other fields and some of unknown names."""
+    key = F.col("id")
+    names = F.array(*[F.lit(x) for x in ("valid", "is_whatsapp", "deliverable", "valid", "seen")])
+    return projection_input(t).filter(key % 3 == 0).select(
+        "owner",
+        "id",
+        F.when(key % 7 == 0, "other").otherwise(F.col("path")).alias("path"),
+        F.element_at(names, (key % 5 + 1).cast("int")).alias("name"),
+        F.when(key % 4 < 2, True).when(key % 4 == 2, False).alias("value"),
+        (key % 10 != 3).alias("applicable"),
+        F.col("received").alias("expires"),
     )
 
 
 PROJECTED = q.DECIDED + """,
-allowed(kind, path) AS (VALUES ('document','number'),('document','type'),('document','country'),('phone','number'),('phone','type'),('phone','country'),('email','email')),
-pin AS (SELECT owner, id, CASE item WHEN 'click' THEN 'email' WHEN 'purchase' THEN 'document' WHEN 'view' THEN 'phone' WHEN 'signup' THEN 'username' ELSE 'gadget' END AS kind,
-  ['number', 'type', 'email', 'country'][id % 4 + 1] AS path, CAST(source AS VARCHAR) AS value,
-  CASE WHEN id % 13 = 0 THEN 'object' WHEN id % 2 = 0 THEN 'integer' ELSE 'text' END AS json_type, status, id % 5 = 1 AS confirmed FROM decided WHERE applied),
-proj AS (SELECT p.*, CASE WHEN kind = 'gadget' THEN 'unknown_items' WHEN a.path IS NULL THEN 'unknown_fields' WHEN json_type = 'object' THEN 'unsupported_values' END AS omitted
-  FROM pin p LEFT JOIN allowed a USING (kind, path))"""
+allowed(kind, path) AS (VALUES ('document','number'),('document','type'),('document','country'),('phone','number'),('phone','type'),('phone','country'),
+  ('email','email'),('custom','value'),('identity','birth_date')),
+pin0 AS (SELECT owner, id, item, status, CAST(source AS VARCHAR) AS source, effective, received, id % 8 = 5 AS derived,
+  CASE WHEN id % 17 = 0 THEN 'custom' WHEN id % 11 = 0 THEN 'identity' ELSE CASE item WHEN 'click' THEN 'email' WHEN 'purchase' THEN 'document' WHEN 'view' THEN 'phone'
+    WHEN 'signup' THEN 'username' ELSE 'gadget' END END AS kind,
+  CASE WHEN id % 17 = 0 THEN 'value' WHEN id % 11 = 0 THEN 'birth_date' ELSE ['number', 'type', 'email', 'country'][id % 4 + 1] END AS path,
+  CASE WHEN id % 13 = 0 THEN 'object' WHEN id % 2 = 0 AND id % 11 > 0 THEN 'integer' ELSE 'text' END AS json_type,
+  CASE WHEN id % 31 = 0 THEN 'unsafe' WHEN id % 37 = 0 THEN 'long' WHEN id % 22 = 0 THEN '1999-02-30' WHEN id % 11 = 0 THEN '1980-05-17' ELSE 'Élan ' || source END AS text,
+  CASE id % 5 WHEN 0 THEN 'reference' WHEN 1 THEN 'date' ELSE 'text' END AS type,
+  id % 29 = 0 AS much, id % 34 <> 0 AS bound FROM decided WHERE applied),
+flag AS (SELECT owner, id, CASE WHEN id % 7 = 0 THEN 'other' ELSE path END AS path, ['valid', 'is_whatsapp', 'deliverable', 'valid', 'seen'][id % 5 + 1] AS name,
+  CASE WHEN id % 4 < 2 THEN TRUE WHEN id % 4 = 2 THEN FALSE END AS value, id % 10 <> 3 AS applicable, received AS expires FROM pin0 WHERE id % 3 = 0),
+proj0 AS (SELECT p.*, CASE WHEN kind = 'gadget' THEN 'unknown_items' WHEN a.path IS NULL THEN 'unknown_fields' WHEN kind = 'custom' AND NOT bound THEN 'unbound_custom_fields'
+    WHEN kind = 'custom' AND type = 'reference' OR json_type = 'object' THEN 'unsupported_values'
+    WHEN json_type = 'text' AND text = 'unsafe' THEN 'unsafe_text' WHEN json_type = 'text' AND text = 'long' THEN 'long_text' END AS omitted,
+  json_type = 'text' AND (path = 'birth_date' OR kind = 'custom' AND type = 'date') AS dated FROM pin0 p LEFT JOIN allowed a USING (kind, path)),
+proj AS (SELECT *, omitted IS NULL AND status <> 'pending' AND NOT (dated AND text <> '1980-05-17') AS resolved FROM proj0),
+shown AS (SELECT p.*, f.name, f.expires, CASE WHEN p.resolved AND f.applicable THEN f.value END AS said FROM proj p
+  LEFT JOIN flag f ON f.owner = p.owner AND f.id = p.id AND f.path = p.path)"""
 
 
 @query(
     "search_projection",
     q.with_(
         PROJECTED,
-        """SELECT owner, id, kind, path, omitted, omitted IS NULL AND status <> 'pending' AS resolved, CASE WHEN omitted IS NULL THEN json_type END AS value_type,
-  CASE WHEN omitted IS NULL AND json_type = 'text' THEN value END AS value_exact,
-  CASE WHEN omitted IS NULL AND json_type = 'integer' THEN CASE WHEN value = '0' THEN '0e0' ELSE value || 'e0' END END AS number_exact,
-  omitted IS NULL AND status <> 'pending' AND confirmed AS confirmation_recorded FROM proj""",
+        """SELECT owner, id, kind, path, omitted, resolved, CASE WHEN omitted IS NULL THEN json_type END AS value_type,
+  CASE WHEN omitted IS NULL AND json_type = 'text' THEN text END AS value_exact,
+  CASE WHEN omitted IS NULL AND json_type = 'text' THEN strip_accents(lower(text)) END AS value_folded,
+  CASE WHEN omitted IS NULL AND json_type = 'integer' THEN CASE WHEN source = '0' THEN '0e0' ELSE source || 'e0' END END AS number_exact,
+  CASE WHEN resolved AND dated THEN CAST(text AS DATE) END AS value_date, sha256('{"source":"' || source || '"}') AS source_key,
+  CASE WHEN kind = 'custom' AND omitted IS NULL THEN sha256('{"contract":"v1","deployment_id":null,"field_id":"' || item || '","sha256":"' || sha256(item) || '","type":"' || type
+    || '","version":' || (id % 3 + 1) || '}') END AS custom_key,
+  effective, received, CASE WHEN NOT much THEN '{}' END AS metadata,
+  CASE WHEN name = 'valid' AND NOT derived AND said IS NOT NULL THEN CAST(said AS VARCHAR) ELSE 'unknown' END AS valid,
+  CASE WHEN name = 'is_whatsapp' AND NOT derived AND said IS NOT NULL THEN CAST(said AS VARCHAR) ELSE 'unknown' END AS is_whatsapp,
+  CASE WHEN name = 'deliverable' AND NOT derived AND said IS NOT NULL THEN CAST(said AS VARCHAR) ELSE 'unknown' END AS deliverable,
+  CASE WHEN name = 'valid' THEN expires END AS valid_until,
+  CASE WHEN name = 'valid' AND derived AND said IS NOT NULL THEN CAST(said AS VARCHAR) ELSE 'unknown' END AS parent_valid,
+  coalesce(resolved AND NOT derived AND name = 'valid' AND said, FALSE) AS confirmation_recorded FROM shown""",
     ),
 )
 def search_projection(t: Tables):
-    projected = projection.project_fields(projection_input(t), projection.searchable_table(t.spark))
-    return projected.select(
-        "owner", "id", "kind", "path", "omitted", "resolved", "value_type", "value_exact", "number_exact", "confirmation_recorded"
+    projected = projection.project_fields(
+        projection_input(t), projection.searchable_table(t.spark), projection_flags(t), ["owner", "id"]
     )
+    return projected.select(
+        "owner", "id", "kind", "path", "omitted", "resolved", "value_type", "value_exact", "value_folded", "number_exact", "value_date",
+        "source_key", "custom_key", "effective", "received", "metadata", F.col("flag_valid.state").alias("valid"),
+        F.col("flag_is_whatsapp.state").alias("is_whatsapp"), F.col("flag_deliverable.state").alias("deliverable"),
+        F.col("flag_valid.expires").alias("valid_until"), F.col("parent_valid.state").alias("parent_valid"), "confirmation_recorded",
+    )
 
 
 @query(
     "projection_omissions",
     q.with_(
         PROJECTED,
-        """SELECT owner, count(*) FILTER (omitted IS NULL) AS indexed, count(*) FILTER (omitted = 'unknown_items') AS unknown_items,
+        """, counted AS (SELECT owner, count(*) FILTER (omitted IS NULL) AS indexed, count(*) FILTER (omitted = 'unknown_items') AS unknown_items,
   count(*) FILTER (omitted = 'unknown_fields') AS unknown_fields, count(*) FILTER (omitted = 'unsupported_values') AS unsupported_values,
-  CAST(0 AS BIGINT) AS unsafe_text, CAST(0 AS BIGINT) AS long_text FROM proj GROUP BY owner""",
+  count(*) FILTER (omitted = 'unsafe_text') AS unsafe_text, count(*) FILTER (omitted = 'long_text') AS long_text,
+  count(*) FILTER (omitted = 'unbound_custom_fields') AS unbound_custom_fields, count(*) FILTER (omitted IS NULL AND much) AS metadata FROM proj GROUP BY owner)
+SELECT *, (SELECT count(*) FROM flag f WHERE f.owner = counted.owner AND name = 'seen') AS unknown_flags FROM counted""",
     ),
 )
 def projection_omissions(t: Tables):
-    return projection.omissions(
-        projection.project_fields(projection_input(t), projection.searchable_table(t.spark)), "owner"
-    )
+    flags = projection_flags(t)
+    projected = projection.project_fields(projection_input(t), projection.searchable_table(t.spark), flags, ["owner", "id"])
+    return projection.omissions(projected, flags, "owner")
 
 
 @query(

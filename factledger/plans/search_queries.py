@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.functions import contact, temporal, text, values
-from factledger.operators import search
+from factledger.operators import search, sorting
 from factledger.operators.ordered import beside, with_ordinal
+from factledger.operators.projection import custom_key
 from factledger.operators.state import current_state
 from factledger.plans import sqltext as q
 from factledger.plans.registry import query
@@ -36,7 +37,8 @@ def pred_in(t: Tables):
     "SELECT doc_id, source FROM documents WHERE contains(strip_accents(replace(lower(text), 'ß', 'ss')), 'reaux')",
 )
 def pred_contains_fold(t: Tables):
-    return t.spread("documents").filter(search.fold_contains(F.col("text"), "Réaux")).select("doc_id", "source")
+    found = t.text_index.contains("Réaux").select(F.col("id").alias("doc_id"))
+    return t.documents.select("doc_id", "source").join(found, "doc_id")
 
 
 @query(
@@ -44,7 +46,8 @@ def pred_contains_fold(t: Tables):
     "SELECT doc_id, source FROM documents WHERE starts_with(strip_accents(replace(lower(text), 'ß', 'ss')), 'ea')",
 )
 def pred_prefix_fold(t: Tables):
-    return t.spread("documents").filter(search.fold_prefix(F.col("text"), "Éa")).select("doc_id", "source")
+    found = t.text_index.prefix("Éa").select(F.col("id").alias("doc_id"))
+    return t.documents.select("doc_id", "source").join(found, "doc_id")
 
 
 @query(
@@ -249,8 +252,7 @@ SELECT doc_id FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'and')
 """,
 )
 def pred_match_all(t: Tables):
-    folded = t.spread("documents").select("doc_id", text.fold("text").alias("folded"))
-    return folded.filter(text.has_all_words(F.col("folded"), "With THE and")).select("doc_id")
+    return t.text_index.all_words("With THE and").select(F.col("id").alias("doc_id"))
 
 
 NUMERALS = """
@@ -289,31 +291,46 @@ def pred_resolved(t: Tables):
     return t.value_state.filter(search.resolved(F.col("status"))).select("owner", "item", "id", "status")
 
 
-def selector(field: Column, version: Column, kind: Column) -> Column:
-    return values.fingerprint(field_id=field, version=version, type=kind)
-
-
 @query(
     "pred_custom_selector",
     """
 WITH e AS (SELECT event_id, event_type, event_id % 2 + 1 AS version, CASE WHEN event_id % 3 = 0 THEN 'integer' ELSE 'text' END AS kind,
+   CASE WHEN event_id % 7 = 0 THEN 'changed' ELSE 'plain' END AS label, CASE WHEN event_id % 4 = 0 THEN 'd1' END AS deployment,
    CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
-SELECT event_id, event_type, k FROM e WHERE kind = 'integer' AND k > 50 AND ((event_type = 'click' AND version = 1) OR (event_type = 'view' AND version = 2))
+SELECT event_id, event_type, k FROM e WHERE kind = 'integer' AND label = 'plain' AND k > 50
+  AND ((event_type = 'click' AND version = 1 AND deployment IS NULL) OR (event_type = 'view' AND version = 2 AND deployment IS NULL)
+    OR (event_type = 'view' AND version = 1 AND deployment = 'd1'))
 """,
 )
 def pred_custom_selector(t: Tables):
+    """Values bound to one immutable definition: its own digest, contract and deployment count."""
+
+    def bound(rows: DataFrame) -> DataFrame:
+        digest = values.fingerprint(id=F.col("f"), version=F.col("v"), type=F.col("k"), label=F.col("label"))
+        contract = F.when(F.col("d").isNull(), "catalogue").otherwise("deployed")
+        definition = F.struct(
+            F.col("f").alias("field_id"), F.col("v").alias("version"), digest.alias("sha256"), F.col("k").alias("type"),
+            contract.alias("contract"), F.col("d").alias("deployment_id"),
+        )
+        return rows.withColumn("definition", definition).withColumn("selector", custom_key("definition"))
+
+    key = F.col("event_id")
     typed = t.events.select(
         "event_id",
         "event_type",
-        selector(
-            F.col("event_type"), F.col("event_id") % 2 + 1, F.when(F.col("event_id") % 3 == 0, "integer").otherwise("text")
-        ).alias("selector"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+        F.col("event_type").alias("f"),
+        (key % 2 + 1).alias("v"),
+        F.when(key % 3 == 0, "integer").otherwise("text").alias("k"),
+        F.when(key % 7 == 0, "changed").otherwise("plain").alias("label"),
+        F.when(key % 4 == 0, "d1").alias("d"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("number"),
+    )
+    asked = t.spark.createDataFrame(
+        [("click", 1, "integer", "plain", None), ("view", 2, "integer", "plain", None), ("view", 1, "integer", "plain", "d1")],
+        "f string, v bigint, k string, label string, d string",
     )
-    asked = t.spark.createDataFrame([("click", 1, "integer"), ("view", 2, "integer")], "f string, v bigint, k string")
-    wanted = asked.select(selector(F.col("f"), F.col("v"), F.col("k")).alias("selector"))
-    bound = typed.join(F.broadcast(wanted), "selector", "left_semi")
-    return bound.filter(F.col("k") > 50).select("event_id", "event_type", "k")
+    found = bound(typed).join(F.broadcast(bound(asked).select("selector")), "selector", "left_semi")
+    return found.filter(F.col("number") > 50).select("event_id", "event_type", F.col("number").alias("k"))
 
 
 # ---- ordering and paging ------------------------------------------------------
@@ -324,6 +341,10 @@ keys AS (SELECT c_custkey, lower(c_name) AS name, max(CASE WHEN o_orderstatus =
    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name)"""
 
 
+def field_row(field: str, value: Column, json_type: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), value.alias("value"), json_type.alias("json_type"))
+
+
 @query(
     "sort_multi",
     q.with_(
@@ -334,19 +355,101 @@ keys AS (SELECT c_custkey, lower(c_name) AS name, max(CASE WHEN o_orderstatus =
 )
 def sort_multi(t: Tables):
     eligible = F.col("o_orderstatus") == "P"
-    keys = order_items(t).groupBy("c_custkey").agg(
+    shown = order_items(t).groupBy("c_custkey").agg(
         F.max(F.when(eligible, F.col("o_totalprice"))).alias("top_price"),
         F.min(F.when(eligible, F.to_date("o_orderdate"))).alias("first_day"),
     )
-    rows = t.customer.select("c_custkey", text.sort_text("c_name").alias("name")).join(keys, "c_custkey", "left")
-    rows = rows.withColumn("price_band", F.round(F.col("top_price") / 100000).cast("long"))
-    order = [
-        F.col("price_band").desc_nulls_last(),
-        F.col("first_day").asc_nulls_last(),
-        F.col("name").asc(),
-        F.col("c_custkey").asc(),
-    ]
-    return with_ordinal(rows, order, name="place").select("c_custkey", "top_price", "first_day", "place")
+    band = F.round(F.col("o_totalprice") / 100000).cast("long").cast("string")
+    sides = F.array(
+        field_row("band", band, F.lit("integer")),
+        field_row("day", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("text")),
+    )
+    items = t.orders.select(F.col("o_custkey").alias("id"), F.lit("order").alias("kind"), F.inline(sides), eligible.alias("valid"))
+    fields = {"band": ("order", "integer"), "day": ("order", "date"), "name": (None, "text"), "id": (None, "integer")}
+    wish = [{"field": "band", "direction": "desc"}, {"field": "day", "direction": "asc"}, {"field": "name", "direction": "asc"}]
+    records = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    keyed = sorting.with_sort_key(records, sorting.sort_plan(wish, fields), items, fields)
+    placed = with_ordinal(keyed.select(F.col("id").alias("c_custkey"), "sort_key"), ["sort_key"], name="place")
+    return placed.join(shown, "c_custkey", "left").select("c_custkey", "top_price", "first_day", "place")
+
+
+SORTED = """
+person AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 < 2 THEN 1 WHEN c_custkey % 5 = 2 THEN 2 END AS style,
+  TIMESTAMP '2024-02-01' + to_hours(CAST(c_custkey % 40 AS INTEGER)) AS moment FROM customer),
+entry AS (SELECT o_custkey AS id, o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN FALSE WHEN 1 THEN NULL ELSE TRUE END AS valid,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Élan ' || (o_custkey % 11) WHEN 1 THEN 'E' || chr(769) || 'LAN ' || (o_custkey % 11)
+    WHEN 2 THEN 'zeta' ELSE o_orderpriority END AS name,
+  CASE o_orderkey % 6 WHEN 0 THEN '1999-02-30' WHEN 1 THEN strftime(o_orderdate, '%Y%m%d') WHEN 2 THEN '12'
+    ELSE strftime(o_orderdate, '%Y-%m-%d') END AS birth FROM orders),
+value AS (SELECT id, valid, nfc_normalize(lower(nfc_normalize(name))) AS name, CASE WHEN k % 6 > 2 THEN birth END AS birth FROM entry),
+keys AS (SELECT p.id, CASE WHEN p.style IS NOT NULL THEN p.moment END AS moment, min(name) FILTER (valid IS NOT FALSE) AS name_min,
+  max(name) FILTER (valid IS NOT FALSE) AS name_max, max(birth) FILTER (valid IS NOT FALSE) AS birth_max, max(name) AS every_name
+  FROM person p LEFT JOIN value v ON v.id = p.id GROUP BY p.id, p.style, p.moment)"""
+
+
+def sorted_people(t: Tables) -> DataFrame:
+    """Customers with an instant of their own, written in two ways or without its offset."""
+    style = F.col("c_custkey") % 5
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(F.col("c_custkey") % 40).cast("int"))
+    later = F.date_format(at + F.make_dt_interval(hours=F.lit(3)), "yyyy-MM-dd'T'HH:mm:ss")
+    spelled = F.when(style < 2, F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(
+        style == 2, F.concat(later, F.lit("+03:00"))
+    )
+    return t.customer.select(F.col("c_custkey").alias("id"), F.coalesce(spelled, later).alias("updated_at"))
+
+
+def sorted_items(t: Tables) -> DataFrame:
+    """Names in composed and decomposed spelling and birth dates of which some are none."""
+    key, number = F.col("o_orderkey"), (F.col("o_custkey") % 11).cast("string")
+    name = (
+        F.when(key % 4 == 0, F.concat(F.lit("\u00c9lan "), number))
+        .when(key % 4 == 1, F.concat(F.lit("E\u0301LAN "), number))
+        .when(key % 4 == 2, "zeta")
+        .otherwise(F.col("o_orderpriority"))
+    )
+    birth = (
+        F.when(key % 6 == 0, "1999-02-30")
+        .when(key % 6 == 1, F.date_format("o_orderdate", "yyyyMMdd"))
+        .when(key % 6 == 2, "12")
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    )
+    sides = F.array(
+        field_row("name", name, F.lit("text")),
+        field_row("birth_date", birth, F.when(key % 6 == 2, "integer").otherwise("text")),
+    )
+    valid = F.when(key % 5 == 0, False).when(key % 5 > 1, True)
+    return t.orders.select(F.col("o_custkey").alias("id"), F.lit("identity").alias("kind"), F.inline(sides), valid.alias("valid"))
+
+
+@query(
+    "sort_records",
+    q.with_(
+        SORTED,
+        """SELECT 'name' AS plan, id, row_number() OVER (ORDER BY name_min NULLS LAST, birth_max DESC NULLS LAST, id) AS place FROM keys
+UNION ALL SELECT 'birth', id, row_number() OVER (ORDER BY birth_max NULLS LAST, name_min DESC NULLS LAST, moment DESC NULLS LAST, id DESC) FROM keys
+UNION ALL SELECT 'every', id, row_number() OVER (ORDER BY moment NULLS LAST, every_name DESC NULLS LAST, id) FROM keys""",
+    ),
+)
+def sort_records(t: Tables):
+    fields = sorting.FIELDS | {"id": (None, "integer")}
+    asked = {
+        "name": [{"field": "name", "direction": "asc"}, {"field": "birth_date", "direction": "desc"}],
+        "birth": [
+            {"field": "birth_date", "direction": "asc", "mode": "max"},
+            {"field": "name", "direction": "desc", "mode": "min"},
+            {"field": "updated_at", "direction": "desc"},
+            {"field": "id", "direction": "desc"},
+        ],
+        "every": [{"field": "updated_at", "direction": "asc"}, {"field": "name", "direction": "desc"}],
+    }
+    placed = None
+    for name, wish in asked.items():
+        plan = sorting.sort_plan(wish, fields)
+        keyed = sorting.with_sort_key(sorted_people(t), plan, sorted_items(t), fields, include_invalid=name == "every")
+        part = with_ordinal(keyed.select("id", "sort_key"), ["sort_key"], name="place")
+        part = part.select(F.lit(name).alias("plan"), "id", "place")
+        placed = part if placed is None else placed.unionByName(part)
+    return placed
 
 
 @query(

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.operators import state
+from factledger.operators import state, textindex
 from factledger.workspace import new_path
 
 # Append-only tables are written once per application and input folder, the way
@@ -29,8 +29,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table for CPU-heavy row work, read as it is at every size."""
-        return self.read(name)
+        """A table for CPU-heavy row work: dealt out to at least as many tasks as there are cores.
+
+        A table in few files is few tasks, however costly its rows are.
+        """
+        rows = self.read(name)
+        return rows.repartition(max(self.spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
 
     def staged(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
@@ -57,6 +61,15 @@ class Tables:
     conversations = cached_property(lambda self: self.read("conversations"))
     embeddings = cached_property(lambda self: self.read("embeddings"))
 
+    @cached_property
+    def text_index(self) -> textindex.TextIndex:
+        """The index of ``documents``, built once per application and input folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "text_index")
+        if key not in _STAGED:
+            index = textindex.build(self.spread("documents"), "doc_id", "text")
+            _STAGED[key] = (index.path, index.key_type)
+        return textindex.TextIndex(self.spark, *_STAGED[key])
+
     # ---- observation log -------------------------------------------------
 
     @cached_property

@@ -48,6 +48,41 @@ def test_assign_one_document_wanted_by_most_sources(spark):
     assert got[159] == ("source:S59", "joined") and got[100][1] == "distinct_owners"
 
 
+def greedy(wishes):
+    sources, docs, taken = set(), set(), set()
+    for source, doc, at in sorted(wishes, key=lambda w: w[2]):
+        if source not in sources and doc not in docs:
+            sources.add(source)
+            docs.add(doc)
+            taken.add(at)
+    return taken
+
+
+def chain(n):
+    """Pairs of which each shares one end with the one before: n links of a path."""
+    return [(f"S{(k + 1) // 2}", f"D{k // 2}", k) for k in range(n)]
+
+
+@pytest.mark.parametrize("rounds,wishes", [(12, chain(500)), (4, [(f"S{k}", "D", k) for k in range(80)]), (3, [("S", f"D{k}", k) for k in range(80)])])
+def test_matching_settles_chains_in_logarithmic_rounds(spark, monkeypatch, rounds, wishes):
+    seen, doubled = [], identity._doubled
+    monkeypatch.setattr(identity, "_doubled", lambda *args: seen.append(1) or doubled(*args))
+    df = spark.createDataFrame(wishes, "source_key string, doc_key string, at long")
+    assert {r["at"] for r in identity._earliest_matching(df).collect()} == greedy(wishes)
+    assert len(seen) <= rounds
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_equals_greedy_choice(spark, seed):
+    rng = random.Random(seed)
+    at = rng.sample(range(10_000), 400)
+    pairs = {(f"S{rng.randrange(20 + 80 * seed)}", f"D{rng.randrange(150)}") for _ in range(300)}
+    wishes = [(s, d, at[k]) for k, (s, d) in enumerate(sorted(pairs))]
+    df = spark.createDataFrame(wishes, "source_key string, doc_key string, at long")
+    assert {r["at"] for r in identity._earliest_matching(df).collect()} == greedy(wishes)
+    assert identity._earliest_matching(df.limit(0)).count() == 0
+
+
 def union_find(pairs, nodes):
     parent = {n: n for n in nodes}
 
