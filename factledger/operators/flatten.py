@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from typing import Iterator
 
 import pyarrow as pa
@@ -55,25 +57,83 @@ def _spelled(text: str) -> str:
     return text.encode("utf-8", "backslashreplace").decode()
 
 
-def _rows(raw: str | None) -> Iterator[tuple]:
-    """(kind, path, base, type, value, size, depth) for one record."""
+def _load(raw: str):
+    """The value of a JSON text, numbers with their spelling; refuses what can't be kept."""
+    return json.loads(raw, parse_float=_Number, parse_int=_Integer, parse_constant=_constant, object_pairs_hook=_object)
+
+
+_PARTS = re.compile(r"(-?)([0-9]+)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?")
+
+
+def _number_key(text: str) -> str:
+    """One spelling for all spellings of a number: digits without zeros at either end, and an exponent."""
+    sign, whole, fraction, power = _PARTS.fullmatch(text).groups(default="")
+    digits = (whole + fraction).lstrip("0")
+    kept = digits.rstrip("0")
+    return f"{sign}{kept}e{int(power or 0) - len(fraction) + len(digits) - len(kept)}" if kept else "0"
+
+
+def _digests(root) -> dict[int, str]:
+    """The digest of every node, by its number in the order of :func:`_rows`.
+
+    Nodes are equal in JSON terms when their digests are: numbers by value,
+    members of an object in any order, no other type equal to another.
+    """
+    nodes: list[tuple] = []  # value, number of the parent, key
+    todo = [(root, None, "")]
+    while todo:
+        value, parent, key = todo.pop()
+        number = len(nodes)
+        nodes.append((value, parent, key))
+        if isinstance(value, dict):
+            todo.extend((child, number, name) for name, child in value.items())
+        elif isinstance(value, list):
+            todo.extend((child, number, n) for n, child in enumerate(value))
+    below: dict[int, list] = {}
+    found: dict[int, str] = {}
+    for number in range(len(nodes) - 1, -1, -1):  # children stand behind their parents
+        value, parent, key = nodes[number]
+        if isinstance(value, (dict, list)):
+            members = sorted(below.pop(number, []))
+            shape = "object" if isinstance(value, dict) else "array"
+            spelled = shape + json.dumps(members)
+        elif isinstance(value, _Number):
+            spelled = "number " + _number_key(value)
+        else:
+            spelled = json.dumps(value)
+        found[number] = hashlib.sha256(spelled.encode()).hexdigest()
+        if parent is not None:
+            below.setdefault(parent, []).append((key, found[number]))
+    return found
+
+
+def value_digest(raw: str) -> str:
+    """The digest of one JSON text: the operand of a comparison by value."""
+    return _digests(_load(raw))[0]
+
+
+def _rows(raw: str | None, digests: bool = False) -> Iterator[tuple]:
+    """(kind, path, base, type, value, size, depth, digest) for one record."""
     if raw is None:
-        yield "error", "", "", "json_missing", None, None, 0
+        yield "error", "", "", "json_missing", None, None, 0, None
         return
     try:
-        root = json.loads(raw, parse_float=_Number, parse_int=_Integer, parse_constant=_constant, object_pairs_hook=_object)
+        root = _load(raw)
     except _Refused as refused:
-        yield "error", "", "", str(refused), None, None, 0
+        yield "error", "", "", str(refused), None, None, 0, None
         return
     except (ValueError, RecursionError):
-        yield "error", "", "", "json_invalid", None, None, 0
+        yield "error", "", "", "json_invalid", None, None, 0, None
         return
+    marks = _digests(root) if digests else {}
+    number = -1
     todo = [("", "", root, 0)]
     while todo:
         path, base, value, depth = todo.pop()
+        number += 1
         if isinstance(value, (dict, list)):
             shape = "object" if isinstance(value, dict) else "array"
-            yield "container", path, base, shape, None, len(value), depth
+            yield "container", path, base, shape, None, len(value), depth, marks.get(number)
             if shape == "object":
                 for key, child in value.items():
                     step = "/" + _spelled(key).replace("~", "~0").replace("/", "~1")
@@ -85,7 +145,7 @@ def _rows(raw: str | None) -> Iterator[tuple]:
         kind, text = _type_and_text(value)
         if text is not None and (shown := _spelled(text)) != text:
             kind, text = "unsafe_text", shown
-        yield "leaf", path, base, kind, text, None, depth
+        yield "leaf", path, base, kind, text, None, depth, marks.get(number)
 
 
 _FIELDS = (
@@ -96,16 +156,20 @@ _FIELDS = (
     ("value", pa.string(), "string"),
     ("size", pa.int64(), "long"),
     ("depth", pa.int64(), "long"),
+    ("digest", pa.string(), "string"),
 )
 
 
-def flatten_json(records: DataFrame, record: str, raw: str) -> DataFrame:
+def flatten_json(records: DataFrame, record: str, raw: str, digests: bool = False) -> DataFrame:
     """One row per leaf and container of every record.
 
     Paths are JSON pointers; ``base_field`` leaves array positions out. Numbers
     keep their spelling. A record that cannot be read faithfully becomes one
     ``error`` row. Records are independent, so this is a single narrow pass.
+    With ``digests`` every leaf and container has the digest of its value, by
+    which values of any depth are compared as a column.
     """
+    fields = _FIELDS if digests else _FIELDS[:-1]
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,24 +177,24 @@ def flatten_json(records: DataFrame, record: str, raw: str) -> DataFrame:
             owners: list[int] = []
             rows: list[tuple] = []
             for place, text in enumerate(batch.column(1).to_pylist()):
-                found = list(_rows(text))
+                found = [row[: len(fields)] for row in _rows(text, digests)]
                 rows.extend(found)
                 owners.extend([place] * len(found))
                 if len(rows) >= _ROWS_PER_YIELD:
-                    yield _batch(record, idents, owners, rows)
+                    yield _batch(record, idents, owners, rows, fields)
                     owners, rows = [], []
             if rows:
-                yield _batch(record, idents, owners, rows)
+                yield _batch(record, idents, owners, rows, fields)
 
     kind = records.schema[record].dataType.simpleString()
-    schema = ", ".join([f"{record} {kind}", *[f"{name} {ddl}" for name, _, ddl in _FIELDS]])
+    schema = ", ".join([f"{record} {kind}", *[f"{name} {ddl}" for name, _, ddl in fields]])
     return records.select(record, raw).mapInArrow(flatten, schema)
 
 
-def _batch(record: str, idents: pa.Array, owners: list[int], rows: list[tuple]) -> pa.RecordBatch:
+def _batch(record: str, idents: pa.Array, owners: list[int], rows: list[tuple], fields: tuple) -> pa.RecordBatch:
     columns = [idents.take(pa.array(owners, pa.int64()))]
-    columns += [pa.array(values, kind) for values, (_, kind, _) in zip(zip(*rows), _FIELDS)]
-    return pa.RecordBatch.from_arrays(columns, names=[record, *[name for name, _, _ in _FIELDS]])
+    columns += [pa.array(values, kind) for values, (_, kind, _) in zip(zip(*rows), fields)]
+    return pa.RecordBatch.from_arrays(columns, names=[record, *[name for name, _, _ in fields]])
 
 
 def leaves(flat: DataFrame) -> DataFrame:
@@ -169,3 +233,9 @@ def quarantine(records: DataFrame, flat: DataFrame, record: str) -> DataFrame:
     """Records that could not be read, whole, with the ``error`` code."""
     codes = flat.filter(F.col("row_kind") == "error").select(record, F.col("json_type").alias("error"))
     return records.join(codes, record)
+
+
+def set_aside(records: DataFrame, limits: DataFrame, record: str) -> tuple[DataFrame, DataFrame]:
+    """Records within their limits, and the others, whole, with the limit they break."""
+    refused = limits.filter(F.col("refused").isNotNull()).select(record, "refused")
+    return records.join(refused.select(record), record, "left_anti"), records.join(refused, record)

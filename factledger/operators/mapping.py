@@ -56,27 +56,51 @@ def group_item_keys(leaves: DataFrame, record: str, normalized: str = "value") -
     return placed.join(keys, [record, "parent"])
 
 
-def coverage(expected: DataFrame, facts: DataFrame, record: str) -> DataFrame:
-    """Per record: are all leaves present once, unchanged, and nothing else?"""
+def coverage(expected: DataFrame, facts: DataFrame, record: str, boxes: DataFrame | None = None, stored_boxes: DataFrame | None = None) -> DataFrame:
+    """Per record: are all leaves and containers present once, unchanged, and nothing else?
+
+    Leaves may carry the ``digest`` of their value and facts the one stored with
+    them: ``invalid_metadata`` counts facts whose stored digest is not that of
+    the source's value. Containers, where given, are compared by path, type and
+    size.
+    """
     key = [record, "source_path"]
-    want = expected.select(*key, F.struct("json_type", "value").alias("_want"))
+    if "digest" not in expected.columns:
+        expected, facts = (rows.withColumn("digest", F.lit(None).cast("string")) for rows in (expected, facts))
+    if boxes is None:
+        boxes = stored_boxes = expected.filter(F.lit(False)).select(*key, "json_type", F.lit(0).alias("size"))
+    want = expected.select(*key, F.struct("json_type", "value").alias("_want"), F.col("digest").alias("_digest"))
     have = facts.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_copies"),
         F.min(F.struct("json_type", "value")).alias("_low"),
         F.max(F.struct("json_type", "value")).alias("_high"),
+        F.min("digest").alias("_digest_low"),
+        F.max("digest").alias("_digest_high"),
     )
     joined = want.join(have, key, "full_outer")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     differs = ~(F.col("_want").eqNullSafe(F.col("_low")) & F.col("_want").eqNullSafe(F.col("_high")))
+    marked = ~(F.col("_digest").eqNullSafe(F.col("_digest_low")) & F.col("_digest").eqNullSafe(F.col("_digest_high")))
     both = F.col("_want").isNotNull() & F.col("_low").isNotNull()
     totals = joined.groupBy(record).agg(
         count(F.col("_low").isNull()).alias("missing"),
         count(F.col("_want").isNull()).alias("extra"),
         count(both & differs).alias("changed"),
         count(F.col("_copies") > 1).alias("duplicates"),
+        count(both & marked).alias("invalid_metadata"),
     )
-    clean = (F.col("missing") + F.col("extra") + F.col("changed") + F.col("duplicates")) == 0
-    return totals.withColumn("passed", clean)
+    shape = F.struct("json_type", "size")
+    there = boxes.select(*key, shape.alias("_box"))
+    kept = stored_boxes.groupBy(*key).agg(F.min(shape).alias("_least"), F.max(shape).alias("_most"), F.count(F.lit(1)).alias("_times"))
+    same = F.col("_box").eqNullSafe(F.col("_least")) & F.col("_box").eqNullSafe(F.col("_most")) & (F.col("_times") == 1)
+    matched = there.join(kept, key, "full_outer").groupBy(record).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("containers_match"))
+    joined = totals.join(matched, record, "full_outer")
+    counts = ["missing", "extra", "changed", "duplicates", "invalid_metadata"]
+    joined = joined.select(record, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("containers_match", F.lit(True)).alias("containers_match"))
+    clean = F.col("containers_match")
+    for c in counts:
+        clean = clean & (F.col(c) == 0)
+    return joined.withColumn("passed", clean)
 
 
 def identity_eligibility(claims: DataFrame, record: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factledger.functions import values
-from factledger.operators import flatten, mapping, projection
+from factledger.operators import batching, flatten, mapping, projection
 from factledger.plans import sqltext as q
 from factledger.plans.registry import query
 from factledger.plans.tables import Tables
@@ -33,9 +33,13 @@ def flat(t: Tables) -> DataFrame:
     return flatten.flatten_json(docrec(t), "record", "doc")
 
 
+def node_table(t: Tables) -> DataFrame:
+    """The flattened records as the load keeps them, with digests: written once, read by all."""
+    return t.staged("nodes", lambda: flatten.flatten_json(docrec(t), "record", "doc", digests=True))
+
+
 def leaf_table(t: Tables) -> DataFrame:
-    """The flattened records as the load keeps them: written once, read by all."""
-    return t.staged("leaves", lambda: flatten.leaves(flat(t)))
+    return flatten.leaves(node_table(t)).drop("digest")
 
 
 LEAVES = """
@@ -199,16 +203,66 @@ def group_item_key(t: Tables):
     return mapping.group_item_keys(components, "record", "normalized").select("record", "source_path", "field", "item_key", "components")
 
 
+def measured_records(t: Tables) -> DataFrame:
+    """Records of which some reach each limit: many leaves, deep nesting, many bytes, unreadable."""
+    key = F.col("o_orderkey")
+    raw = (
+        F.when(key % 3000 == 7, F.concat(F.lit("["), F.repeat(F.lit("0,"), F.lit(20_000)), F.lit("0]")))
+        .when(key % 3000 == 8, F.concat(F.lit("["), F.repeat(F.lit("0,"), F.lit(19_999)), F.lit("0]")))
+        .when(key % 3000 == 11, F.concat(F.repeat(F.lit("["), F.lit(66)), F.repeat(F.lit("]"), F.lit(66))))
+        .when(key % 3000 == 12, F.concat(F.repeat(F.lit("["), F.lit(65)), F.repeat(F.lit("]"), F.lit(65))))
+        .when(key % 3000 == 13, F.concat(F.lit('"'), F.repeat(F.lit("x"), F.lit(2_097_151)), F.lit('"')))
+        .when(key % 3000 == 14, F.concat(F.lit('"'), F.repeat(F.lit("x"), F.lit(2_097_150)), F.lit('"')))
+        .when(key % 3000 == 17, '{"a": ')
+        .otherwise(F.concat(F.lit("["), F.repeat(F.lit("1,"), (key % 40).cast("int")), F.lit("2]")))
+    )
+    return t.spread("orders").select(key.alias("record"), raw.alias("raw"))
+
+
+MEASURED = """
+kinds AS (SELECT o_orderkey AS record, o_orderkey % 3000 AS style FROM orders),
+sizes AS (SELECT record, CASE style WHEN 7 THEN 20001 WHEN 8 THEN 20000 WHEN 17 THEN 0 WHEN 11 THEN 1 WHEN 12 THEN 1 WHEN 13 THEN 1 WHEN 14 THEN 1 ELSE record % 40 + 1 END AS leaves,
+  CAST(CASE style WHEN 17 THEN 0 WHEN 11 THEN 65 WHEN 12 THEN 64 WHEN 13 THEN 0 WHEN 14 THEN 0 ELSE 1 END AS BIGINT) AS depth,
+  CASE style WHEN 7 THEN 40003 WHEN 8 THEN 40001 WHEN 11 THEN 132 WHEN 12 THEN 130 WHEN 13 THEN 2097153 WHEN 14 THEN 2097152 WHEN 17 THEN 6 ELSE 2 * (record % 40) + 3 END AS bytes,
+  CASE style WHEN 7 THEN 'leaves' WHEN 11 THEN 'depth' WHEN 13 THEN 'bytes' WHEN 17 THEN 'json_invalid' END AS refused FROM kinds)"""
+
+
+def limited(t: Tables) -> DataFrame:
+    records = measured_records(t)
+    return t.staged("limits", lambda: flatten.record_limits(records, flatten.flatten_json(records, "record", "raw"), "record", "raw"))
+
+
+@query("record_limits", q.with_(MEASURED, "SELECT record, leaves, depth, bytes, refused FROM sizes"))
+def record_limits(t: Tables):
+    return limited(t).select("record", "leaves", "depth", "bytes", "refused")
+
+
+@query("record_set_aside", q.with_(MEASURED, "SELECT record, refused, bytes AS kept_bytes FROM sizes WHERE refused IS NOT NULL"))
+def record_set_aside(t: Tables):
+    """Refused records come out whole."""
+    refused = flatten.set_aside(measured_records(t), limited(t), "record")[1]
+    return refused.select("record", "refused", F.octet_length("raw").cast("long").alias("kept_bytes"))
+
+
 @query(
-    "record_limits",
+    "batch_cuts",
     q.with_(
-        LEAVES,
-        """SELECT record, count(*) AS leaves, max(depth) AS depth, CASE WHEN count(*) > 20000 THEN 'leaves' END AS refused FROM leaves GROUP BY record""",
+        MEASURED,
+        """, item AS (SELECT record, leaves, bytes, row_number() OVER (ORDER BY record) AS ordinal FROM sizes WHERE refused IS NULL),
+total AS (SELECT *, sum(leaves) OVER (ORDER BY ordinal) - leaves AS a0, sum(leaves) OVER (ORDER BY ordinal) AS a1,
+  sum(bytes) OVER (ORDER BY ordinal) - bytes AS b0, sum(bytes) OVER (ORDER BY ordinal) AS b1 FROM item),
+-- each step begins the batch after the longest one that keeps every limit
+cuts(start, batch) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT)
+  UNION ALL SELECT min(n.ordinal), any_value(c.batch) + 1 FROM cuts c JOIN total s ON s.ordinal = c.start JOIN total n ON n.ordinal > c.start AND n.ordinal <= c.start + 100
+  WHERE n.a1 - s.a0 > 1500 OR n.b1 - s.b0 > 4000 OR n.ordinal = c.start + 100 GROUP BY c.start)
+SELECT i.record, i.ordinal, c.batch, i.ordinal - c.start + 1 AS place FROM item i ASOF JOIN cuts c ON i.ordinal >= c.start""",
+        recursive=True,
     ),
 )
-def record_limits(t: Tables):
-    limits = flatten.record_limits(docrec(t), flat(t), "record", "doc")
-    return limits.select("record", "leaves", "depth", "refused")
+def batch_cuts(t: Tables):
+    kept = limited(t).filter(F.col("refused").isNull()).select("record", "leaves", "bytes")
+    cut = batching.batches(kept, ["record"], "leaves", "bytes", records=100, max_atoms=1500, max_bytes=4000, block_rows=2000)
+    return cut.select("record", "ordinal", "batch", "place")
 
 
 @query(
@@ -219,18 +273,31 @@ def record_limits(t: Tables):
 stats AS (SELECT record, CAST(sum(CASE WHEN mark % 101 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing,
   CAST(sum(CASE WHEN mark % 103 = 0 AND mark % 101 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS extra,
   CAST(sum(CASE WHEN mark % 107 = 0 AND mark % 101 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS changed,
-  CAST(sum(CASE WHEN mark % 109 = 0 AND mark % 101 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS duplicates FROM h GROUP BY record)
-SELECT *, missing + extra + changed + duplicates = 0 AS passed FROM stats""",
+  CAST(sum(CASE WHEN mark % 109 = 0 AND mark % 101 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS duplicates,
+  CAST(sum(CASE WHEN mark % 113 = 0 AND mark % 101 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid_metadata FROM h GROUP BY record),
+shape AS (SELECT record, bool_and((record * 7 + length(source_path)) % 127 NOT IN (1, 2, 3)) AS containers_match FROM boxes GROUP BY record)
+SELECT s.*, containers_match, missing + extra + changed + duplicates + invalid_metadata = 0 AND containers_match AS passed FROM stats s JOIN shape USING (record)""",
     ),
 )
 def coverage_check(t: Tables):
-    expected = leaf_table(t).select("record", "source_path", "json_type", "value")
+    """Facts and containers as stored, some lost, added, changed, doubled or with another digest."""
+    nodes = node_table(t)
+    expected = flatten.leaves(nodes).select("record", "source_path", "json_type", "value", "digest")
     mark = F.col("record") * 31 + F.char_length("source_path")
     kept = expected.filter(mark % 101 != 0)
-    facts = kept.withColumn("value", F.when(mark % 107 == 0, F.lit("tampered")).otherwise(F.col("value")))
+    facts = kept.withColumns(
+        {
+            "value": F.when(mark % 107 == 0, F.lit("tampered")).otherwise(F.col("value")),
+            "digest": F.when(mark % 113 == 0, F.lit("tampered")).otherwise(F.col("digest")),
+        }
+    )
     copies = facts.filter(mark % 109 == 0)
     strays = kept.filter(mark % 103 == 0).withColumn("source_path", F.concat("source_path", F.lit("/stray")))
-    return mapping.coverage(expected, facts.unionByName(copies).unionByName(strays), "record")
+    boxes = nodes.filter(F.col("row_kind") == "container").select("record", "source_path", "json_type", "size")
+    spot = (F.col("record") * 7 + F.char_length("source_path")) % 127
+    stored = boxes.filter(spot != 1).withColumn("size", F.col("size") + F.when(spot == 2, 1).otherwise(0))
+    stored = stored.unionByName(boxes.filter(spot == 3))
+    return mapping.coverage(expected, facts.unionByName(copies).unionByName(strays), "record", boxes, stored)
 
 
 @query(
@@ -279,26 +346,40 @@ def typed_scalar(t: Tables):
     return leaf_table(t).withColumn("s", scalar).select("record", "source_path", "s.*")
 
 
+# Operands of comparisons by value: a name and a JSON text each.
+OPERANDS = (
+    ("int 1", "1.0"),
+    ("text 1", '"1"'),
+    ("true", "true"),
+    ("null", "null"),
+    ("forty", "4.00e1"),
+    ("no list", "[]"),
+    ("no members", "{}"),
+    ("line", '{"a/b": true, "qty": "1", "no": 10e-1}'),
+    ("lines", '[{"qty": "0", "a/b": true, "no": 0.0}]'),
+)
+
+
 @query(
     "pred_eq_typed",
     q.with_(
         LEAVES,
-        """SELECT record, source_path, asked FROM leaves, (VALUES ('int 1'), ('text 1'), ('true'), ('null')) a(asked)
+        """, line AS (SELECT record, i, o_custkey % (i + 2) AS qty, (record + i) % 2 = 0 AS even FROM n)
+SELECT record, source_path, asked FROM leaves, (VALUES ('int 1'), ('text 1'), ('true'), ('null'), ('forty')) a(asked)
 WHERE (asked = 'int 1' AND json_type = 'integer' AND value = '1') OR (asked = 'text 1' AND json_type = 'text' AND value = '1')
-   OR (asked = 'true' AND json_type = 'boolean' AND value = 'true') OR (asked = 'null' AND json_type = 'null')""",
+   OR (asked = 'true' AND json_type = 'boolean' AND value = 'true') OR (asked = 'null' AND json_type = 'null')
+   OR (asked = 'forty' AND (json_type = 'integer' AND value = '40' OR json_type = 'decimal' AND (record % 1000) * 10 + 5 = 40))
+UNION ALL SELECT record, '/list', 'no list' FROM o UNION ALL SELECT record, '/empty', 'no members' FROM o
+UNION ALL SELECT record, '/lines/1', 'line' FROM line WHERE i = 1 AND qty = 1 AND even
+UNION ALL SELECT record, '/lines', 'lines' FROM line WHERE record % 4 = 0 AND qty = 0 AND even""",
     ),
 )
 def pred_eq_typed(t: Tables):
-    operands = (("int 1", "1.0", "decimal"), ("text 1", "1", "text"), ("true", "true", "boolean"), ("null", None, "null"))
-    hits = F.array(
-        *[
-            F.when(
-                values.typed_equal(F.col("value"), F.col("json_type"), F.lit(v).cast("string"), F.lit(k)), F.lit(name)
-            )
-            for name, v, k in operands
-        ]
-    )
-    return leaf_table(t).select("record", "source_path", F.explode(F.array_compact(hits)).alias("asked"))
+    """Equality of values of any depth: digests made when the records were flattened."""
+    asked = t.spark.createDataFrame([(flatten.value_digest(raw), name) for name, raw in OPERANDS], "digest string, asked string")
+    nodes = node_table(t).filter(F.col("json_type") != "empty_object").filter(F.col("json_type") != "empty_array")
+    found = nodes.join(F.broadcast(asked), "digest")  # the operands of one query
+    return found.select("record", "source_path", "asked")
 
 
 def projection_input(t: Tables) -> DataFrame:
