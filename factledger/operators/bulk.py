@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factledger.functions.contact import check_digits_11, check_digits_14, clean_document
+from factledger.functions.contact import check_digits_11, check_digits_14, clean_document, normalize_phones
 from factledger.functions.text import fold
 from factledger.workspace import pin
 
@@ -90,7 +90,8 @@ def match_contains(entries: DataFrame, registry: DataFrame, entity: str, value:
     of their distinct trigrams only those that some entry has are kept. Texts
     and entries meet by equality, so adaptive execution splits a hot trigram.
     An entry that folds to one or two characters is looked up as a gram of its
-    own length; one that folds to none is in every text.
+    own length; one that folds to none is in every text, so every text gets a
+    gram without characters for it if there is such an entry.
     """
     rows = pin(
         registry.select(entity, fold(value).alias("_text"))
@@ -113,16 +114,11 @@ def match_contains(entries: DataFrame, registry: DataFrame, entity: str, value:
     rare = rated.groupBy("input_id").agg(best).filter("_best._n > 0").select("input_id", F.col("_best._gram").alias("_gram"))
     candidates = held.join(rare.join(asked, "input_id"), "_gram").select("_row", "input_id", "_asked")
     found = candidates.join(rows, "_row").filter(F.contains("_text", "_asked")).select("input_id", entity)
-    for size in range(SHORTEST):
-        short = asked.filter(F.char_length("_asked") == size)
-        if short.isEmpty():
-            continue
-        if size:
-            short = short.withColumnRenamed("_asked", "_gram")
-            own = rows.select(entity, F.explode(grams("_text", size)).alias("_gram"))
-            more = own.join(short, "_gram")
-        else:
-            more = rows.crossJoin(short.drop("_asked"))
+    lengths = asked.agg(F.collect_set(F.least(F.char_length("_asked"), F.lit(SHORTEST)))).first()[0]  # at most four numbers
+    for size in sorted(set(lengths) - {SHORTEST}):
+        short = asked.filter(F.char_length("_asked") == size).withColumnRenamed("_asked", "_gram")
+        own = grams("_text", size) if size else F.array(F.lit(""))
+        more = rows.select(entity, F.explode(own).alias("_gram")).join(short, "_gram")
         found = found.unionByName(more.select("input_id", entity))
     return found
 
@@ -136,6 +132,22 @@ def match_document(entries: DataFrame, registry: DataFrame, entity: str, kind: s
     return have.join(asked, ["_kind", "_number"]).select("input_id", entity)
 
 
+def _phones(rows: DataFrame, rollout: DataFrame) -> DataFrame:
+    """Rows with the number that the phone rules give, or the text they leave for review."""
+    empty = F.lit(None).cast("string")
+    shaped = rows.withColumns({"area": empty, "extension": empty})
+    ruled = normalize_phones(shaped, rollout)
+    return ruled.withColumn("_number", F.coalesce("canonical_number", F.regexp_replace("raw", r"[\s().-]", "")))
+
+
+def match_phone(entries: DataFrame, registry: DataFrame, entity: str, rollout: DataFrame) -> DataFrame:
+    """Links by phone number: ``value, country`` of entries, ``raw, country`` of the registry."""
+    asked = entries.filter(F.col("error").isNull()).select("input_id", F.col("value").alias("raw"), "country")
+    asked = _phones(asked, rollout).select("input_id", "_number")
+    have = _phones(registry.select(entity, "raw", "country"), rollout).select(entity, "_number")
+    return have.join(asked, "_number").select("input_id", entity)
+
+
 def entry_status(entries: DataFrame, links: DataFrame) -> DataFrame:
     """invalid / found / not_found with the number of matches per entry."""
     counts = links.groupBy("input_id").agg(F.count(F.lit(1)).alias("found"))

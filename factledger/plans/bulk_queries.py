@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from factledger.operators import bulk, imports, mapping, reconcile
+from factledger.functions import contact, text
+from factledger.operators import bulk, filters, flatten, imports, mapping, reconcile
 from factledger.plans import sqltext as q
 from factledger.plans.load_queries import FACTS, fact_table, leaf_table
 from factledger.plans.registry import query
@@ -136,6 +137,94 @@ def bulk_match_document(t: Tables):
     return checked.select("input_id", "error").join(links, "input_id", "left")
 
 
+# Filters that entries refer to by name.
+ENTRY_FILTERS = {
+    "people": {"and": [{"field": "segment", "op": "in", "value": ["BUILDING", "MACHINERY"]}, {"field": "nation", "op": "range", "value": [5, 15.5]}]},
+    "orders": {"item": {"and": [{"field": "status", "value": "F"}, {"field": "price", "op": "range", "value": [200000, None]}]}},
+    "either": {
+        "or": [
+            {"item": {"or": [{"field": "status", "value": "P"}, {"field": "price", "op": "range", "value": [None, 2000]}]}},
+            {"and": [{"field": "gift", "op": "exists", "value": False}, {"field": "name", "op": "contains", "value": "é Cus"}]},
+        ]
+    },
+}
+
+
+def entity_values(t: Tables) -> DataFrame:
+    """Customers' own fields and those of their orders, one row per value."""
+
+    def row(field: str, value, json_type: str):
+        text = value.cast("string")
+        return F.struct(F.lit(field).alias("field"), text.alias("value"), F.lit(json_type).alias("json_type"))
+
+    key = F.col("c_custkey")
+    own = F.array(
+        row("segment", F.col("c_mktsegment"), "text"),
+        row("nation", F.col("c_nationkey"), "integer"),
+        row("name", F.concat(F.when(key % 2 == 0, "é ").otherwise("x "), "c_name"), "text"),
+        row("gift", F.when(key % 3 == 0, key), "integer"),
+    )
+    people = t.customer.select("c_custkey", F.lit(None).cast("long").alias("item"), F.inline(own)).filter("value IS NOT NULL")
+    price = F.col("o_totalprice").cast("decimal(20,2)")
+    parts = F.array(row("status", F.col("o_orderstatus"), "text"), row("price", price, "decimal"))
+    bought = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("item"), F.inline(parts))
+    every = people.unionByName(bought)
+    raw = F.when(F.col("json_type") == "text", F.to_json(F.struct(F.col("value").alias("v")))).otherwise(F.concat(F.lit('{"v":'), "value", F.lit("}")))
+    digest = flatten.flatten_json(every.withColumn("row", F.struct("c_custkey", "item", "field")).withColumn("raw", raw), "row", "raw", digests=True)
+    marked = digest.filter("source_path = '/v'").select("row.*", "value", "json_type", "digest")
+    return marked.withColumn("folded", text.fold(F.when(F.col("json_type") == "text", F.col("value"))))
+
+
+@query(
+    "bulk_match_filtered",
+    """
+WITH e AS (SELECT 'n' || n_nationkey AS input_id, lower('CUSTOMER#00000' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0')) AS head, n_nationkey % 4 AS style FROM nation),
+l AS (SELECT input_id, style, c.* FROM e JOIN customer c ON starts_with(lower(c_name), head))
+SELECT input_id, c_custkey FROM l WHERE style = 0
+  OR (style = 1 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey BETWEEN 5 AND 15)
+  OR (style = 2 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND CAST(o_totalprice AS DECIMAL(20,2)) >= 200000))
+  OR (style = 3 AND (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND (o_orderstatus = 'P' OR CAST(o_totalprice AS DECIMAL(20,2)) <= 2000))
+     OR (c_custkey % 3 <> 0 AND c_custkey % 2 = 0)))
+""",
+)
+def bulk_match_filtered(t: Tables):
+    """Entries with a filter each, given as rows; every fourth entry has none."""
+    digits = F.lpad(F.col("n_nationkey").cast("string"), 2, "0")
+    entries = t.nation.select(
+        F.concat(F.lit("n"), "n_nationkey").alias("input_id"),
+        F.concat(F.lit("CUSTOMER#00000"), digits).alias("value"),
+        F.element_at(F.array(F.lit("none"), *[F.lit(name) for name in ENTRY_FILTERS]), F.col("n_nationkey") % 4 + 1).alias("filter_id"),
+    )
+    checked = bulk.with_errors(entries.withColumn("mode", F.lit("prefix")))
+    links = bulk.match_prefix(checked, t.customer, "c_custkey", "c_name")
+    nodes = entries.select("input_id", "filter_id").join(F.broadcast(filters.filter_table(t.spark, ENTRY_FILTERS)), "filter_id")
+    return filters.passing(links, nodes.drop("filter_id"), entity_values(t), "c_custkey")
+
+
+@query(
+    "bulk_match_phone",
+    """
+SELECT 's' || s_suppkey AS input_id, c_custkey FROM supplier JOIN customer ON c_custkey = s_suppkey * 2
+""",
+)
+def bulk_match_phone(t: Tables):
+    """Phone numbers in several spellings; numbers the rules leave for review match as written."""
+    asked = F.lpad((F.col("s_suppkey") * 2).cast("string"), 7, "0")
+    style = F.col("s_suppkey") % 3
+    spelled = (
+        F.when(style == 0, F.concat(F.lit("(11) 3"), F.substring(asked, 1, 3), F.lit("-"), F.substring(asked, 4, 4)))
+        .when(style == 1, F.concat(F.lit("+55 11 3"), asked))
+        .otherwise(F.concat(F.lit("tel:11 3"), asked))
+    )
+    entries = t.supplier.select(
+        F.concat(F.lit("s"), "s_suppkey").alias("input_id"), spelled.alias("value"), F.when(style != 1, "BR").alias("country")
+    )
+    stored = F.lpad(F.col("c_custkey").cast("string"), 7, "0")
+    have = t.customer.select("c_custkey", F.concat(F.lit("+55 (11) 3"), stored).alias("raw"), F.lit("br").alias("country"))
+    checked = bulk.with_errors(entries.withColumn("mode", F.lit("eq")))
+    return bulk.match_phone(checked, have, "c_custkey", contact.rollout_table(t.spark))
+
+
 @query(
     "entry_list_scan",
     """
