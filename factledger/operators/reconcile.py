@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """64-bit hash of a row; nulls are spelled so they cannot shift columns."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    """64-bit hash of a row; a null is spelled as no value is, so it cannot shift columns."""
+    return F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns])
 
 
 def digest_columns(columns: Sequence[str]) -> list[Column]:
@@ -102,11 +102,17 @@ def selector_readiness(rows: DataFrame, selector: str, state: str) -> DataFrame:
 
 
 def baseline(counts: DataFrame, recorded: DataFrame, source: str) -> DataFrame:
-    """Per-source counts against the recorded baseline."""
-    joined = counts.withColumnRenamed("rows", "found").join(recorded.withColumnRenamed("rows", "recorded"), source, "full_outer")
+    """Counts and schema digests of sources against the recorded baseline.
+
+    Both have ``<source>, rows, schema_digest``.
+    """
+    found = counts.select(source, F.col("rows").alias("found"), F.col("schema_digest").alias("_now"))
+    was = recorded.select(source, F.col("rows").alias("recorded"), F.col("schema_digest").alias("_was"))
+    joined = found.join(was, source, "full_outer")
     verdict = (
         F.when(F.col("found").isNull(), "source_missing")
         .when(F.col("recorded").isNull(), "source_unknown")
+        .when(~F.col("_now").eqNullSafe(F.col("_was")), "schema_differs")
         .when(F.col("found") != F.col("recorded"), "count_differs")
         .otherwise("equal")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -319,17 +317,62 @@ def export_volumes(t: Tables):
     return volumes.select("c_custkey", "ordinal", "volume")
 
 
-@query(
-    "export_manifest",
-    """SELECT (ordinal - 1) // 5000 + 1 AS volume, count(*) AS rows, TRUE AS rows_match, TRUE AS content_match FROM
-(SELECT row_number() OVER (ORDER BY o_orderkey) AS ordinal FROM orders) GROUP BY 1""",
-)
+def exported(t: Tables) -> dict:
+    """Three tables of an export: rows, id column, order."""
+    people = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    bought = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return {
+        "people": (people, "c_custkey", [F.col("c_custkey").asc()]),
+        "bought": (bought, "o_custkey", [F.col("o_orderkey").desc()]),
+        "parts": (t.part.select("p_partkey", "p_name", "p_size"), "p_partkey", [F.col("p_name").asc(), F.col("p_partkey").asc()]),
+    }
+
+
+def _marks(*columns: str) -> str:
+    """60 bits of a row's digest, as the export spells the row."""
+    texts = [f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns]
+    return f"CAST('0x' || substr(sha256({' || '.join(texts)}), 1, 15) AS BIGINT)"
+
+
+EXPORT = f"""
+row AS (
+  SELECT 'people' AS tab, (row_number() OVER (ORDER BY c_custkey) - 1) // 400 + 1 AS volume, c_custkey AS id, {_marks('c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment')} AS mark FROM customer
+  UNION ALL SELECT 'bought', (row_number() OVER (ORDER BY o_orderkey DESC) - 1) // 400 + 1, o_custkey,
+    {_marks('o_orderkey', 'o_custkey', 'o_orderstatus', "strftime(o_orderdate, '%Y-%m-%d')")} FROM orders
+  UNION ALL SELECT 'parts', (row_number() OVER (ORDER BY p_name, p_partkey) - 1) // 400 + 1, p_partkey, {_marks('p_partkey', 'p_name', 'p_size')} FROM part),
+vol AS (SELECT tab, volume, count(*) AS rows, count(DISTINCT id) AS ids, CAST(sum(mark) AS VARCHAR) AS "sum", bit_xor(mark) AS mix FROM row GROUP BY tab, volume),
+volm AS (SELECT *, {_marks('tab', 'volume', 'rows', 'ids', '"sum"', 'mix')} AS mark FROM vol),
+tab AS (SELECT tab, CAST(NULL AS BIGINT) AS volume, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(ids) AS BIGINT) AS ids, CAST(sum(mark) AS VARCHAR) AS "sum", bit_xor(mark) AS mix FROM volm GROUP BY tab),
+tabm AS (SELECT *, {_marks('tab', 'volume', 'rows', 'ids', '"sum"', 'mix')} AS mark FROM tab),
+manifest AS (SELECT 'volume' AS level, tab, volume, rows, ids, "sum", mix FROM vol UNION ALL SELECT 'table', * FROM tab
+  UNION ALL SELECT 'export', '', NULL, CAST(sum(rows) AS BIGINT), CAST(sum(ids) AS BIGINT), CAST(sum(mark) AS VARCHAR), bit_xor(mark) FROM tabm)"""
+
+
+@query("export_manifest", q.with_(EXPORT, 'SELECT level, tab AS "table", volume, rows, ids, "sum", mix FROM manifest'))
 def export_manifest(t: Tables):
-    volumes = pin(exports.with_volume(t.orders, [F.col("o_orderkey").asc()], size=5000), "volumes")
+    """Every table, volume and the whole of an export with rows, ids and digest."""
     path = new_path(t.spark, "export")
-    exports.write_volumes(volumes, path)
-    again = t.spark.read.schema(volumes.schema).parquet(path)
-    return exports.verify_volumes(volumes, again, t.orders.columns)
+    exports.write_export(exported(t), path, volume_rows=400)
+    return exports.read_manifest(t.spark, path)
+
+
+@query(
+    "export_tampered",
+    q.with_(
+        EXPORT,
+        """SELECT level, tab AS "table", volume, rows, ids, NOT (level = 'export' OR (tab = 'bought' AND (level = 'table' OR volume = 2))) AS matches FROM manifest""",
+    ),
+)
+def export_tampered(t: Tables):
+    """A changed row of one volume shows there, in its table and in the export, and nowhere else."""
+    path, tables = new_path(t.spark, "export"), exported(t)
+    exports.write_export(tables, path, volume_rows=400)
+    known = {name: (rows, ident) for name, (rows, ident, _) in tables.items()}
+    second = exports.read_volumes(known["bought"][0], path, "bought", 2).drop("volume")
+    least = second.agg(F.min("ordinal")).first()[0]
+    changed = second.withColumn("o_orderstatus", F.when(F.col("ordinal") == least, "?").otherwise(F.col("o_orderstatus")))
+    pin(changed, "changed").write.mode("overwrite").parquet(f"{path}/bought/volume=2")
+    return exports.check_export(known, path)
 
 
 def keyed_facts(t: Tables) -> DataFrame:
@@ -343,16 +386,17 @@ def keyed_facts(t: Tables) -> DataFrame:
     "export_kind_tables",
     q.with_(
         FACTS,
-        """SELECT record, '/lines/' || i AS item, CAST(i AS VARCHAR) AS no, CAST(o_custkey % (i + 2) AS VARCHAR) AS qty FROM n""",
+        """, cell AS (SELECT record, target_kind AS kind, regexp_extract(base_field, '[^/]*$') AS key, regexp_replace(source_path, '/[^/]*$', '') AS item, value FROM facts),
+col AS (SELECT kind, key, row_number() OVER (PARTITION BY kind ORDER BY key) AS number FROM (SELECT DISTINCT kind, key FROM cell))
+SELECT record, item, kind, (number - 1) // 2 + 1 AS sheet, (number - 1) % 2 + 1 AS place, max(value) AS value FROM cell JOIN col USING (kind, key) GROUP BY ALL""",
     ),
 )
 def export_kind_tables(t: Tables):
-    """The document sheet: one row per item over the columns found for its kind."""
-    facts = pin(keyed_facts(t), "facts")
-    sheets = exports.kind_tables(facts, "document", ["record", "item"])
-    named = {f"document_{n}": sheet for n, sheet in enumerate(sheets, 1)}
-    exports.write_tables({**named, "facts": facts}, new_path(t.spark, "sheets"))
-    return reduce(lambda left, right: left.join(right, ["record", "item"]), sheets)
+    """The sheets of every kind, two columns each, written with the table of their columns."""
+    cells, columns = exports.kind_cells(pin(keyed_facts(t), "facts"), ["record", "item"], width=2)
+    path = new_path(t.spark, "sheets")
+    exports.write_tables({"cells": cells, "columns": columns}, path)
+    return t.spark.read.schema(cells.schema).parquet(f"{path}/cells")
 
 
 @query(
@@ -373,8 +417,28 @@ def history_append(t: Tables):
     )
 
 
-@query("source_pin", "SELECT 'orders.parquet' AS file_name, count(*) AS rows, 'unchanged' AS status FROM orders")
+GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(
+    "source_pin",
+    "SELECT unnest(["
+    + ", ".join(f"'{name}.parquet'" for name in GIVEN)
+    + """]) AS file_name, 'unchanged' AS status
+UNION ALL SELECT * FROM (VALUES ('own/same/part.csv', 'unchanged'), ('own/edited/part.json', 'changed'), ('own/gone/part.csv', 'missing'), ('own/added/part.txt', 'new'))""",
+)
 def source_pin(t: Tables):
-    path = f"{t.sf_dir}/orders.parquet"
-    recorded = pin(exports.file_pins(t.spark, path), "pins")
-    return exports.check_pins(recorded, exports.file_pins(t.spark, path))
+    """All given files, and files of other formats of which one changed, one is gone and one is new."""
+    single = F.regexp_replace("file_name", r"part-[^.]*(\.c000)?(?=\.)", "part")
+    before, after = new_path(t.spark, "source"), new_path(t.spark, "source")
+    nation, region = t.nation.coalesce(1), t.region.coalesce(1)
+    for folder in (before, after):
+        nation.orderBy("n_nationkey").coalesce(1).write.csv(f"{folder}/own/same")
+    nation.write.json(f"{before}/own/edited")
+    nation.withColumn("n_name", F.concat("n_name", F.lit("!"))).write.json(f"{after}/own/edited")
+    region.write.csv(f"{before}/own/gone")
+    region.select("r_name").write.text(f"{after}/own/added")
+    given = pin(exports.file_pins(t.spark, t.sf_dir, chunk_bytes=1 << 20), "pins").filter(F.col("file_name").endswith(".parquet"))
+    again = exports.file_pins(t.spark, t.sf_dir, chunk_bytes=1 << 20).filter(F.col("file_name").endswith(".parquet"))
+    was, now = (exports.file_pins(t.spark, folder).filter(~F.col("file_name").contains("/_")).withColumn("file_name", single) for folder in (before, after))
+    return exports.check_pins(given.unionByName(was), again.unionByName(now)).select("file_name", "status")

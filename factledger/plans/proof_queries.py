@@ -9,6 +9,7 @@ from factledger.operators import reconcile
 from factledger.plans import sqltext as q
 from factledger.plans.registry import query
 from factledger.plans.tables import Tables
+from factledger.sources import exports
 
 
 def stored_orders(t: Tables) -> DataFrame:
@@ -116,21 +117,34 @@ def selector_coverage(t: Tables):
     return reconcile.selector_readiness(t.events.select(kind.alias("selector"), state.alias("outcome")), "selector", "outcome")
 
 
+BASELINE_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+
+
 @query(
     "baseline_check",
-    """
-WITH f AS (SELECT source, count(*) AS found FROM documents GROUP BY source),
-r AS (SELECT source, count(*) + CASE WHEN source = 'src3' THEN 1 ELSE 0 END AS recorded FROM documents WHERE source <> 'src5' GROUP BY source UNION ALL SELECT 'src99', 7)
-SELECT source, found, recorded, CASE WHEN found IS NULL THEN 'source_missing' WHEN recorded IS NULL THEN 'source_unknown' WHEN found <> recorded THEN 'count_differs' ELSE 'equal' END AS verdict
-FROM f FULL JOIN r USING (source)
+    "WITH f AS ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS source, count(*) AS found FROM {name}" for name in BASELINE_TABLES)
+    + """),
+r AS (SELECT source, found + CASE source WHEN 'orders' THEN 1 ELSE 0 END AS recorded FROM f WHERE source <> 'part' UNION ALL SELECT 'returns', 7)
+SELECT source, found, recorded, CASE WHEN found IS NULL THEN 'source_missing' WHEN recorded IS NULL THEN 'source_unknown' WHEN source IN ('events', 'pages') THEN 'schema_differs'
+  WHEN found <> recorded THEN 'count_differs' ELSE 'equal' END AS verdict FROM f FULL JOIN r USING (source)
 """,
 )
 def baseline_check(t: Tables):
-    counts = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
-    shifted = F.col("rows") + F.when(F.col("source") == "src3", 1).otherwise(0)
-    recorded = counts.filter(F.col("source") != "src5").withColumn("rows", shifted)
-    recorded = recorded.unionByName(t.spark.createDataFrame([("src99", 7)], "source string, rows bigint"))
-    return reconcile.baseline(counts, recorded, "source")
+    """Tables against a record of them in which counts, schemas and names have changed."""
+    now = was = None
+    for name in BASELINE_TABLES:
+        table = t.read(name)
+        before = table.withColumnRenamed("props", "properties") if name == "events" else table
+        before = before.withColumn("page_id", F.col("page_id").cast("string")) if name == "pages" else before
+        before = before.select(*reversed(before.columns))  # the order of columns is none of the schema
+        rows = table.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("rows"))
+        one, other = (rows.withColumn("schema_digest", F.lit(exports.schema_digest(x))) for x in (table, before))
+        now = one if now is None else now.unionByName(one)
+        was = other if was is None else was.unionByName(other)
+    was = was.filter("source <> 'part'").withColumn("rows", F.col("rows") + F.when(F.col("source") == "orders", 1).otherwise(0))
+    was = was.unionByName(t.spark.createDataFrame([("returns", 7, "0")], "source string, rows bigint, schema_digest string"))
+    return reconcile.baseline(now, was, "source")
 
 
 @query(
