@@ -86,5 +86,6 @@ def stream_publish(t: Tables):
     schema = changes.schema
     path, files = as_stream(changes, "changes", F.xxhash64("content"))
     target = new_path(t.spark, "published")
-    publish.publish(batches.file_stream(t.spark, path, schema, files), target, new_path(t.spark, "decisions"), new_path(t.spark, "cp"))
+    stream = batches.file_stream(t.spark, path, schema, files)
+    publish.publish(stream, target, new_path(t.spark, "decisions"), new_path(t.spark, "cp"), compact_every=3)
     return publish.published(t.spark, target, schema)

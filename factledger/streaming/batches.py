@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from factledger.operators.reconcile import digest
+from factledger.streaming.idstore import IdStore
 
 
 class ReplayConflict(RuntimeError):
@@ -105,22 +106,24 @@ def ingest(stream: DataFrame, target: str, receipt_path: str, checkpoint: str) -
     return counts
 
 
-def append_once(stream: DataFrame, operation: str, target: str, checkpoint: str) -> None:
+def append_once(stream: DataFrame, operation: str, target: str, checkpoint: str, ids: str | None = None) -> None:
     """Exactly-once by operation id, without streaming state.
 
     Copies inside a batch collapse by a partial aggregation and known
-    operations drop out by an anti-join against earlier batches. Only their id
-    column is read, and only where it can overlap the ids of the batch.
+    operations drop out by an anti-join against the ids kept below ``ids``
+    (beside the target if not given), of which only folders that may hold one of
+    the batch are read. A batch that runs again sees earlier batches only and
+    replaces its own rows and ids.
     """
-    schema = stream.schema
 
     def each(batch: DataFrame, number: int) -> None:
-        span = batch.agg(F.min(operation).alias("low"), F.max(operation).alias("high")).first()
-        known = read_parts(batch.sparkSession, target, schema, before=number).select(operation)
-        known = known.filter(F.col(operation).between(F.lit(span.low), F.lit(span.high)))
+        spark = batch.sparkSession
+        store = IdStore(spark, ids or f"{target}-ids", batch.schema[operation].dataType)
         rest = [c for c in batch.columns if c != operation]
         once = batch.groupBy(operation).agg(F.min(F.struct(*rest)).alias("_row")).select(operation, "_row.*")
-        fresh = once.join(known, operation, "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").parquet(part(target, number))
+        known = store.known(batch, operation, before=number)
+        fresh = once if known is None else once.join(known.select(F.col("id").alias(operation)), operation, "left_anti")
+        fresh.select(*batch.columns).write.mode("overwrite").parquet(part(target, number))
+        store.add(spark.read.schema(batch.schema).parquet(part(target, number)), operation, number)
 
     run_available(stream, each, checkpoint)
