@@ -111,7 +111,8 @@ def fresh_index(spark: SparkSession, buckets: int = BUCKETS) -> DigestIndex:
 def unique_rows(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, whole, one for each class of equal texts."""
     index = index or fresh_index(docs.sparkSession)
-    stay = index.add(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    marked = docs.withColumn("_digest", digest())
-    same = (marked["_digest"] == stay["_digest"]) & marked["doc_id"].eqNullSafe(stay["_id"])
-    return marked.join(stay, same, "left_semi").dropDuplicates(["_digest"]).select(*docs.columns)
+    stay = index.add(docs).filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("digest").alias("stay_digest")).distinct()
+    # the row travels whole in one column, so its own columns may have any names
+    marked = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", digest().alias("digest"))
+    same = (F.col("digest") == F.col("stay_digest")) & F.col("doc_id").eqNullSafe(F.col("stay_id"))
+    return marked.join(stay, same, "left_semi").dropDuplicates(["digest"]).select("row.*")

@@ -182,13 +182,13 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     Rows equal in id and text are interchangeable: their copies are dealt
     evenly among them.
     """
-    taken = mix(docs).groupBy("doc_id", "mark").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = pin(taken.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), "mix-copies")
-    marked = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()))
-    joined = marked.join(
-        taken, (F.col("_own") == F.col("_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    )
-    nth = F.row_number().over(Window.partitionBy("_own", "doc_id").orderBy(F.lit(0)))
-    joined = joined.withColumn("_nth", F.when(F.col("_rows") > 1, nth).otherwise(1))
-    times = F.expr("_copies div _rows + int(_nth <= _copies % _rows)")
-    return joined.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*docs.columns)
+    taken = mix(docs).groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    taken = pin(taken.withColumnsRenamed({"doc_id": "taken_id", "mark": "taken_mark"}), "mix-copies")
+    ident = F.col("doc_id").cast("long")
+    # the row travels whole in one column, so its own columns may have any names
+    marked = docs.select(F.struct(*docs.columns).alias("row"), ident.alias("id"), F.xxhash64(ident, text_or_empty()).alias("mark"))
+    joined = marked.join(taken, (F.col("mark") == F.col("taken_mark")) & F.col("id").eqNullSafe(F.col("taken_id")))
+    nth = F.row_number().over(Window.partitionBy("mark", "id").orderBy(F.lit(0)))
+    joined = joined.withColumn("nth", F.when(F.col("rows") > 1, nth).otherwise(1))
+    times = F.expr("copies div rows + int(nth <= copies % rows)")
+    return joined.filter(times > 0).select("row", F.explode(F.sequence(F.lit(1), times.cast("int")))).select("row.*")

@@ -42,11 +42,12 @@ SHARD_BITS = 4
 #: Rules of one shard on average, at most.
 SHARD_RULES = 250_000
 DEFAULT_VERDICT = "allow"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_of(url: str = "url") -> Column:
     rest = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(rest, _UPPER, _LOWER)
 
 
 def path_of(url: str = "url") -> Column:
@@ -68,7 +69,8 @@ def build(rules: DataFrame, folder: str | None = None, shard_bits: int | None =
     if shard_bits is None:
         shard_bits = bits_for(rules.count())
     folder = folder or new_path(spark, "url-digests")
-    key = F.concat("host", F.coalesce("path", F.lit("")))
+    host = F.translate("host", _UPPER, _LOWER)  # as the hosts of urls are read
+    key = F.concat(host, F.coalesce("path", F.lit("")))
     keys = (
         rules.filter("host IS NOT NULL AND verdict IS NOT NULL")
         .groupBy(key.alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("path_length"))
