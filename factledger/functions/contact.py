@@ -131,9 +131,22 @@ def rollout_table(spark: SparkSession) -> DataFrame:
 _EXTENSION = r"(?i)(?:\s*(?:ext\.?|ramal|x|#)\s*|;ext=)([0-9]{1,10})\z"
 
 
-def normalize_phones(phones: DataFrame, rollout: DataFrame) -> DataFrame:
+# Countries of the ISO list without telephone numbers of their own, and regions with numbers that it lacks.
+_NO_NUMBERS = {"AQ", "BV", "GS", "HM", "PN", "TF", "UM"}
+_MORE_REGIONS = {"AC", "TA", "XK"}
+
+
+def phone_regions(spark: SparkSession) -> list[str]:
+    """Codes of the countries that have telephone numbers."""
+    countries = set(spark._jvm.java.util.Locale.getISOCountries())
+    return sorted((countries - _NO_NUMBERS) | _MORE_REGIONS)
+
+
+def normalize_phones(phones: DataFrame, rollout: DataFrame, regions: list[str] | None = None) -> DataFrame:
     """Add the outcome of the area-code rules to ``raw, country, area, extension``.
 
+    With ``regions`` a country that is none of them is unknown, whatever the rest says.
+
     ``rollout`` is a dimension of known area codes, small by nature (an area
     code has two digits). Nothing is added to a number unless the country is
     explicit and the historic rule covers its prefix; everything else keeps its
@@ -171,11 +184,13 @@ def normalize_phones(phones: DataFrame, rollout: DataFrame) -> DataFrame:
     joined = parts.join(known, "_area", "left").join(listed, F.col("area") == F.col("_said"), "left")
     short, first = F.length("_local") == 8, F.substring("_local", 1, 1)
     legacy = short & first.isin("6", "8", "9")
+    unknown = F.lit(False) if regions is None else F.col("_explicit") & ~F.upper(F.trim("country")).isin(regions)
     reason = (
         F.when(F.coalesce(F.trim("raw"), F.lit("")) == "", "non_text_or_empty_number")
         .when(F.col("_given").isNotNull() & ~F.col("_given").rlike(r"\A[0-9]{1,10}\z"), "invalid_extension")
         .when(F.col("_inline") != F.col("_given"), "conflicting_extensions")
         .when(~F.col("_body").rlike(r"\A\+?[0-9\s().-]+\z"), "unsupported_characters")
+        .when(unknown, "unknown_country")
         .when(F.col("area").isNotNull() & F.col("_listed").isNull(), "invalid_ddd")
         .when(F.col("_local_only") & ~F.col("_certain"), "country_required_for_ddd")
         .when(F.col("_explicit") & ~F.col("_home"), "country_not_covered")

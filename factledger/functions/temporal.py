@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The date and time spellings that the rules tell apart.
 ISO_DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 _CLOCK = r"(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{1,6})?"
 _SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?(?:Z|[+-][0-9]{2}:[0-9]{2})?\z"
@@ -38,15 +39,51 @@ def utc_instant(text: Column) -> Column:
     return F.when(text.rlike(ISO_INSTANT) & day.isNotNull(), F.try_to_timestamp(spelled) - ahead)
 
 
+def _whole_millis(raw: Column) -> Column:
+    """Milliseconds of an integer or of a decimal without a fraction."""
+    exact = raw.try_cast("decimal(38,6)")
+    return F.when(exact == F.floor(exact), exact.try_cast("bigint"))
+
+
+def _is_whole(raw: Column, json_type: Column) -> Column:
+    exact = raw.try_cast("decimal(38,6)")
+    return (json_type == "integer") | ((json_type == "decimal") & F.coalesce(exact == F.floor(exact), F.lit(False)))
+
+
+def datetime_by_rule(raw: Column, json_type: Column, epoch_declared: Column) -> Column:
+    """``struct(moment, rule, reason)``: the rules of :func:`date_by_rule` with the time of day kept.
+
+    ``moment`` is ISO text: the offset as it was written, none if there was
+    none, and UTC for milliseconds; a fraction has six digits or is left out.
+    """
+    ruled = date_by_rule(raw, json_type, epoch_declared)
+    text = F.trim(raw)
+
+    def with_fraction(digits: Column) -> Column:
+        six = F.rpad(digits, 6, "0")
+        return F.when((digits == "") | (six == "000000"), "").otherwise(F.concat(F.lit("."), six))
+
+    offset = F.regexp_extract(text, r"(Z|[+-][0-9]{2}:[0-9]{2})\z", 1)
+    offset = F.when(offset.isin("Z", "-00:00"), "+00:00").otherwise(offset)
+    fraction = with_fraction(F.regexp_extract(text, r"\.([0-9]{1,6})", 1))
+    written = F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), fraction, offset)
+    millis = _whole_millis(raw)
+    clock = F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss")
+    counted = F.concat(clock, with_fraction(F.lpad(F.pmod(millis, F.lit(1000)).cast("string"), 3, "0")), F.lit("+00:00"))
+    rule = ruled["rule"]
+    timed = rule == "iso_calendar_from_datetime"
+    moment = F.when(timed, written).when(rule == "declared_epoch_millis", counted).otherwise(ruled["day"].cast("string"))
+    return F.struct(moment.alias("moment"), F.when(timed, "iso_datetime").otherwise(rule).alias("rule"), ruled["reason"].alias("reason"))
+
+
 def date_by_rule(raw: Column, json_type: Column, epoch_declared: Column) -> Column:
     """``struct(day, rule, reason)`` of a source value under the date rules.
 
-    Integers are milliseconds only where the source declares them. A date-time
+    Whole numbers are milliseconds only where the source declares them. A date-time
     keeps the calendar day it was written with.
     """
     text = F.trim(raw)
-    millis = raw.try_cast("bigint")
-    from_epoch = F.to_date(F.timestamp_millis(millis))
+    from_epoch = F.to_date(F.timestamp_millis(_whole_millis(raw)))
     shaped = text.rlike(_SHAPE)
     whole = F.when(text.rlike(_GOOD), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
     day = parse_date(text)
@@ -61,7 +98,7 @@ def date_by_rule(raw: Column, json_type: Column, epoch_declared: Column) -> Colu
     return (
         F.when(json_type == "null", outcome(None, None, "missing_value"))
         .when(
-            epoch_declared & (json_type == "integer"),
+            epoch_declared & _is_whole(raw, json_type),
             F.when(from_epoch.isNotNull(), outcome(from_epoch, "declared_epoch_millis", None)).otherwise(
                 outcome(None, None, "invalid_date")
             ),

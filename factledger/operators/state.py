@@ -233,9 +233,17 @@ def flag_applicability(flag_state: DataFrame, value_state: DataFrame, binding_of
 
 
 def flag_details(applicability: DataFrame, at: Column) -> DataFrame:
-    """Effective flag value, last result and staleness at a given instant."""
+    """Effective flag value, last result, evidence and staleness at a given instant.
+
+    ``method, reference, checked_at`` of the evidence are kept where the rows
+    have them; a flag without a time of its check was checked when it was observed.
+    """
+    evidence = {name: F.lit(None).cast("string") for name in ("method", "reference") if name not in applicability.columns}
+    checked = F.coalesce("checked_at", "effective") if "checked_at" in applicability.columns else F.col("effective")
     return applicability.withColumns(
         {
+            **evidence,
+            "checked_at": checked,
             "last_result": F.col("flag"),
             "flag_value": F.when(F.col("applicable"), F.col("flag")),
             "stale": F.coalesce(F.col("expires") <= at, F.lit(False)),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.functions import contact, temporal, text, values
+from factledger.operators import keys
 from factledger.plans import sqltext as q
 from factledger.plans.registry import query
 from factledger.plans.tables import Tables
@@ -150,14 +152,14 @@ WITH roll AS (SELECT unnest(string_split(areas, ' ')) AS a, day FROM (VALUES
   ('2016-11-06', '41 42 43 44 45 46 47 48 49 51 53 54 55')) v(day, areas)),
 n AS (SELECT o_orderkey, CAST(10 + o_orderkey % 90 AS VARCHAR) AS ar,
   CAST(o_custkey % 10 AS VARCHAR) || lpad(CAST(o_orderkey * 7919 % 10000000 AS VARCHAR), 7, '0') AS loc, o_orderkey % 7 AS style,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'BR' WHEN o_orderkey % 4 = 1 THEN ' br ' END AS country FROM orders),
+  CASE WHEN o_orderkey % 9 = 5 THEN 'xx ' WHEN o_orderkey % 4 = 0 THEN 'BR' WHEN o_orderkey % 4 = 1 THEN ' br ' END AS country FROM orders),
 x AS (SELECT *, CASE style WHEN 0 THEN '+55 (' || ar || ') ' || substr(loc,1,4) || '-' || substr(loc,5) WHEN 1 THEN ar || ' ' || loc
     WHEN 2 THEN 'tel:+55' || ar || loc || ' ramal 12' WHEN 3 THEN loc WHEN 4 THEN 'call ' || loc WHEN 5 THEN '  ' ELSE ar || '9' || loc END AS raw,
   CASE WHEN style = 3 THEN ar END AS area FROM n),
 o AS (SELECT x.*, r.day, style IN (0, 2) OR country IS NOT NULL AS certain,
   CASE WHEN style = 6 THEN '9' || loc ELSE loc END AS l FROM x LEFT JOIN roll r ON r.a = x.ar),
 d AS (SELECT *, CASE WHEN style = 5 THEN 'non_text_or_empty_number' WHEN style = 4 THEN 'unsupported_characters'
-   WHEN style = 3 AND day IS NULL THEN 'invalid_ddd'
+   WHEN country = 'xx ' THEN 'unknown_country' WHEN style = 3 AND day IS NULL THEN 'invalid_ddd'
    WHEN style = 3 AND NOT certain THEN 'country_required_for_ddd' WHEN day IS NULL THEN 'missing_or_invalid_ddd'
    WHEN length(l) = 9 THEN NULL
    WHEN l[1] = '7' THEN 'specialized_or_legacy_radio' WHEN l[1] IN ('2','3','4','5') THEN NULL
@@ -191,11 +193,12 @@ def phone_area_rule(t: Tables):
     phones = t.spread("orders").select(
         "o_orderkey",
         raw.alias("raw"),
-        F.when(key % 4 == 0, "BR").when(key % 4 == 1, " br ").alias("country"),
+        F.when(key % 9 == 5, "xx ").when(key % 4 == 0, "BR").when(key % 4 == 1, " br ").alias("country"),
         F.when(style == 3, area).alias("area"),
         F.lit(None).cast("string").alias("extension"),
     )
-    return contact.normalize_phones(phones, contact.rollout_table(t.spark)).drop("extension")
+    regions = contact.phone_regions(t.spark)
+    return contact.normalize_phones(phones, contact.rollout_table(t.spark), regions).drop("extension")
 
 
 @query("text_fold", "SELECT doc_id, strip_accents(replace(lower(text), 'ß', 'ss')) AS folded FROM documents")
@@ -236,20 +239,20 @@ def ts_utc_strict(t: Tables):
 @query(
     "date_rules",
     """
-WITH f AS (SELECT o_orderkey, o_orderkey % 9 AS style, CAST(o_orderdate AS DATE) AS d FROM orders),
+WITH f AS (SELECT o_orderkey, o_orderkey % 11 AS style, CAST(o_orderdate AS DATE) AS d FROM orders),
 r AS (SELECT *, CASE style WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN ' ' || strftime(d, '%Y-%m-%d') || 'T23:30:00-03:00 '
    WHEN 2 THEN CAST(epoch_ms(d) AS VARCHAR) WHEN 3 THEN strftime(d, '%d/%m/%Y') WHEN 4 THEN '2024-13-45' WHEN 5 THEN NULL
-   WHEN 6 THEN 'true' WHEN 7 THEN strftime(d, '%Y-%m-%d') || ' 25:00:00' ELSE CAST(epoch_ms(d) AS VARCHAR) END AS raw,
-   CASE style WHEN 2 THEN 'integer' WHEN 5 THEN 'null' WHEN 6 THEN 'boolean' WHEN 8 THEN 'integer' ELSE 'text' END AS json_type,
-   style = 2 AS epoch_declared FROM f)
-SELECT o_orderkey, raw, json_type, CASE WHEN style IN (0, 1, 2) THEN d END AS day,
-   CASE style WHEN 0 THEN 'iso_calendar_date' WHEN 1 THEN 'iso_calendar_from_datetime' WHEN 2 THEN 'declared_epoch_millis' END AS rule,
+   WHEN 6 THEN 'true' WHEN 7 THEN strftime(d, '%Y-%m-%d') || ' 25:00:00' WHEN 9 THEN CAST(epoch_ms(d) AS VARCHAR) || '.00' WHEN 10 THEN CAST(epoch_ms(d) AS VARCHAR) || '.5'
+   ELSE CAST(epoch_ms(d) AS VARCHAR) END AS raw,
+   CASE style WHEN 2 THEN 'integer' WHEN 5 THEN 'null' WHEN 6 THEN 'boolean' WHEN 8 THEN 'integer' WHEN 9 THEN 'decimal' WHEN 10 THEN 'decimal' ELSE 'text' END AS json_type FROM f)
+SELECT o_orderkey, raw, json_type, CASE WHEN style IN (0, 1, 2, 9) THEN d END AS day,
+   CASE style WHEN 0 THEN 'iso_calendar_date' WHEN 1 THEN 'iso_calendar_from_datetime' WHEN 2 THEN 'declared_epoch_millis' WHEN 9 THEN 'declared_epoch_millis' END AS rule,
    CASE style WHEN 3 THEN 'ambiguous_date_format' WHEN 4 THEN 'invalid_date' WHEN 5 THEN 'missing_value' WHEN 6 THEN 'unrecognized_date_type'
-        WHEN 7 THEN 'invalid_date' WHEN 8 THEN 'unrecognized_date_type' END AS reason FROM r
+        WHEN 7 THEN 'invalid_date' WHEN 8 THEN 'unrecognized_date_type' WHEN 10 THEN 'unrecognized_date_type' END AS reason FROM r
 """,
 )
 def date_rules(t: Tables):
-    style, day = F.col("o_orderkey") % 9, F.to_date("o_orderdate")
+    style, day = F.col("o_orderkey") % 11, F.to_date("o_orderdate")
     iso = F.date_format(day, "yyyy-MM-dd")
     millis = (F.unix_date(day).cast("long") * 86400000).cast("string")
     raw = (
@@ -260,13 +263,45 @@ def date_rules(t: Tables):
         .when(style == 4, F.lit("2024-13-45"))
         .when(style == 6, F.lit("true"))
         .when(style == 7, F.concat(iso, F.lit(" 25:00:00")))
+        .when(style == 9, F.concat(millis, F.lit(".00")))
+        .when(style == 10, F.concat(millis, F.lit(".5")))
     )
-    kind = F.when(style.isin(2, 8), "integer").when(style == 5, "null").when(style == 6, "boolean").otherwise("text")
-    rows = t.orders.select("o_orderkey", raw.alias("raw"), kind.alias("json_type"), (style == 2).alias("declared"))
+    kind = F.when(style.isin(2, 8), "integer").when(style == 5, "null").when(style == 6, "boolean").when(style > 8, "decimal").otherwise("text")
+    rows = t.orders.select("o_orderkey", raw.alias("raw"), kind.alias("json_type"), style.isin(2, 9, 10).alias("declared"))
     ruled = rows.withColumn("r", temporal.date_by_rule(F.col("raw"), F.col("json_type"), F.col("declared")))
     return ruled.select("o_orderkey", "raw", "json_type", "r.*")
 
 
+@query(
+    "datetime_rules",
+    """
+WITH f AS (SELECT o_orderkey, o_orderkey % 8 AS style, CAST(o_orderdate AS DATE) AS d, strftime(o_orderdate, '%Y-%m-%d') AS t FROM orders)
+SELECT o_orderkey, CASE style WHEN 0 THEN t WHEN 1 THEN t || 'T23:30:00-03:00' WHEN 2 THEN t || 'T23:30:00.500000+00:00' WHEN 3 THEN t || 'T07:05:09'
+    WHEN 4 THEN t || 'T00:00:01.123000+00:00' WHEN 6 THEN t || 'T00:00:00+00:00' END AS moment,
+  CASE style WHEN 0 THEN 'iso_calendar_date' WHEN 4 THEN 'declared_epoch_millis' WHEN 6 THEN 'declared_epoch_millis' WHEN 5 THEN NULL WHEN 7 THEN NULL ELSE 'iso_datetime' END AS rule,
+  CASE style WHEN 5 THEN 'invalid_date' WHEN 7 THEN 'ambiguous_date_format' END AS reason FROM f
+""",
+)
+def datetime_rules(t: Tables):
+    """The same rules where the time of day is kept."""
+    style, day = F.col("o_orderkey") % 8, F.to_date("o_orderdate")
+    iso = F.date_format(day, "yyyy-MM-dd")
+    millis = F.unix_date(day).cast("long") * 86400000
+    raw = (
+        F.when(style == 0, iso)
+        .when(style == 1, F.concat(F.lit(" "), iso, F.lit("T23:30:00-03:00 ")))
+        .when(style == 2, F.concat(iso, F.lit(" 23:30:00.5Z")))
+        .when(style == 3, F.concat(iso, F.lit("T07:05:09.000")))
+        .when(style == 4, (millis + 1123).cast("string"))
+        .when(style == 5, F.concat(iso, F.lit("T23:60:00")))
+        .when(style == 6, F.concat(millis.cast("string"), F.lit(".0")))
+        .otherwise(F.concat(iso, F.lit("T07:05")))
+    )
+    kind = F.when(style == 4, "integer").when(style == 6, "decimal").otherwise("text")
+    ruled = temporal.datetime_by_rule(raw, kind, F.lit(True))
+    return t.orders.withColumn("r", ruled).select("o_orderkey", "r.*")
+
+
 URLS = """
 urls AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://user:pw@') WHEN 2 THEN replace(url, 'http', 'ftp')
    WHEN 3 THEN regexp_replace(url, '^([a-z]+://[^/]*)', '\\1:99999') WHEN 4 THEN regexp_replace(url, '^([a-z]+://[^/]*)', '\\1:8080')
@@ -346,22 +381,58 @@ def text_fragments(t: Tables):
     return pieces.withColumn("position", F.col("position").cast("long"))
 
 
+KINDS = ("identity", "document", "phone", "email", "username", "address", "relationship", "activity", "custom")
+
+
+def kind_items(t: Tables) -> DataFrame:
+    """Items of all nine kinds with the same fields, some of them missing."""
+    key, owner = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+
+    def quoted(*parts) -> Column:
+        return F.concat(F.lit('"'), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit('"'))
+
+    fields = {
+        "number": quoted(F.lpad(owner, 8, "0")),
+        "extension": F.when(key % 3 == 0, quoted((F.col("o_custkey") % 100).cast("string"))),
+        "type": quoted("T", (key % 4).cast("string")),
+        "country": F.lit('"BR"'),
+        "email": quoted("a", owner, "@x.org"),
+        "platform": F.lit('"p"'),
+        "username": quoted("u", owner),
+        "target_id": owner,
+        "target_document": F.lit('{"number":"1"}'),
+        "from": F.lit('"2024-01-01"'),
+        "code": F.lit("12"),
+        "role": F.lit('"r"'),
+        "field_id": F.lit('"f"'),
+        "value": F.lit("true"),
+    }
+    values = F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (key % 9 + 1).cast("int"))
+    return t.orders.select("o_orderkey", kind.alias("kind"), F.map_filter(values, lambda k, v: v.isNotNull()).alias("values"))
+
+
+KIND_ITEMS = """
+item AS (SELECT o_orderkey, ['identity', 'document', 'phone', 'email', 'username', 'address', 'relationship', 'activity', 'custom'][o_orderkey % 9 + 1] AS kind,
+  '"number":"' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') || '"' AS num, '"extension":' || CASE WHEN o_orderkey % 3 = 0 THEN '"' || (o_custkey % 100) || '"' ELSE 'null' END AS ext,
+  o_orderkey % 3 = 0 AS has_ext, '"type":"T' || (o_orderkey % 4) || '"' AS typ, '"email":"a' || o_custkey || '@x.org"' AS mail, '"username":"u' || o_custkey || '"' AS usr,
+  '"target_id":' || o_custkey AS tid FROM orders),
+spelled AS (SELECT *, '{"code":12,"country":"BR",' || mail || ',' || CASE WHEN has_ext THEN ext || ',' ELSE '' END || '"field_id":"f","from":"2024-01-01",' || num
+  || ',"platform":"p","role":"r","target_document":{"number":"1"},' || tid || ',' || typ || ',' || usr || ',"value":true}' AS whole,
+  '{' || ext || ',' || num || '}' AS phone, '{' || mail || '}' AS email, '{"platform":"p",' || usr || '}' AS name FROM item)"""
+
+
 @query(
     "flag_binding",
-    """
-SELECT o_orderkey, sha256('{"extension":' || CASE WHEN o_orderkey % 3 = 0 THEN '"' || CAST(o_custkey % 100 AS VARCHAR) || '"' ELSE 'null' END
-   || ',"number":"' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') || '"}') AS contact_binding,
-   sha256('{"number":"' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') || '"}') AS number_binding FROM orders
-""",
+    q.with_(
+        KIND_ITEMS,
+        """SELECT o_orderkey, kind, flag, sha256(CASE WHEN kind = 'phone' AND flag = 'is_whatsapp' THEN '{' || num || '}' WHEN kind = 'phone' THEN phone
+  WHEN kind = 'email' THEN email WHEN kind = 'username' THEN name ELSE whole END) AS binding FROM spelled, (VALUES ('valid'), ('is_whatsapp')) f(flag)""",
+    ),
 )
 def flag_binding(t: Tables):
-    number = F.lpad(F.col("o_custkey").cast("string"), 8, "0")
-    extension = F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_custkey") % 100).cast("string"))
-    return t.orders.select(
-        "o_orderkey",
-        values.fingerprint(number=number, extension=extension).alias("contact_binding"),
-        values.fingerprint(number=number).alias("number_binding"),
-    )
+    items = kind_items(t).withColumn("flag", F.explode(F.array(F.lit("valid"), F.lit("is_whatsapp"))))
+    return items.select("o_orderkey", "kind", "flag", keys.flag_binding(F.col("kind"), F.col("flag"), F.col("values")).alias("binding"))
 
 
 @query(
@@ -471,19 +542,13 @@ def row_fingerprint(t: Tables):
 
 @query(
     "item_key",
-    """
-WITH k AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'document' WHEN 'O' THEN 'username' ELSE 'identity' END AS kind, o_custkey, o_orderpriority FROM orders)
-SELECT o_orderkey, kind, CASE kind WHEN 'identity' THEN 'identity'
-  WHEN 'document' THEN sha256('{"country":"BR","number":"' || CAST(o_custkey AS VARCHAR) || '","type":"' || substr(o_orderpriority, 3) || '"}')
-  ELSE sha256('{"platform":"' || substr(o_orderpriority, 3) || '","username":"' || CAST(o_custkey AS VARCHAR) || '"}') END AS item_key FROM k
-""",
+    q.with_(
+        KIND_ITEMS,
+        """SELECT o_orderkey, kind, CASE kind WHEN 'identity' THEN 'identity' ELSE sha256(CASE kind WHEN 'document' THEN '{"country":"BR",' || num || ',' || typ || '}'
+  WHEN 'phone' THEN phone WHEN 'email' THEN email WHEN 'username' THEN name
+  WHEN 'relationship' THEN '{"from":"2024-01-01","target_document":{"number":"1"},' || tid || ',' || typ || ',"until":null}'
+  WHEN 'activity' THEN '{"code":12,"role":"r"}' WHEN 'custom' THEN '{"field_id":"f","value":true}' ELSE whole END) END AS item_key FROM spelled""",
+    ),
 )
 def item_key(t: Tables):
-    name, number = F.substr("o_orderpriority", F.lit(3)), F.col("o_custkey").cast("string")
-    kind = F.when(F.col("o_orderstatus") == "F", "document").when(F.col("o_orderstatus") == "O", "username").otherwise("identity")
-    key = (
-        F.when(kind == "identity", "identity")
-        .when(kind == "document", values.fingerprint(type=name, country=F.lit("BR"), number=number))
-        .otherwise(values.fingerprint(platform=name, username=number))
-    )
-    return t.orders.select("o_orderkey", kind.alias("kind"), key.alias("item_key"))
+    return kind_items(t).select("o_orderkey", "kind", keys.item_key(F.col("kind"), F.col("values")).alias("item_key"))

@@ -126,14 +126,22 @@ AT = "2024-01-25 00:00:00"
     q.with_(
         q.FLAG_STATE,
         f"""SELECT owner, item, path, id, flag AS last_result, CASE WHEN applicable THEN flag END AS flag_value,
-       applicable, received, expires, expires <= TIMESTAMP '{AT}' AS stale FROM flag_state""",
+       applicable, received, expires, expires <= TIMESTAMP '{AT}' AS stale, source, CASE WHEN id % 2 = 0 THEN received ELSE effective END AS checked_at,
+       CASE WHEN id % 3 = 0 THEN 'call' END AS method, CASE WHEN id % 4 = 0 THEN 'ref' || id END AS reference FROM flag_state""",
     ),
 )
 def flag_details(t: Tables):
     at = F.lit(AT).cast("timestamp")
-    return state.flag_details(t.flag_state, at).select(
-        "owner", "item", "path", "id", "last_result", "flag_value", "applicable", "received", "expires", "stale"
+    ident = F.col("id")
+    shown = t.flag_state.withColumns(
+        {
+            "checked_at": F.when(ident % 2 == 0, F.col("received")),
+            "method": F.when(ident % 3 == 0, "call"),
+            "reference": F.when(ident % 4 == 0, F.concat(F.lit("ref"), ident)),
+        }
     )
+    columns = ["owner", "item", "path", "id", "last_result", "flag_value", "applicable", "received", "expires", "stale"]
+    return state.flag_details(shown, at).select(*columns, "source", "checked_at", "method", "reference")
 
 
 @query(
