@@ -41,7 +41,7 @@ DRAWS, DRAW_STEPS = 24, 40_000
 #: Fractions nearer than this to a whole number are whole.
 EXACT = 1e-9
 
-_ROW = "doc_id long, source string, size long, mark long, block long, rate double"
+_ROW = "doc_id long, source string, size long, mark long, nth long, block long, rate double"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def settle(frame: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
     """Settle the fractions of one block; at most one row stays open (``copies`` null)."""
-    frame = frame.sort_values(["size", "mark", "doc_id"], ascending=[False, True, True], kind="stable")
+    frame = frame.sort_values(["size", "mark", "doc_id", "nth"], ascending=[False, True, True, True], kind="stable")
     source = frame["source"].iloc[0]
     name = f"{SEED}/{level}/{source if isinstance(source, str) else chr(0)}/{frame['block'].iloc[0]}"
     rates, sizes_ = frame["rate"].to_numpy(), frame["size"].to_numpy().astype(float)
@@ -152,10 +152,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     goals = pin(targets(sized, weights, most), "mix-targets").withColumn("blocks", F.ceil(F.col("n_docs") / block_rows))
     goal = goals.select(F.col("source").alias("_source"), "source_size", "target", "blocks")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    # equal rows are counted and numbered, so they are dealt to blocks like any others
+    counted = sized.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("rows"))
+    numbered = counted.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    spot = F.when(F.col("nth") == 0, F.xxhash64(F.lit(SEED), "mark")).otherwise(F.xxhash64(F.lit(SEED), "mark", "nth"))
     open_rows = (
-        sized.join(goal, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "mark"), F.col("blocks")))
-        .select("doc_id", "source", "size", "mark", "block", rate.alias("rate"))
+        numbered.join(goal, F.col("source").eqNullSafe(F.col("_source")))
+        .withColumn("block", F.pmod(spot, F.col("blocks")))
+        .select("doc_id", "source", "size", "mark", "nth", "block", rate.alias("rate"))
     )
     blocks = (goals.agg(F.max("blocks")).first()[0]) or 0
     done, level = [], 0
