@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from typing import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ BUCKETS = 64
 GRAM = 3
 #: Lists that are intersected before texts are read.
 RAREST = 4
+#: Terms of one row and of one batch of folded texts: bounds memory however long and many the texts are.
+ROW_TERMS = 512
+BATCH_TERMS = 1 << 16
 _TERMS = "array<struct<kind: string, term: string>>"
 
 
@@ -37,16 +41,49 @@ def terms_of(folded: str) -> list[tuple[str, str]]:
     return [(kind, term) for kind, found in kinds for term in sorted(found)]
 
 
+class _Batch:
+    """Rows ``(id, folded, terms)`` on their way to Spark, as flat lists."""
+
+    def __init__(self) -> None:
+        self.places: list[int] = []
+        self.folded: list[str | None] = []
+        self.ends: list[int] = [0]
+        self.kinds: list[str] = []
+        self.terms: list[str] = []
+
+    def add(self, place: int, folded: str | None, terms: Sequence[tuple[str, str]]) -> None:
+        self.places.append(place)
+        self.folded.append(folded)
+        self.kinds.extend([kind for kind, _ in terms])
+        self.terms.extend([term for _, term in terms])
+        self.ends.append(len(self.terms))
+
+    def arrow(self, idents: pa.Array) -> pa.RecordBatch:
+        both = pa.StructArray.from_arrays([pa.array(self.kinds, pa.string()), pa.array(self.terms, pa.string())], ["kind", "term"])
+        terms = pa.ListArray.from_arrays(pa.array(np.array(self.ends, np.int32)), both)
+        columns = [idents.take(pa.array(self.places, pa.int64())), pa.array(self.folded, pa.string()), terms]
+        return pa.RecordBatch.from_arrays(columns, ["id", "folded", "terms"])
+
+
 def folded_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``(id, folded, terms)`` of every row that has a text: one narrow pass."""
+    """``(id, folded, terms)`` of every row that has a text: one narrow pass.
+
+    A text of many terms continues in further rows, whose ``folded`` is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("term", pa.string())]))
         for batch in batches:
-            folded = [fold_text(value) for value in batch.column(1).to_pylist()]
-            terms = [[{"kind": k, "term": t} for k, t in terms_of(value)] for value in folded]
-            columns = [batch.column(0), pa.array(folded, pa.string()), pa.array(terms, kind)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "folded", "terms"])
+            idents, out = batch.column(0), _Batch()
+            for place, value in enumerate(batch.column(1)):
+                folded = fold_text(value.as_py())
+                terms = terms_of(folded)
+                for start in range(0, max(1, len(terms)), ROW_TERMS):
+                    out.add(place, None if start else folded, terms[start : start + ROW_TERMS])
+                if len(out.terms) >= BATCH_TERMS:
+                    yield out.arrow(idents)
+                    out = _Batch()
+            if out.places:
+                yield out.arrow(idents)
 
     there = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
     key_type = there.schema["id"].dataType.simpleString()
@@ -74,7 +111,7 @@ class TextIndex:
         counts = postings.groupBy("bucket", "kind", "term").agg(F.count(F.lit(1)).alias("rows"))
         counts = counts.repartition("bucket").sortWithinPartitions("bucket", "kind", "term")
         counts.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/frequencies/batch={batch}")
-        built.select("id", "folded").write.mode("overwrite").parquet(f"{self.path}/texts/batch={batch}")
+        built.select("id", "folded").filter("folded IS NOT NULL").write.mode("overwrite").parquet(f"{self.path}/texts/batch={batch}")
 
     def _read(self, name: str, *fields: StructField) -> DataFrame:
         schema = StructType([*fields, StructField("batch", LongType())])

@@ -69,6 +69,22 @@ def test_a_query_folds_nothing_and_reads_its_folders_alone(index):
     assert len(touched) == 1 and files
 
 
+def test_long_texts_go_on_in_further_rows_of_bounded_batches(spark):
+    rng = random.Random(3)
+    texts = {k: " ".join(f"{rng.randrange(10**9):x}é" for _ in range(700)) for k in range(40)} | {50: ""}
+    rows = textindex.folded_rows(frame(spark, texts), "doc_id", "text")
+    most = rows.selectExpr("max(size(terms)) AS n", "count_if(folded IS NOT NULL) AS texts").first()
+    assert (most["n"], most["texts"]) == (textindex.ROW_TERMS, len(texts))
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r["id"], []).extend((t["kind"], t["term"]) for t in r["terms"])
+    assert {k: sorted(t) for k, t in found.items()} == {k: sorted(textindex.terms_of(fold_text(t))) for k, t in texts.items()}
+    index = textindex.build(frame(spark, texts), "doc_id", "text")
+    assert index.texts().count() == len(texts)
+    word = texts[7].split()[333]
+    assert ids(index.contains(word)) == searched(texts, lambda text: fold_text(word) in text)
+
+
 POSTING = [
     textindex.StructField("kind", textindex.StringType()),
     textindex.StructField("term", textindex.StringType()),
