@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import lru_cache
 from typing import Iterator
 
 import pyarrow as pa
@@ -40,18 +41,6 @@ def _constant(_):
     raise _Refused("json_non_finite")
 
 
-def _type_and_text(value) -> tuple[str, str | None]:
-    if value is None:
-        return "null", None
-    if value is True or value is False:
-        return "boolean", str(value).lower()
-    if isinstance(value, _Number):
-        return ("integer" if isinstance(value, _Integer) else "decimal"), str(value)
-    if isinstance(value, str):
-        return "text", value
-    return ("empty_object", None) if isinstance(value, dict) else ("empty_array", None)
-
-
 def _spelled(text: str) -> str:
     """Lone surrogates as their escapes: they have no place in UTF-8."""
     return text.encode("utf-8", "backslashreplace").decode()
@@ -73,79 +62,164 @@ def _number_key(text: str) -> str:
     return f"{sign}{kept}e{int(power or 0) - len(fraction) + len(digits) - len(kept)}" if kept else "0"
 
 
-def _digests(root) -> dict[int, str]:
-    """The digest of every node, by its number in the order of :func:`_rows`.
+_quoted = json.encoder.encode_basestring_ascii
+#: Texts up to this length are looked up in the bounded tables of steps and digests.
+_SHORT = 64
+
+
+def _sha(spelled: str) -> str:
+    return hashlib.sha256(spelled.encode()).hexdigest()
+
+
+def _scalar_digest(value) -> str:
+    if isinstance(value, _Number):
+        return _sha("number " + _number_key(value))
+    return _sha(json.dumps(value))
+
+
+@lru_cache(maxsize=1 << 14)
+def _short_digest(kind: type, text: str) -> str:
+    return _scalar_digest(text if kind is str else _Number(text))
+
+
+#: The digests of values that have no text.
+_FIXED = {None: _scalar_digest(None), True: _scalar_digest(True), False: _scalar_digest(False)}
+
+
+def _digests(nodes: list[tuple]) -> list[str]:
+    """The digest of every node ``(value, number of the parent, key)``; children stand behind their parents.
 
     Nodes are equal in JSON terms when their digests are: numbers by value,
     members of an object in any order, no other type equal to another.
     """
-    nodes: list[tuple] = []  # value, number of the parent, key
-    todo = [(root, None, "")]
-    while todo:
-        value, parent, key = todo.pop()
-        number = len(nodes)
-        nodes.append((value, parent, key))
-        if isinstance(value, dict):
-            todo.extend((child, number, name) for name, child in value.items())
-        elif isinstance(value, list):
-            todo.extend((child, number, n) for n, child in enumerate(value))
     below: dict[int, list] = {}
-    found: dict[int, str] = {}
-    for number in range(len(nodes) - 1, -1, -1):  # children stand behind their parents
+    found = [""] * len(nodes)
+    for number in range(len(nodes) - 1, -1, -1):
         value, parent, key = nodes[number]
-        if isinstance(value, (dict, list)):
-            members = sorted(below.pop(number, []))
-            shape = "object" if isinstance(value, dict) else "array"
-            spelled = shape + json.dumps(members)
-        elif isinstance(value, _Number):
-            spelled = "number " + _number_key(value)
+        kind = type(value)
+        # members are spelled as ``json.dumps`` spells a list of pairs
+        if kind is dict:
+            members = ", ".join([f'[{_quoted(k)}, "{d}"]' for k, d in sorted(below.pop(number, ()))])
+            digest = _sha(f"object[{members}]")
+        elif kind is list:
+            members = ", ".join([f'[{k}, "{d}"]' for k, d in sorted(below.pop(number, ()))])
+            digest = _sha(f"array[{members}]")
+        elif value is None or kind is bool:
+            digest = _FIXED[value]
+        elif len(value) <= _SHORT:
+            digest = _short_digest(str if kind is str else _Number, value)
         else:
-            spelled = json.dumps(value)
-        found[number] = hashlib.sha256(spelled.encode()).hexdigest()
+            digest = _scalar_digest(value)
+        found[number] = digest
         if parent is not None:
-            below.setdefault(parent, []).append((key, found[number]))
+            if parent in below:
+                below[parent].append((key, digest))
+            else:
+                below[parent] = [(key, digest)]
     return found
 
 
+def _nodes(root) -> list[tuple]:
+    """``(value, number of the parent, key)`` of every node in the order of :func:`_walk`."""
+    nodes: list[tuple] = []
+    todo = [(root, None, "")]
+    while todo:
+        node = todo.pop()
+        number = len(nodes)
+        nodes.append(node)
+        value = node[0]
+        if type(value) is dict:
+            todo.extend([(child, number, name) for name, child in value.items()])
+        elif type(value) is list:
+            todo.extend([(child, number, n) for n, child in enumerate(value)])
+    return nodes
+
+
 def value_digest(raw: str) -> str:
     """The digest of one JSON text: the operand of a comparison by value."""
-    return _digests(_load(raw))[0]
+    return _digests(_nodes(_load(raw)))[0]
 
 
-def _rows(raw: str | None, digests: bool = False) -> Iterator[tuple]:
-    """(kind, path, base, type, value, size, depth, digest) for one record."""
-    if raw is None:
-        yield "error", "", "", "json_missing", None, None, 0, None
-        return
-    try:
-        root = _load(raw)
-    except _Refused as refused:
-        yield "error", "", "", str(refused), None, None, 0, None
-        return
-    except (ValueError, RecursionError):
-        yield "error", "", "", "json_invalid", None, None, 0, None
-        return
-    marks = _digests(root) if digests else {}
+def _step(key: str) -> str:
+    """A member's part of a path."""
+    return "/" + _spelled(key).replace("~", "~0").replace("/", "~1")
+
+
+_short_step = lru_cache(maxsize=1 << 12)(_step)
+
+
+def _walk(root, columns: list[list], digests: bool) -> int:
+    """Append the rows of one value to the columns of :data:`_FIELDS`; returns their number."""
+    kinds, paths, bases, types, values, sizes, depths, marks = columns
+    before = len(kinds)
+    found = _digests(_nodes(root)) if digests else None
     number = -1
     todo = [("", "", root, 0)]
     while todo:
         path, base, value, depth = todo.pop()
         number += 1
-        if isinstance(value, (dict, list)):
-            shape = "object" if isinstance(value, dict) else "array"
-            yield "container", path, base, shape, None, len(value), depth, marks.get(number)
-            if shape == "object":
-                for key, child in value.items():
-                    step = "/" + _spelled(key).replace("~", "~0").replace("/", "~1")
-                    todo.append((path + step, base + step, child, depth + 1))
-            else:
-                todo.extend((f"{path}/{i}", base, child, depth + 1) for i, child in enumerate(value))
+        kind = type(value)
+        if kind is dict or kind is list:
+            kinds.append("container")
+            paths.append(path)
+            bases.append(base)
+            types.append("object" if kind is dict else "array")
+            values.append(None)
+            sizes.append(len(value))
+            depths.append(depth)
+            if found:
+                marks.append(found[number])
             if value:
+                below = depth + 1
+                if kind is dict:
+                    for key, child in value.items():
+                        step = _short_step(key) if len(key) <= _SHORT else _step(key)
+                        todo.append((path + step, base + step, child, below))
+                else:
+                    todo.extend([(f"{path}/{i}", base, child, below) for i, child in enumerate(value)])
                 continue
-        kind, text = _type_and_text(value)
-        if text is not None and (shown := _spelled(text)) != text:
-            kind, text = "unsafe_text", shown
-        yield "leaf", path, base, kind, text, None, depth, marks.get(number)
+            shape, text = ("empty_object" if kind is dict else "empty_array"), None
+        elif kind is str:
+            shape, text = "text", value
+            if not value.isascii() and (shown := _spelled(value)) != value:
+                shape, text = "unsafe_text", shown
+        elif kind is _Integer:
+            shape, text = "integer", value
+        elif kind is _Number:
+            shape, text = "decimal", value
+        elif value is None:
+            shape, text = "null", None
+        else:
+            shape, text = "boolean", ("true" if value else "false")
+        kinds.append("leaf")
+        paths.append(path)
+        bases.append(base)
+        types.append(shape)
+        values.append(text)
+        sizes.append(None)
+        depths.append(depth)
+        if found:
+            marks.append(found[number])
+    return len(kinds) - before
+
+
+def _rows(raw: str | None, columns: list[list], digests: bool) -> int:
+    """Append (kind, path, base, type, value, size, depth, digest) of one record; returns the number of rows."""
+    error, root = None, None
+    try:
+        if raw is None:
+            error = "json_missing"
+        else:
+            root = _load(raw)
+    except _Refused as refused:
+        error = str(refused)
+    except (ValueError, RecursionError):
+        error = "json_invalid"
+    if error is None:
+        return _walk(root, columns, digests)
+    for column, cell in zip(columns, ("error", "", "", error, None, None, 0, None)):
+        column.append(cell)
+    return 1
 
 
 _FIELDS = (
@@ -174,27 +248,25 @@ def flatten_json(records: DataFrame, record: str, raw: str, digests: bool = Fals
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             idents = batch.column(0)
+            columns: list[list] = [[] for _ in _FIELDS]
             owners: list[int] = []
-            rows: list[tuple] = []
             for place, text in enumerate(batch.column(1).to_pylist()):
-                found = [row[: len(fields)] for row in _rows(text, digests)]
-                rows.extend(found)
-                owners.extend([place] * len(found))
-                if len(rows) >= _ROWS_PER_YIELD:
-                    yield _batch(record, idents, owners, rows, fields)
-                    owners, rows = [], []
-            if rows:
-                yield _batch(record, idents, owners, rows, fields)
+                owners.extend([place] * _rows(text, columns, digests))
+                if len(owners) >= _ROWS_PER_YIELD:
+                    yield _batch(record, idents, owners, columns, fields)
+                    owners, columns = [], [[] for _ in _FIELDS]
+            if owners:
+                yield _batch(record, idents, owners, columns, fields)
 
     kind = records.schema[record].dataType.simpleString()
     schema = ", ".join([f"{record} {kind}", *[f"{name} {ddl}" for name, _, ddl in fields]])
     return records.select(record, raw).mapInArrow(flatten, schema)
 
 
-def _batch(record: str, idents: pa.Array, owners: list[int], rows: list[tuple], fields: tuple) -> pa.RecordBatch:
-    columns = [idents.take(pa.array(owners, pa.int64()))]
-    columns += [pa.array(values, kind) for values, (_, kind, _) in zip(zip(*rows), fields)]
-    return pa.RecordBatch.from_arrays(columns, names=[record, *[name for name, _, _ in fields]])
+def _batch(record: str, idents: pa.Array, owners: list[int], columns: list[list], fields: tuple) -> pa.RecordBatch:
+    arrays = [idents.take(pa.array(owners, pa.int64()))]
+    arrays += [pa.array(values, kind) for values, (_, kind, _) in zip(columns, fields)]
+    return pa.RecordBatch.from_arrays(arrays, names=[record, *[name for name, _, _ in fields]])
 
 
 def leaves(flat: DataFrame) -> DataFrame:
