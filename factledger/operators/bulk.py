@@ -7,13 +7,14 @@ whole, and the optimiser chooses the join. Every match function returns links
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.functions.contact import check_digits_11, check_digits_14, clean_document, normalize_phones
-from factledger.functions.text import fold
+from factledger.functions.text import fold, fold_text
 from factledger.workspace import pin
 
 MODES = ("eq", "prefix", "contains")
@@ -21,6 +22,9 @@ SHORTEST = 3
 #: Document types whose numbers carry check digits.
 SCHEMES: dict[str, Callable[[Column], Column]] = {"CPF": check_digits_11, "CNPJ": check_digits_14}
 
+#: Whole texts folded at once: bounds a worker's memory.
+FOLDED_AT_ONCE = 64
+
 _GRAMS = r"(?s)(?=(.{%d}))"
 
 
@@ -82,6 +86,20 @@ def match_prefix(entries: DataFrame, registry: DataFrame, entity: str, value: st
     return cuts.join(asked, ["_cut", "_head"]).filter(F.startswith("_text", "_asked")).select("input_id", entity)
 
 
+def _folded_texts(registry: DataFrame, entity: str, value: str) -> DataFrame:
+    """``(<entity>, _text)``: the folded texts of a column of long texts, few at a time; null values left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, FOLDED_AT_ONCE):
+                part = batch.slice(start, FOLDED_AT_ONCE)
+                folded = pa.array([fold_text(text) for text in part.column(1).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), folded], [entity, "_text"])
+
+    texts = registry.select(entity, F.col(value).alias("_text")).filter(F.col("_text").isNotNull())
+    return texts.mapInArrow(run, f"`{entity}` {texts.schema[entity].dataType.simpleString()}, _text string")
+
+
 def match_contains(entries: DataFrame, registry: DataFrame, entity: str, value: str) -> DataFrame:
     """Links where the folded text contains the folded entry.
 
@@ -94,8 +112,7 @@ def match_contains(entries: DataFrame, registry: DataFrame, entity: str, value:
     gram without characters for it if there is such an entry.
     """
     rows = pin(
-        registry.select(entity, fold(value).alias("_text"))
-        .filter(F.col("_text").isNotNull())
+        _folded_texts(registry, entity, value)
         .withColumn("_row", F.monotonically_increasing_id()),
         "bulk-texts",
     )

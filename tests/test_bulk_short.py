@@ -23,3 +23,11 @@ def test_contains_entries_that_fold_to_few_characters(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     state = {r["input_id"]: r["state"] for r in bulk.entry_status(entries, found).collect()}
     assert state == {f"i{k}": "invalid" if v == "ab" else "found" for k, v in enumerate(values)}
+
+
+def test_long_texts_are_folded_few_at_a_time(spark):
+    texts = [None if k % 50 == 3 else f"ÉX{k} " + "ab" * (k % 7) for k in range(3 * bulk.FOLDED_AT_ONCE + 5)]
+    registry = spark.createDataFrame(list(enumerate(texts)), "who long, name string").coalesce(1)
+    folded = bulk._folded_texts(registry, "who", "name")
+    assert {r["who"]: r["_text"] for r in folded.collect()} == {k: fold_text(t) for k, t in enumerate(texts) if t is not None}
+    assert "ArrowEvalPython" not in folded._jdf.queryExecution().executedPlan().toString()
