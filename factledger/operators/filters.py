@@ -151,6 +151,8 @@ def passing(links: DataFrame, nodes: DataFrame, values: DataFrame, entity: str)
     """
     pairs = pin(links.select("input_id", entity).distinct(), "filter-links")
     nodes = pin(nodes, "filter-nodes")
+    # three steps read the values: made once, of the linked entities alone
+    values = pin(values.join(pairs.select(entity).distinct(), entity, "left_semi"), "filter-values")
     leaves = nodes.filter("shape = 'leaf'")
     asked = pairs.join(leaves.select("input_id", "node", "parent", "in_item", "field", "op", "wanted", "operands", "low", "high"), "input_id")
     plain = _truth(asked.filter("NOT in_item").drop("in_item"), values.drop("item"), ["input_id", entity])

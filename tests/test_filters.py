@@ -2,6 +2,7 @@
 
 import json
 import random
+import uuid
 
 import pytest
 
@@ -112,6 +113,20 @@ def test_no_links_and_no_filters(spark, world):
     assert [tuple(r) for r in filters.passing(links, nodes.limit(0), world[1], "entity").collect()] == [("b", 1)]
 
 
+def test_values_are_made_once(spark, world, tmp_path):
+    def noted(batches):
+        for batch in batches:
+            (tmp_path / uuid.uuid4().hex).touch()
+            yield batch
+
+    values = world[1].coalesce(1).mapInArrow(noted, world[1].schema)
+    trees = {"a": {"and": [{"field": "name", "value": "abc"}, {"item": {"field": "name", "op": "exists", "value": True}}]}}
+    nodes = filters.filter_table(spark, trees).withColumnRenamed("filter_id", "input_id")
+    links = spark.createDataFrame([("a", e) for e in range(40)], "input_id string, entity long")
+    filters.passing(links, nodes, values, "entity").collect()
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 @pytest.mark.parametrize(
     "bad",
     [
