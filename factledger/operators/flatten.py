@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factledger.workspace import pin
+
 MAX_LEAVES = 20_000
 MAX_BYTES = 2 * 1024 * 1024
 MAX_DEPTH = 64
@@ -309,5 +311,6 @@ def quarantine(records: DataFrame, flat: DataFrame, record: str) -> DataFrame:
 
 def set_aside(records: DataFrame, limits: DataFrame, record: str) -> tuple[DataFrame, DataFrame]:
     """Records within their limits, and the others, whole, with the limit they break."""
-    refused = limits.filter(F.col("refused").isNotNull()).select(record, "refused")
+    # written first: the few refused ones are then sent to the records, not the records' texts dealt by key
+    refused = pin(limits.filter(F.col("refused").isNotNull()).select(record, "refused"), "refused")
     return records.join(refused.select(record), record, "left_anti"), records.join(refused, record)

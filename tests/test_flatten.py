@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -92,3 +93,36 @@ def test_records_that_cannot_be_read_are_kept_apart(spark):
     odd = flatten.leaves(flat).filter("record = 5").first()
     assert (odd["source_path"], odd["json_type"], odd["value"]) == ("/k\\ud800", "unsafe_text", "x\\ud800")
     assert flatten.leaves(flat).filter("record = 6").first()["value"] == "\x00"
+
+
+def test_digests_are_those_of_the_spelled_value():
+    """Plain form: every node spelled by ``json.dumps`` over the digests below it."""
+
+    def plain(value):
+        if isinstance(value, dict):
+            spelled = "object" + json.dumps(sorted((k, plain(v)) for k, v in value.items()))
+        elif isinstance(value, list):
+            spelled = "array" + json.dumps([(n, plain(v)) for n, v in enumerate(value)])
+        elif isinstance(value, (int, float)) and not isinstance(value, bool):
+            spelled = "number " + flatten._number_key(repr(value))
+        else:
+            spelled = json.dumps(value)
+        return hashlib.sha256(spelled.encode()).hexdigest()
+
+    values = [None, True, False, 0, 1, -12.5, 1e30, "", "1", "true", 'q"\\é\n', "x" * 200, [], {}, [[], {}, [1, "1"]], {"b": 1, "a": {"é": [True]}, "": None}]
+    for value in [*values, values[:13], {str(k): v for k, v in enumerate(values)}]:
+        assert flatten.value_digest(json.dumps(value)) == plain(value)
+
+
+def test_refused_records_are_found_without_dealing_out_texts(spark):
+    limits = spark.range(0, 300_000, 1, 2).select(F.col("id").alias("record"), F.when(F.col("id") % 100_000 == 7, "bytes").alias("refused"))
+    records = spark.range(0, 300_000, 1, 2).select(F.col("id").alias("record"), F.repeat(F.lit("x"), F.lit(50)).alias("raw"))
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        kept, refused = flatten.set_aside(records, limits, "record")
+        for rows, n in ((refused, 3), (kept, 299_997)):
+            assert "SortMergeJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
+            assert rows.count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
