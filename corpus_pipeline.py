@@ -30,7 +30,11 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each class of near copies: five-word shingles, similarity 0.8 or more.
+
+    Links come from SimHash, by the method of ``op1_simhash``, and from MinHash
+    bands where three differing bits don't reach.
+    """
     return near_copies.keep_first(docs)
 
 

@@ -1,10 +1,12 @@
 """Near copies: documents whose sets of five-word shingles are alike.
 
 Two texts are linked if the exact Jaccard similarity of their distinct
-shingles is ``THRESHOLD`` or more. Candidates come from MinHash bands joined by
-equality: a pair of similarity 0.8 shares one of ``BANDS`` bands of
-``BAND_ROWS`` values with probability 0.9999. SimHash would have to join at 17
-of 64 bits for that, so the op1 query's fingerprints aren't used here.
+shingles is ``THRESHOLD`` or more. Candidates come from two methods. SimHash
+fingerprints of the five-word shingles are linked at three or fewer differing
+bits by the deletion variants of ``simhash``; that finds the closest copies.
+Pairs of similarity 0.8 differ in up to 17 bits, which variants can't join, so
+MinHash bands joined by equality find the others: such a pair shares one of
+``BANDS`` bands of ``BAND_ROWS`` values with probability 0.9999.
 
 Within a band's bucket every text is first compared with one hub, the text that
 shares most buckets with most others, so many copies of one text make no pairs.
@@ -36,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factledger.llm import simhash
 from factledger.llm.common import components, drained, pin, prepare, text_or_empty
 
 SHINGLE_WORDS = 5
@@ -80,19 +83,21 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, key2, n, bands)`` of every row; ``n`` counts the distinct shingles."""
+    """``(doc_id, key, key2, n, fp, bands)`` of every row; ``n`` counts the distinct shingles, ``fp`` is the SimHash."""
     prepare(docs.sparkSession)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in batch.column(3).to_pylist()]
+        texts = batch.column(3).to_pylist()
+        sets = [shingles(t) for t in texts]
         signed = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
         counts = pa.array([len(s) for s in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], counts, signed], ["doc_id", *KEY, "n", "bands"])
+        prints = pa.array(np.array([simhash.fingerprint(t, SHINGLE_WORDS) for t in texts], np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], counts, prints, signed], ["doc_id", *KEY, "n", "fp", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return drained(batches, work)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, key long, key2 long, n long, bands array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, key long, key2 long, n long, fp long, bands array<long>")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame, work, schema: str) -> DataFrame:
@@ -181,10 +186,20 @@ def _unsettled(rows: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
+def _simhash_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of texts by SimHash: a fingerprint's texts with its first one, and the first ones of linked fingerprints."""
+    heads = pin(distinct.groupBy("fp").agg(F.min("id").alias("head")), "near-heads")
+    same = distinct.join(heads, "fp").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    close = simhash.links(heads).select(F.col("a").alias("fp"), F.col("b").alias("other"))
+    close = close.join(heads, "fp").select(F.col("head").alias("a"), F.col("other").alias("fp"))
+    close = close.join(heads, "fp").select(F.least("a", "head").alias("a"), F.greatest("a", "head").alias("b"))
+    return same.unionByName(close)
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, key, key2, component_id)``, one row per document: the smallest id of its class."""
     signed = pin(signatures(docs), "near-signatures")
-    distinct = signed.groupBy(*KEY).agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = signed.groupBy(*KEY).agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     distinct = pin(distinct.withColumn("id", F.monotonically_increasing_id()), "near-distinct")
     banded = distinct.select("id", "n", F.posexplode("bands").alias("b", "value"))
     dealt = banded.select("id", "n", F.xxhash64("b", "value").alias("band")).repartition("band")
@@ -199,10 +214,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # false only where the numbers of shingles rule the similarity out
     possible = F.least("n", "n_hub") >= F.greatest("n", "n_hub") * threshold - 1e-6
-    wanted = members.select("id").union(members.select("hub")).distinct().join(distinct, "id").select("id", *KEY)
+    close = pin(_simhash_pairs(distinct), "near-simhash")
+    ids = members.select("id").union(members.select("hub")).union(close.select("a")).union(close.select("b")).distinct()
+    wanted = ids.join(distinct, "id").select("id", *KEY)
     texts = _texts(docs).join(wanted, KEY).select("id", "text").dropDuplicates(["id"])
     texts = pin(texts, "near-texts")
     compared = members.filter(possible).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    compared = compared.unionByName(close).distinct()
     linked = components(_verified(compared, texts, threshold), "near-components")
     placed = members.join(linked.withColumnRenamed("node", "id"), "id", "left").select(
         "hub", "id", F.coalesce("component", "id").alias("component")
@@ -212,9 +230,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_ = pin(placed.join(mixed.select("hub"), "hub"), "near-open")
     deviating = _deviating(open_.select(F.col("hub").alias("a"), F.col("id").alias("b")), texts, threshold)
     deviating = pin(deviating.join(open_, ["hub", "id"]), "near-deviations")
-    close = _verified(pin(_unsettled(deviating, threshold), "near-unsettled"), texts, threshold)
+    later = _verified(pin(_unsettled(deviating, threshold), "near-unsettled"), texts, threshold)
     # ids of the first step's components stand for their members
-    edges = close.select("a", "b").unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    edges = later.select("a", "b").unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
     joined = components(edges, "near-joined")
     named = distinct.select("id", *KEY, "first_id").join(joined.withColumnRenamed("node", "id"), "id", "left")
     named = pin(named.withColumn("component", F.coalesce("component", "id")), "near-classes")

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from factledger.llm import near_copies
+from factledger.llm import near_copies, simhash
 from test_operators import groups_of, table
 
 
@@ -109,3 +109,24 @@ def test_pairs_the_hub_does_not_settle_share_an_early_deviation(spark, threshold
         for b in range(a + 1, len(sets)):
             settled = near_copies.similar(hub, sets[a], threshold) and near_copies.similar(hub, sets[b], threshold)
             assert settled or not near_copies.similar(sets[a], sets[b], threshold) or (a, b) in got
+
+
+def test_simhash_links_are_part_of_the_stage(spark):
+    rng = random.Random(5)
+    fps = [0, 0, 0, -1, 5]
+    for _ in range(40):
+        fp = rng.getrandbits(64)
+        fps += [fp, fp]
+        for bits in (1, 2, 3, 4):
+            for bit in rng.sample(range(64), bits):
+                fp ^= 1 << bit
+            fps.append(fp)
+    fps = [f - (1 << 64) if f >> 63 == 1 else f for f in fps]
+    rows = spark.createDataFrame(list(enumerate(fps)), "id long, fp long")
+    found = groups_of(len(fps), [(r["a"], r["b"]) for r in near_copies._simhash_pairs(rows).collect()])
+    close = lambda a, b: ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= simhash.MAX_BITS
+    assert found == groups_of(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if close(a, b)])
+    texts = {1: "a b c d e f g", 2: "One two", 3: "", 4: None}
+    signed = near_copies.signatures(table(spark, list(texts.values()), list(texts)))
+    want = {k: simhash.fingerprint(t or "", near_copies.SHINGLE_WORDS) for k, t in texts.items()}
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in signed.collect()} == want
