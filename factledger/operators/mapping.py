@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,16 @@ def group_item_keys(leaves: DataFrame, record: str, normalized: str = "value") -
     return placed.join(keys, [record, "parent"])
 
 
+#: Expected leaves of one part of a comparison; parts are sorted in memory.
+PART_LEAVES = 250_000
+
+
+def _sides(wanted: DataFrame, stored: DataFrame, record: str, parts: int) -> DataFrame:
+    """Rows of both sides, told apart by ``_stored``, dealt by record."""
+    both = wanted.withColumn("_stored", F.lit(False)).unionByName(stored.withColumn("_stored", F.lit(True)))
+    return both.repartition(parts, record)
+
+
 def coverage(expected: DataFrame, facts: DataFrame, record: str, boxes: DataFrame | None = None, stored_boxes: DataFrame | None = None) -> DataFrame:
     """Per record: are all leaves and containers present once, unchanged, and nothing else?
 
@@ -69,31 +79,48 @@ def coverage(expected: DataFrame, facts: DataFrame, record: str, boxes: DataFram
         expected, facts = (rows.withColumn("digest", F.lit(None).cast("string")) for rows in (expected, facts))
     if boxes is None:
         boxes = stored_boxes = expected.filter(F.lit(False)).select(*key, "json_type", F.lit(0).alias("size"))
-    want = expected.select(*key, F.struct("json_type", "value").alias("_want"), F.col("digest").alias("_digest"))
-    have = facts.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_copies"),
-        F.min(F.struct("json_type", "value")).alias("_low"),
-        F.max(F.struct("json_type", "value")).alias("_high"),
-        F.min("digest").alias("_digest_low"),
-        F.max("digest").alias("_digest_high"),
+    # both sides in one layout by record: everything that follows stays inside its parts
+    cell, shape = F.struct("json_type", "value").alias("_cell"), F.struct("json_type", "size").alias("_cell")
+    parts = max(expected.sparkSession.sparkContext.defaultParallelism, 1 + expected.count() // PART_LEAVES)
+    leaf = _sides(expected.select(*key, cell, "digest"), facts.select(*key, cell, "digest"), record, parts)
+    group = Window.partitionBy(*key).orderBy("_stored").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    stored = F.col("_stored")
+    fact, mark = F.when(stored, F.col("_cell")), F.when(stored, F.col("digest"))
+    named = F.col(record).isNotNull() & F.col("source_path").isNotNull()  # others meet nothing
+    spread = leaf.select(
+        record,
+        "_cell",
+        "digest",
+        "_stored",
+        F.sum(stored.cast("long")).over(group).alias("_copies"),
+        (named & (F.sum((~stored).cast("long")).over(group) > 0)).alias("_wanted"),
+        F.min(fact).over(group).alias("_low"),
+        F.max(fact).over(group).alias("_high"),
+        F.min(mark).over(group).alias("_digest_low"),
+        F.max(mark).over(group).alias("_digest_high"),
+        named.alias("_named"),
+        # a group of facts that nothing wants counts once
+        (stored & ~F.coalesce(F.lag("_stored").over(Window.partitionBy(*key).orderBy("_stored")), F.lit(False))).alias("_once"),
     )
-    joined = want.join(have, key, "full_outer")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    differs = ~(F.col("_want").eqNullSafe(F.col("_low")) & F.col("_want").eqNullSafe(F.col("_high")))
-    marked = ~(F.col("_digest").eqNullSafe(F.col("_digest_low")) & F.col("_digest").eqNullSafe(F.col("_digest_high")))
-    both = F.col("_want").isNotNull() & F.col("_low").isNotNull()
-    totals = joined.groupBy(record).agg(
-        count(F.col("_low").isNull()).alias("missing"),
-        count(F.col("_want").isNull()).alias("extra"),
+    differs = ~(F.col("_cell").eqNullSafe(F.col("_low")) & F.col("_cell").eqNullSafe(F.col("_high")))
+    marked = ~(F.col("digest").eqNullSafe(F.col("_digest_low")) & F.col("digest").eqNullSafe(F.col("_digest_high")))
+    both = ~stored & F.col("_named") & (F.col("_copies") > 0)
+    alone = F.col("_once") & ~F.col("_wanted")
+    totals = spread.groupBy(record).agg(
+        count(~stored & ~both).alias("missing"),
+        count(alone).alias("extra"),
         count(both & differs).alias("changed"),
-        count(F.col("_copies") > 1).alias("duplicates"),
+        count((both | alone) & (F.col("_copies") > 1)).alias("duplicates"),
         count(both & marked).alias("invalid_metadata"),
     )
-    shape = F.struct("json_type", "size")
-    there = boxes.select(*key, shape.alias("_box"))
-    kept = stored_boxes.groupBy(*key).agg(F.min(shape).alias("_least"), F.max(shape).alias("_most"), F.count(F.lit(1)).alias("_times"))
-    same = F.col("_box").eqNullSafe(F.col("_least")) & F.col("_box").eqNullSafe(F.col("_most")) & (F.col("_times") == 1)
-    matched = there.join(kept, key, "full_outer").groupBy(record).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("containers_match"))
+    box = _sides(boxes.select(*key, shape), stored_boxes.select(*key, shape), record, parts)
+    group = Window.partitionBy(*key)
+    once = (F.sum(stored.cast("long")).over(group) == 1) & (F.sum((~stored).cast("long")).over(group) > 0)
+    there = F.when(stored, F.col("_cell"))
+    same = F.col("_cell").eqNullSafe(F.min(there).over(group)) & F.col("_cell").eqNullSafe(F.max(there).over(group))
+    matched = box.select(record, (named & once & same).alias("_same")).groupBy(record)
+    matched = matched.agg(F.bool_and(F.col("_same")).alias("containers_match"))
     joined = totals.join(matched, record, "full_outer")
     counts = ["missing", "extra", "changed", "duplicates", "invalid_metadata"]
     joined = joined.select(record, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("containers_match", F.lit(True)).alias("containers_match"))

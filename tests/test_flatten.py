@@ -126,3 +126,21 @@ def test_refused_records_are_found_without_dealing_out_texts(spark):
             assert rows.count() == n
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+
+
+def test_coverage_deals_rows_once_by_record(spark):
+    rows = spark.createDataFrame(
+        [(1, "/a", "text", "x", "d"), (1, "/a", "text", "x", "d"), (2, "/a", "text", None, None), (None, "/a", "text", "x", "d")],
+        "record long, source_path string, json_type string, value string, digest string",
+    )
+    boxes = spark.createDataFrame([(1, "", "object", 1), (None, "", "object", 1)], "record long, source_path string, json_type string, size long")
+    found = mapping.coverage(rows, rows, "record", boxes, boxes)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("source_path" in line for line in dealt)
+    got = {(r.record, r.missing, r.extra, r.changed, r.duplicates, r.containers_match, r.passed) for r in found.collect()}
+    # a record without an id meets nothing, neither its leaves nor its containers
+    assert got == {
+        (1, 0, 0, 0, 2, True, False), (2, 0, 0, 0, 0, True, True),
+        (None, 1, 1, 0, 0, True, False), (None, 0, 0, 0, 0, False, False),
+    }
