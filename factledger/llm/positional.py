@@ -2,9 +2,10 @@
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, with
 A-Z lower-cased. The index holds every word of every document: postings
-``(term, row, place)``, sorted by term within each part of the documents, so
+``(term, row, place)``, grouped by term within each part of the documents, so
 building it shuffles nothing and no part grows with a frequent term; and the
-words of each row by number, from which places can be read back.
+words of each row by number, from which places can be read back. Terms stand in
+the order of a number made of them: such rows are sorted without a comparison.
 
 A test item is cut into windows of ``WINDOW`` consecutive words; one of fewer
 words is a single window. A window occurs where the lists of all its terms meet
@@ -57,7 +58,7 @@ def build(docs: DataFrame) -> Index:
     rows = docs.select(F.col("doc_id").cast("long"), words(text_or_empty()).alias("words"))
     forward = pin(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "words"), "positional-words")
     postings = forward.select("row", F.posexplode("words").alias("place", "term")).select("term", "row", "place")
-    return Index(forward, pin(postings.sortWithinPartitions("term", "row", "place"), "positional-postings"))
+    return Index(forward, pin(postings.sortWithinPartitions(F.xxhash64("term")), "positional-postings"))
 
 
 def windows(tests: DataFrame, width: int = WINDOW) -> DataFrame:
