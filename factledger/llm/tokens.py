@@ -6,7 +6,8 @@ a text by a regular expression before they merge, never across a split, so the
 ids of the pieces in order are the ids of the text. The pieces are found here
 for texts of Latin-1 characters, whose classes are written out below; any other
 text, and one that holds the string of a special token, goes to the library
-whole. Tests compare both ways.
+whole. Tests compare both ways. New words go to the vocabulary's merges without
+its other steps, which leave a single word as it is.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ class Encoder:
 
     def __init__(self, path: str, kept: int = KEPT_PIECES, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = special_as_text
@@ -59,17 +60,27 @@ class Encoder:
         self.edge[
             [i for p, i in vocabulary.items() if (p.endswith("</w>") if self.by_word else p.startswith("Ġ"))]
         ] = True
+        # new words go to the merges spelled as the vocabulary spells their bytes, cut at spaces alone
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = re.findall(f"[{_LETTER}]" if self.by_word else f"[ {_LETTER}]", "".join(map(chr, range(256))))
+        self.spelling = {ord(c): spelled(c)[0][0] for c in letters}
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Split(
+            " " if self.by_word else spelled(" ")[0][0], "removed" if self.by_word else "merged_with_next"
+        )
         self.kept, self.pieces = kept, {}
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+    def _direct(self, texts: list[str], model=None) -> list[bytes]:
+        found = (model or self.model).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
     def _learn(self, new: set[str]) -> None:
         words = [p for p in new if (p[0].isalpha() if self.by_word else p[0] == " " and p[1:2].isalpha())]
         others = list(new.difference(words))
         self.pieces.update(zip(others, self._direct(others), strict=True))
-        ids = np.frombuffer(self._direct([(" " if self.by_word else "").join(words)])[0], self.dtype)
+        joined = (" " if self.by_word else "").join(words).translate(self.spelling)
+        ids = np.frombuffer(self._direct([joined], self.merges)[0], self.dtype)
         edges = np.flatnonzero(self.edge[ids])
         starts = [0, *(edges[:-1] + 1).tolist()] if self.by_word else edges.tolist()
         if words and len(starts) == len(words):

@@ -39,3 +39,22 @@ def test_records_and_pieces_of_special_tokens(spark):
     model = Tokenizer.from_file(tokenizer(WORD))
     n = {k: len(model.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in enumerate(TEXTS)}
     assert {r["doc_id"]: r["doc_tokens"] for r in packing.pieces(docs, tokenizer(WORD)).collect()} == n
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_new_words_go_to_the_merges_alone(name):
+    encode, whole = tokens.Encoder(tokenizer(name), special_as_text=False), Tokenizer.from_file(tokenizer(name))
+    asked = []
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    encode.model = Library()
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    rng = random.Random(name)
+    texts = ["start " + " ".join("".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(300)) for _ in range(20)]
+    got = [np.frombuffer(b, encode.dtype).tolist() for b in encode.encode(texts)]
+    assert sum(map(len, asked)) < 10  # no word but the texts' first, which has no space before it
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
