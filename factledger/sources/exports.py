@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from typing import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +63,59 @@ def with_volume(rows: DataFrame, order: Sequence[Column], size: int = VOLUME_ROW
     return placed.withColumn("volume", F.floor((F.col("ordinal") - 1) / size) + 1)
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path, and the path there."""
+    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+
+
+def _exists(path: str) -> bool:
+    store, root = _store(path)
+    return store.get_file_info(root).type != fs.FileType.NotFound
+
+
 def write_volumes(rows: DataFrame, path: str) -> None:
-    """One folder per volume, rows in ordinal order."""
-    rows.repartition("volume").sortWithinPartitions("volume", "ordinal").write.partitionBy("volume").parquet(path)
+    """One folder per volume with one Parquet file, rows in ordinal order.
+
+    A task writes the files of its volumes through Arrow's file systems. A file's
+    name and content depend on its volume alone and it takes its name when it is
+    whole, so a task that runs again writes the same files.
+    """
+    dealt = rows.repartition("volume").sortWithinPartitions("volume", "ordinal")
+    place = dealt.columns.index("volume")
+    kept = [k for k in range(len(dealt.columns)) if k != place]
+    if _exists(path):
+        raise FileExistsError(path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
+
+        def finish(volume: int, parts: list[pa.RecordBatch]) -> None:
+            folder = f"{root}/volume={volume}"
+            store.create_dir(folder, recursive=True)
+            draft = f"{folder}/_{uuid.uuid4().hex}"  # names Spark does not read
+            pq.write_table(pa.Table.from_batches(parts).select(kept), draft, filesystem=store, compression="snappy")
+            store.move(draft, f"{folder}/part-0.parquet")
+
+        volume, parts, written = None, [], 0
+        for batch in batches:
+            volumes = batch.column(place).to_numpy()
+            borders = [0, *(np.flatnonzero(np.diff(volumes)) + 1).tolist(), len(volumes)]
+            for start, end in zip(borders, borders[1:]):
+                if start == end:
+                    continue
+                if parts and volumes[start] != volume:
+                    finish(volume, parts)
+                    parts, written = [], written + 1
+                volume = int(volumes[start])
+                parts.append(batch.slice(start, end - start))
+        if parts:
+            finish(volume, parts)
+            written += 1
+        yield pa.RecordBatch.from_pydict({"written": pa.array([written], pa.int64())})
+
+    written = dealt.mapInArrow(write, "written long").agg(F.sum("written")).first()[0]
+    if not written:  # a table without a row is there all the same
+        rows.limit(0).write.partitionBy("volume").parquet(path)
 
 
 def verify_volumes(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -180,8 +233,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_volumes(table: DataFrame, path: str, name: str, volume: int | None = None) -> DataFrame:
     """Rows of a written table with the columns of ``table``, of one volume or all."""
     schema = StructType([*table.schema.fields, StructField("ordinal", LongType()), StructField("volume", LongType())])
-    rows = table.sparkSession.read.schema(schema).parquet(f"{path}/{name}")
-    return rows if volume is None else rows.filter(F.col("volume") == volume)
+    reader, folder = table.sparkSession.read.schema(schema), f"{path}/{name}"
+    if volume is None:
+        return reader.parquet(folder)
+    one = f"{folder}/volume={volume}"  # the folders of the others are not even listed
+    if not _exists(one):
+        return table.sparkSession.createDataFrame([], schema)
+    return reader.option("basePath", folder).parquet(one)
 
 
 def check_export(tables: dict[str, tuple[DataFrame, str]], path: str, volume: int | None = None) -> DataFrame:

@@ -55,6 +55,28 @@ def test_damage_is_found_in_its_volume(spark, export, damage):
     assert all("volume=2" in r["f"] for r in read)  # the others are not read
 
 
+def test_a_volume_is_one_file_named_by_the_volume_alone(spark):
+    rows = [(k, f"n{k}" if k % 3 else None, k / 7, k // 10 + 1) for k in range(95)]
+    table = spark.createDataFrame(rows, "ordinal long, name string, share double, volume long")
+    path = new_path(spark, "volumes")
+    exports.write_volumes(table.repartition(7), path)
+    folder = path.split(":", 1)[-1]
+    found = sorted(os.path.relpath(os.path.join(d, f), folder) for d, _, names in os.walk(folder) for f in names)
+    assert found == sorted(f"volume={v}/part-0.parquet" for v in range(1, 11))  # the same in whatever task it is written
+    assert sorted(map(tuple, spark.read.schema(table.schema).parquet(path).select(*table.columns).collect())) == rows
+    one = spark.read.parquet(f"{path}/volume=4").select("ordinal").collect()
+    assert [r["ordinal"] for r in one] == list(range(30, 40))
+    with pytest.raises(FileExistsError):
+        exports.write_volumes(table, path)
+    kept, base = table.drop("ordinal", "volume"), os.path.dirname(path)
+    one = exports.read_volumes(kept, base, os.path.basename(path), 10)
+    assert sorted(map(tuple, one.select(*table.columns).collect())) == rows[90:]
+    assert exports.read_volumes(kept, base, os.path.basename(path), 11).collect() == []
+    empty = new_path(spark, "volumes")
+    exports.write_volumes(table.limit(0), empty)
+    assert spark.read.schema(table.schema).parquet(empty).count() == 0
+
+
 def test_cells_of_all_kinds(spark):
     rows = [(k, f"i{k % 3}", kind, f"c{k % n}", str(k)) for kind, n in (("a", 5), ("b", 2)) for k in range(12)]
     facts = spark.createDataFrame(rows, "record long, item string, target_kind string, key string, value string")
