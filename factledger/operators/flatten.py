@@ -8,6 +8,7 @@ import re
 from functools import lru_cache
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +18,19 @@ from factledger.workspace import pin
 MAX_LEAVES = 20_000
 MAX_BYTES = 2 * 1024 * 1024
 MAX_DEPTH = 64
+#: Why a record is one ``error`` row, in code point order.
+ERRORS = ("json_duplicate_keys", "json_invalid", "json_missing", "json_non_finite")
 _ROWS_PER_YIELD = 50_000
 
 
 class _Number(str):
     """A number kept as the text it was written with."""
 
+    __slots__ = ()  # without a dictionary each, the collector has nothing to visit
+
 
 class _Integer(_Number):
-    pass
+    __slots__ = ()
 
 
 class _Refused(ValueError):
@@ -48,9 +53,12 @@ def _spelled(text: str) -> str:
     return text.encode("utf-8", "backslashreplace").decode()
 
 
+_DECODER = json.JSONDecoder(parse_float=_Number, parse_int=_Integer, parse_constant=_constant, object_pairs_hook=_object)
+
+
 def _load(raw: str):
     """The value of a JSON text, numbers with their spelling; refuses what can't be kept."""
-    return json.loads(raw, parse_float=_Number, parse_int=_Integer, parse_constant=_constant, object_pairs_hook=_object)
+    return _DECODER.decode(raw)
 
 
 _PARTS = re.compile(r"(-?)([0-9]+)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?")
@@ -150,6 +158,35 @@ def _step(key: str) -> str:
 _short_step = lru_cache(maxsize=1 << 12)(_step)
 
 
+def _places(path: str, n: int) -> list[str]:
+    """The paths of a list's members, last to first."""
+    steps = _PLACES[:n]
+    steps.reverse()
+    if n <= len(_PLACES):
+        return [path + step for step in steps]
+    return [f"{path}/{i}" for i in range(n - 1, len(_PLACES) - 1, -1)] + [path + step for step in steps]
+
+
+#: The steps of positions in lists that records within their limits have.
+_PLACES = [f"/{i}" for i in range(MAX_LEAVES)]
+_BOXES, _NUMBERS = {dict, list}, {_Integer, _Number}
+_SHAPES = {_Integer: "integer", _Number: "decimal"}
+
+
+def _scalar(value) -> tuple[str, str | None]:
+    """Type and text of a value that holds no others."""
+    kind = type(value)
+    if kind is str:
+        if not value.isascii() and (shown := _spelled(value)) != value:
+            return "unsafe_text", shown
+        return "text", value
+    if kind in _SHAPES:
+        return _SHAPES[kind], value
+    if value is None:
+        return "null", None
+    return "boolean", ("true" if value else "false")
+
+
 def _walk(root, columns: list[list], digests: bool) -> int:
     """Append the rows of one value to the columns of :data:`_FIELDS`; returns their number."""
     kinds, paths, bases, types, values, sizes, depths, marks = columns
@@ -173,26 +210,42 @@ def _walk(root, columns: list[list], digests: bool) -> int:
                 marks.append(found[number])
             if value:
                 below = depth + 1
-                if kind is dict:
-                    for key, child in value.items():
-                        step = _short_step(key) if len(key) <= _SHORT else _step(key)
-                        todo.append((path + step, base + step, child, below))
+                children = list(value.values()) if kind is dict else value
+                inner = set(map(type, children))
+                steps = [_short_step(key) if len(key) <= _SHORT else _step(key) for key in value] if kind is dict else None
+                if not inner.isdisjoint(_BOXES):
+                    if steps:
+                        todo.extend([(path + step, base + step, child, below) for step, child in zip(steps, children)])
+                    else:
+                        todo.extend([(f"{path}/{i}", base, child, below) for i, child in enumerate(children)])
+                    continue
+                # leaves alone: appended at once, last to first as the others are popped
+                n = len(children)
+                if steps:
+                    steps.reverse()
+                    paths.extend([path + step for step in steps])
+                    bases.extend([base + step for step in steps])
+                else:
+                    paths.extend(_places(path, n))
+                    bases.extend([base] * n)
+                if len(inner) == 1 and inner <= _NUMBERS:
+                    types.extend([_SHAPES[inner.pop()]] * n)
+                    values.extend(children[::-1])
                 else:
-                    todo.extend([(f"{path}/{i}", base, child, below) for i, child in enumerate(value)])
+                    for child in reversed(children):
+                        shape, text = _scalar(child)
+                        types.append(shape)
+                        values.append(text)
+                kinds.extend(["leaf"] * n)
+                sizes.extend([None] * n)
+                depths.extend([below] * n)
+                if found:
+                    marks.extend(found[number + 1 : number + 1 + n])
+                number += n
                 continue
             shape, text = ("empty_object" if kind is dict else "empty_array"), None
-        elif kind is str:
-            shape, text = "text", value
-            if not value.isascii() and (shown := _spelled(value)) != value:
-                shape, text = "unsafe_text", shown
-        elif kind is _Integer:
-            shape, text = "integer", value
-        elif kind is _Number:
-            shape, text = "decimal", value
-        elif value is None:
-            shape, text = "null", None
         else:
-            shape, text = "boolean", ("true" if value else "false")
+            shape, text = _scalar(value)
         kinds.append("leaf")
         paths.append(path)
         bases.append(base)
@@ -251,22 +304,24 @@ def flatten_json(records: DataFrame, record: str, raw: str, digests: bool = Fals
         for batch in batches:
             idents = batch.column(0)
             columns: list[list] = [[] for _ in _FIELDS]
-            owners: list[int] = []
-            for place, text in enumerate(batch.column(1).to_pylist()):
-                owners.extend([place] * _rows(text, columns, digests))
-                if len(owners) >= _ROWS_PER_YIELD:
-                    yield _batch(record, idents, owners, columns, fields)
-                    owners, columns = [], [[] for _ in _FIELDS]
-            if owners:
-                yield _batch(record, idents, owners, columns, fields)
+            first, counts, held = 0, [], 0
+            for place, text in enumerate(batch.column(1).to_pylist(), 1):
+                counts.append(_rows(text, columns, digests))
+                held += counts[-1]
+                if held >= _ROWS_PER_YIELD:
+                    yield _batch(record, idents, first, counts, columns, fields)
+                    first, counts, held, columns = place, [], 0, [[] for _ in _FIELDS]
+            if held:
+                yield _batch(record, idents, first, counts, columns, fields)
 
     kind = records.schema[record].dataType.simpleString()
     schema = ", ".join([f"{record} {kind}", *[f"{name} {ddl}" for name, _, ddl in fields]])
     return records.select(record, raw).mapInArrow(flatten, schema)
 
 
-def _batch(record: str, idents: pa.Array, owners: list[int], columns: list[list], fields: tuple) -> pa.RecordBatch:
-    arrays = [idents.take(pa.array(owners, pa.int64()))]
+def _batch(record: str, idents: pa.Array, first: int, counts: list[int], columns: list[list], fields: tuple) -> pa.RecordBatch:
+    """The rows of the records from ``first`` on, of which each gave so many."""
+    arrays = [idents.take(pa.array(np.repeat(np.arange(first, first + len(counts)), counts)))]
     arrays += [pa.array(values, kind) for values, (_, kind, _) in zip(columns, fields)]
     return pa.RecordBatch.from_arrays(arrays, names=[record, *[name for name, _, _ in fields]])
 
@@ -288,10 +343,13 @@ def structure_rows(flat: DataFrame) -> DataFrame:
 
 def record_limits(records: DataFrame, flat: DataFrame, record: str, raw: str) -> DataFrame:
     """Size of every record and the limit it breaks, if any; records stay whole."""
+    errors = F.array(*[F.lit(e) for e in ERRORS])
+    # the greatest error by its number: a greatest text would have Spark sort every leaf by record
     sizes = flat.groupBy(record).agg(
         F.sum(F.when(F.col("row_kind") == "leaf", 1).otherwise(0)).alias("leaves"), F.max("depth").alias("depth"),
-        F.max(F.when(F.col("row_kind") == "error", F.col("json_type"))).alias("error"),
+        F.max(F.when(F.col("row_kind") == "error", F.array_position(errors, F.col("json_type")))).alias("error"),
     )
+    sizes = sizes.withColumn("error", F.try_element_at(errors, F.col("error").cast("int")))
     measured = records.select(record, F.octet_length(raw).cast("long").alias("bytes")).join(sizes, record)
     refused = measured.withColumn(
         "refused",

@@ -144,3 +144,24 @@ def test_coverage_deals_rows_once_by_record(spark):
         (1, 0, 0, 0, 2, True, False), (2, 0, 0, 0, 0, True, True),
         (None, 1, 1, 0, 0, True, False), (None, 0, 0, 0, 0, False, False),
     }
+
+
+def test_limits_are_taken_without_sorting_the_leaves(spark):
+    """A greatest text has no place in a hash aggregate: every leaf was sorted by its record."""
+    rows = [(1, "[1]"), (2, None), (2, "{"), (2, "[NaN]"), (3, '{"a": 1, "a": 2}'), (3, "[2]"), (None, "[3]")]
+    records = spark.createDataFrame(rows, "record long, doc string")
+    limits = flatten.record_limits(records, flatten.flatten_json(records, "record", "doc"), "record", "doc")
+    assert "SortAggregate" not in limits._jdf.queryExecution().executedPlan().toString()
+    found = {(r["record"], r["leaves"], r["depth"], r["refused"]) for r in limits.collect()}
+    assert found == {(1, 1, 1, None), (2, 0, 0, "json_non_finite"), (3, 1, 1, "json_duplicate_keys")}
+
+
+def test_long_lists_keep_every_position(spark):
+    n = flatten.MAX_LEAVES + 3
+    doc = json.dumps({"l": list(range(n)), "m": [1, 2.50, "x", None, True, "ü"]})
+    found = {r.source_path: (r.json_type, r.value) for r in flatten.leaves(flat(spark, doc)).collect()}
+    assert len(found) == n + 6
+    assert all(found[f"/l/{i}"] == ("integer", str(i)) for i in range(n))
+    assert [found[f"/m/{i}"] for i in range(6)] == [
+        ("integer", "1"), ("decimal", "2.5"), ("text", "x"), ("null", None), ("boolean", "true"), ("text", "ü"),
+    ]
