@@ -1,8 +1,10 @@
 """A stored text index: folded texts, and the rows of every gram, word and beginning.
 
-Texts are folded once, when a batch is added. Its postings ``(kind, term, id)``
-are laid out by term below one of ``BUCKETS`` folders, with the number of rows of
-each term beside them. A query reads the folders of its own terms, intersects
+Texts are folded once, when a batch is added, and turned around where they are
+folded: a task makes one block ``(kind, term, ids)`` of the rows of a chunk that
+have a term, so a term travels once for many rows. Blocks are laid out by term
+below one of ``BUCKETS`` folders, with the number of rows of each term beside
+them. A query reads the folders of its own terms, intersects
 their postings from the rarest on and verifies what is left on the folded text;
 nothing is folded in a query but its own few characters.
 
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from factledger.functions.text import fold_text, words
 from factledger.workspace import new_path, pin
@@ -30,6 +32,10 @@ RAREST = 4
 #: Terms of one row and of one batch of folded texts: bounds memory however long and many the texts are.
 ROW_TERMS = 512
 BATCH_TERMS = 1 << 16
+#: Postings and characters of one chunk that is turned around, and rows of one block.
+CHUNK_TERMS = 1 << 20
+CHUNK_CHARS = 1 << 24
+BLOCK_ROWS = 1024
 _TERMS = "array<struct<kind: string, term: string>>"
 
 
@@ -68,7 +74,8 @@ class _Batch:
 def folded_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``(id, folded, terms)`` of every row that has a text: one narrow pass.
 
-    A text of many terms continues in further rows, whose ``folded`` is null.
+    A text of many terms continues in further rows, whose ``folded`` is null. The
+    index takes the same terms from :func:`posting_blocks`, by term.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +97,114 @@ def folded_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     return there.mapInArrow(run, f"id {key_type}, folded string, terms {_TERMS}")
 
 
+_POINT_BITS = 21
+
+
+def _gram_codes(folded: str) -> np.ndarray:
+    """The distinct grams of a text as numbers: their code points side by side."""
+    points = np.frombuffer(folded.encode("utf-32-le"), "<u4").astype(np.int64)
+    count = max(0, len(points) - GRAM + 1)
+    codes = np.zeros(count, np.int64)
+    for n in range(GRAM):
+        codes = codes << _POINT_BITS | points[n : n + count]
+    codes.sort()
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if count else codes
+
+
+def _grams(codes: np.ndarray) -> list[str]:
+    points = np.stack([codes >> _POINT_BITS * n & (1 << _POINT_BITS) - 1 for n in reversed(range(GRAM))], axis=1)
+    text = points.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[n : n + GRAM] for n in range(0, len(text), GRAM)]
+
+
+class _Chunk:
+    """Folded texts and, by term, the rows that have it: what :func:`terms_of` gives, turned around."""
+
+    def __init__(self) -> None:
+        self.idents: list[pa.Array] = []
+        self.folded: list[str] = []
+        self.codes: list[np.ndarray] = []
+        self.found: dict[str, list[str]] = {"word": [], "head": []}
+        self.counts: dict[str, list[int]] = {"gram": [], "word": [], "head": []}
+        self.terms = self.chars = 0
+
+    def add(self, folded: str) -> None:
+        codes, found = _gram_codes(folded), {"word": words(folded), "head": [folded[:n] for n in range(1, GRAM + 1) if len(folded) >= n]}
+        self.folded.append(folded)
+        self.codes.append(codes)
+        for kind, terms in found.items():
+            self.found[kind].extend(terms)
+        for kind, terms in (("gram", codes), *found.items()):
+            self.counts[kind].append(len(terms))
+            self.terms += len(terms)
+        self.chars += len(folded)
+
+    def _by_term(self) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+        """By kind: its terms, where the rows of each begin and end, and these rows."""
+        for kind, counts in self.counts.items():
+            if kind == "gram":
+                codes = np.concatenate(self.codes)
+            else:
+                numbered = pa.array(self.found[kind], pa.string()).dictionary_encode()
+                codes = numbered.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            codes = codes[order]
+            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+            terms = pa.array(_grams(codes[starts]), pa.string()) if kind == "gram" else numbered.dictionary
+            yield kind, terms, np.append(starts, len(codes)), np.repeat(np.arange(len(counts)), counts)[order]
+
+    def arrow(self, block_rows: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+        idents = pa.concat_arrays(self.idents)
+        texts, ids = len(self.folded), pa.list_(idents.type)
+        none = pa.nulls(texts, pa.string())
+        yield pa.RecordBatch.from_arrays([idents, pa.array(self.folded, pa.string()), none, none, pa.nulls(texts, ids)], names)
+        for kind, terms, ends, rows in self._by_term():
+            # a block takes at most so many rows; a term of more goes on in the next
+            pieces = -(-np.diff(ends) // block_rows)
+            term = np.repeat(np.arange(len(terms)), pieces)
+            starts = ends[term] + (np.arange(len(term)) - (np.cumsum(pieces) - pieces)[term]) * block_rows
+            bounds, named = np.append(starts, ends[-1]), terms.take(pa.array(term))
+            for n in range(0, len(starts), BATCH_TERMS >> 2):
+                cut = bounds[n : n + (BATCH_TERMS >> 2) + 1]
+                held = idents.take(pa.array(rows[cut[0] : cut[-1]]))
+                blocks = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), held)
+                size = len(blocks)
+                nothing = [pa.nulls(size, idents.type), pa.nulls(size, pa.string())]
+                kinds = pa.array([kind], pa.string()).take(pa.array(np.zeros(size, np.int64)))
+                yield pa.RecordBatch.from_arrays([*nothing, kinds, named.slice(n, size), blocks], names)
+
+
+def posting_blocks(
+    rows: DataFrame, key: str, text: str, chunk_terms: int = CHUNK_TERMS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """``(id, folded)`` of every row that has a text, and ``(kind, term, ids)`` of their terms: one narrow pass.
+
+    A row of the result is either a text or a block; the other's columns are null.
+    """
+    there = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
+    key_type = there.schema["id"].dataType.simpleString()
+    names = ["id", "folded", "kind", "term", "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = _Chunk()
+        for batch in batches:
+            start = 0
+            for place, value in enumerate(batch.column(1), 1):
+                chunk.add(fold_text(value.as_py()))
+                full = chunk.terms >= chunk_terms or chunk.chars >= CHUNK_CHARS
+                if full or place == batch.num_rows:
+                    # a copy: a slice would keep the batch's texts
+                    chunk.idents.append(batch.column(0).take(pa.array(np.arange(start, place))))
+                    start = place
+                if full:
+                    yield from chunk.arrow(block_rows, names)
+                    chunk = _Chunk()
+        if chunk.folded:
+            yield from chunk.arrow(block_rows, names)
+
+    return there.mapInArrow(run, f"id {key_type}, folded string, kind string, term string, ids array<{key_type}>")
+
+
 def _bucket(kind: Column, term: Column) -> Column:
     return F.pmod(F.xxhash64(kind, term), F.lit(BUCKETS)).cast("int")
 
@@ -103,12 +218,13 @@ class TextIndex:
 
     def add(self, rows: DataFrame, key: str, text: str, batch: int = 0) -> None:
         """Index the rows of a batch; the same batch again replaces itself."""
-        built = pin(folded_rows(rows, key, text), "folded")
-        postings = built.select("id", F.inline("terms")).withColumn("bucket", _bucket(F.col("kind"), F.col("term")))
-        # ranges over term and row: a frequent term is cut like any other
-        laid = postings.repartitionByRange("bucket", "kind", "term", "id").sortWithinPartitions("bucket", "kind", "term", "id")
+        built = pin(posting_blocks(rows, key, text), "folded")
+        blocks = built.filter("kind IS NOT NULL").select("kind", "term", "ids").withColumn("bucket", _bucket(F.col("kind"), F.col("term")))
+        # ranges over term and first row: a frequent term is cut like any other
+        laid = blocks.withColumn("first", F.col("ids")[0]).repartitionByRange("bucket", "kind", "term", "first")
+        laid = laid.sortWithinPartitions("bucket", "kind", "term", "first").drop("first")
         laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
-        counts = postings.groupBy("bucket", "kind", "term").agg(F.count(F.lit(1)).alias("rows"))
+        counts = blocks.groupBy("bucket", "kind", "term").agg(F.sum(F.size("ids")).alias("rows"))
         counts = counts.repartition("bucket").sortWithinPartitions("bucket", "kind", "term")
         counts.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/frequencies/batch={batch}")
         built.select("id", "folded").filter("folded IS NOT NULL").write.mode("overwrite").parquet(f"{self.path}/texts/batch={batch}")
@@ -139,14 +255,15 @@ class TextIndex:
     def having(self, kind: str, terms: Sequence[str], most: int | None = None) -> DataFrame:
         """``(id, batch)`` of rows that have all terms, or the ``most`` rarest of them."""
         counts = self.frequencies(kind, terms)
-        fields = [StructField("kind", StringType()), StructField("term", StringType()), StructField("id", self.key_type)]
+        fields = [StructField("kind", StringType()), StructField("term", StringType()), StructField("ids", ArrayType(self.key_type))]
         rows = self._read("postings", *fields, StructField("bucket", IntegerType()))
         ranked = sorted(set(terms), key=lambda term: (counts.get(term, 0), term))
         if not ranked or not counts.get(ranked[0]):
-            return rows.filter(F.lit(False)).select("id", "batch")
-        found = self._of(rows, kind, ranked[:1]).select("id", "batch")
-        for term in ranked[1:most]:
-            found = found.join(self._of(rows, kind, [term]).select("id", "batch"), ["id", "batch"], "left_semi")
+            return rows.filter(F.lit(False)).select(F.explode("ids").alias("id"), "batch")
+        lists = [self._of(rows, kind, [term]).select(F.explode("ids").alias("id"), "batch") for term in ranked[:most]]
+        found = lists[0]
+        for others in lists[1:]:
+            found = found.join(others, ["id", "batch"], "left_semi")
         return found
 
     def _newest(self, found: DataFrame | None = None) -> DataFrame:

@@ -105,3 +105,18 @@ def test_batches_replace_themselves_and_earlier_texts(spark):
         assert ids(index.all_words(query)) == searched(now, lambda text: has_words(text, query))
         assert ids(index.prefix(query)) == searched(now, lambda text: text.startswith(query))
     assert index.frequencies("word", ["words", "nothing"]) == {"words": 5}
+
+
+@pytest.mark.parametrize("chunk, most", [(40, 3), (1 << 20, 1024)])
+def test_postings_travel_in_blocks_of_many_rows(spark, corpus, chunk, most):
+    texts = corpus | {400 + k: "the \x00\x00 \U0001d518𠀀𠀁 end" for k in range(60)} | {500: "z\x00\x00"}
+    rows = textindex.posting_blocks(frame(spark, texts).coalesce(1), "doc_id", "text", chunk, most).collect()
+    folded = {k: fold_text(text) for k, text in texts.items() if text is not None}
+    assert {r["id"]: r["folded"] for r in rows if r["kind"] is None} == folded
+    blocks = [r for r in rows if r["kind"] is not None]
+    found = [(r["kind"], r["term"], k) for r in blocks for k in r["ids"]]
+    wanted = [(kind, term, k) for k, text in folded.items() for kind, term in textindex.terms_of(text)]
+    assert sorted(found) == sorted(wanted)
+    assert all(0 < len(r["ids"]) <= most and r["id"] is None for r in blocks)
+    if chunk > len(wanted):  # a term's row was sent for every text
+        assert len(blocks) == len({(kind, term) for kind, term, _ in wanted}) < len(wanted) / 4
