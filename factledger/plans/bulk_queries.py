@@ -393,7 +393,7 @@ SELECT record, item, kind, (number - 1) // 2 + 1 AS sheet, (number - 1) % 2 + 1
 )
 def export_kind_tables(t: Tables):
     """The sheets of every kind, two columns each, written with the table of their columns."""
-    cells, columns = exports.kind_cells(pin(keyed_facts(t), "facts"), ["record", "item"], width=2)
+    cells, columns = exports.kind_cells(keyed_facts(t), ["record", "item"], width=2)
     path = new_path(t.spark, "sheets")
     exports.write_tables({"cells": cells, "columns": columns}, path)
     return t.spark.read.schema(cells.schema).parquet(f"{path}/cells")

@@ -34,8 +34,11 @@ def flat(t: Tables) -> DataFrame:
 
 
 def node_table(t: Tables) -> DataFrame:
-    """The flattened records as the load keeps them, with digests: written once, read by all."""
-    return t.staged("nodes", lambda: flatten.flatten_json(docrec(t), "record", "doc", digests=True))
+    """The flattened records as the load keeps them, with digests: written once, read by all.
+
+    Digests are most of it; their hex digits take half the room in this codec.
+    """
+    return t.staged("nodes", lambda: flatten.flatten_json(docrec(t), "record", "doc", digests=True), codec="zstd")
 
 
 def leaf_table(t: Tables) -> DataFrame:
@@ -164,7 +167,9 @@ RULE_ROWS = [
 
 
 def rules(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(RULE_ROWS, "base_field string, target_kind string, target_path string, status string")
+    """The rules as a written table: its size is known, so leaves are not dealt out to join a few of them."""
+    columns = "base_field string, target_kind string, target_path string, status string"
+    return t.staged("rules", lambda: t.spark.createDataFrame(RULE_ROWS, columns).coalesce(1))
 
 
 FACTS = LEAVES + """,

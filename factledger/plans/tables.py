@@ -36,12 +36,12 @@ class Tables:
         rows = self.read(name)
         return rows.repartition(max(self.spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
 
-    def staged(self, name: str, build) -> DataFrame:
+    def staged(self, name: str, build, codec: str = "snappy") -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STAGED:
             df = build()
             path = new_path(self.spark, name)
-            df.write.parquet(path)
+            df.write.option("compression", codec).parquet(path)
             _STAGED[key] = (path, df.schema)
         path, schema = _STAGED[key]
         return self.spark.read.schema(schema).parquet(path)

@@ -23,6 +23,8 @@ from factledger.workspace import pin
 BUCKETS = 64
 VOLUME_ROWS = 50_000
 COLUMN_LIMIT = 16_384
+#: Facts of one part of the cells; parts are sorted in memory.
+PART_FACTS = 500_000
 
 
 def owner_bucket(owner: Column) -> Column:
@@ -163,14 +165,21 @@ def kind_cells(facts: DataFrame, item: Sequence[str], width: int = COLUMN_LIMIT)
     Columns ``(kind, key, sheet, place)`` are numbered per kind, a further sheet
     of the same items begins after ``width`` of them; cells are ``(*item, kind,
     sheet, place, value)``. Both stay distributed, however many keys there are.
+    Facts are read, not kept: they are dealt out once, by item and with a number for
+    their column, so that the rows of an item lie together and take little room.
     """
-    keys = facts.select(F.col("target_kind").alias("kind"), "key").distinct()
+    facts = facts.select(*item, F.col("target_kind").alias("kind"), "key", "value")
+    keys = pin(facts.select("kind", "key").distinct(), "keys")
     numbered = with_ordinal(keys, [F.col("key")], keys=["kind"], name="number")
     columns = numbered.select(
         "kind", "key", F.expr(f"(number - 1) div {width} + 1").alias("sheet"), F.expr(f"(number - 1) % {width} + 1").alias("place")
     )
-    cells = facts.groupBy(*item, F.col("target_kind").alias("kind"), "key").agg(F.max("value").alias("value"))
-    return cells.join(columns, ["kind", "key"]).select(*item, "kind", "sheet", "place", "value"), columns
+    columns = pin(columns.withColumn("_column", F.monotonically_increasing_id()), "columns")
+    parts = max(facts.sparkSession.sparkContext.defaultParallelism, 1 + facts.count() // PART_FACTS)
+    placed = facts.join(columns.select("kind", "key", "_column"), ["kind", "key"]).select(*item, "_column", "value")
+    cells = placed.repartition(parts, *item).groupBy(*item, "_column").agg(F.max("value").alias("value"))
+    cells = cells.join(columns.drop("key"), "_column").select(*item, "kind", "sheet", "place", "value")
+    return cells, columns.drop("_column")
 
 
 # ---- exports of several tables with a manifest ------------------------------------

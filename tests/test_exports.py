@@ -86,6 +86,35 @@ def test_cells_of_all_kinds(spark):
     assert cells.count() == 24
 
 
+def test_cells_are_dealt_once_by_item(spark):
+    """Facts were kept whole and dealt out by the names of their columns."""
+    rows = [(k % 7, f"i{k % 3}", "a" if k % 2 else None, f"c{k % 5}" if k % 11 else None, str(k)) for k in range(200)]
+    facts = spark.createDataFrame(rows, "record long, item string, target_kind string, key string, value string")
+    cells, columns = exports.kind_cells(facts, ["record", "item"], width=2)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(record" in line]
+    assert len(dealt) == 1 and "Exchange hashpartitioning(kind" not in plan and "key" not in dealt[0]
+    assert columns.columns == ["kind", "key", "sheet", "place"]
+    place = {(r["kind"], r["key"]): (r["sheet"], r["place"]) for r in columns.collect()}
+    most = {}
+    for record, item, kind, key, value in rows:
+        if kind and key:  # the others have no column
+            cell = (record, item, kind, *place[kind, key])
+            most[cell] = max(most.get(cell, ""), value)
+    assert sorted(map(tuple, cells.collect())) == sorted((*cell, value) for cell, value in most.items())
+
+
+def test_a_few_rules_are_sent_to_the_leaves(spark, tmp_path):
+    from factledger.plans import load_queries
+    from factledger.plans.tables import Tables
+
+    rules = load_queries.rules(Tables(spark, str(tmp_path)))
+    leaves = spark.range(50).select(F.concat(F.lit("/id"), F.when(F.col("id") % 2 == 0, "").otherwise("x")).alias("base_field"))
+    joined = leaves.join(rules, "base_field", "left")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().sparkPlan().toString()
+    assert joined.filter("target_kind = 'identity'").count() == 25 and rules.count() == len(load_queries.RULE_ROWS)
+
+
 @pytest.mark.parametrize("chunk", [7, 1000, 1 << 20])
 def test_pins_of_files_in_chunks(spark, tmp_path, chunk):
     contents = {"a.bin": os.urandom(2500), "deep/er/b.txt": b"x" * 1000, "deep/one.csv": b"1"}
