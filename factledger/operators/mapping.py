@@ -66,6 +66,21 @@ def _sides(wanted: DataFrame, stored: DataFrame, record: str, parts: int) -> Dat
     return both.repartition(parts, record)
 
 
+def _cell(kind: str, value: str) -> Column:
+    """Two columns as one text, whose equality is theirs."""
+    shown = F.col(kind).cast("string")
+    head = F.coalesce(F.concat(F.length(shown).cast("string"), F.lit(":"), shown), F.lit("-"))
+    return F.concat(head, F.coalesce(F.concat(F.lit("="), F.col(value).cast("string")), F.lit("-"))).alias("_cell")
+
+
+def _packed(digest: str) -> Column:
+    """A digest in half the room: hex digits as their bytes, other texts as they are, told apart by the first byte."""
+    text = F.col(digest).cast("string")
+    hexed = text.rlike(r"\A[0-9a-f]+\z") & (F.length(text) % 2 == 0)
+    plain = F.concat(F.lit(b"\x00"), text.cast("binary"))
+    return F.when(hexed, F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(plain).alias("digest")
+
+
 def coverage(expected: DataFrame, facts: DataFrame, record: str, boxes: DataFrame | None = None, stored_boxes: DataFrame | None = None) -> DataFrame:
     """Per record: are all leaves and containers present once, unchanged, and nothing else?
 
@@ -80,9 +95,9 @@ def coverage(expected: DataFrame, facts: DataFrame, record: str, boxes: DataFram
     if boxes is None:
         boxes = stored_boxes = expected.filter(F.lit(False)).select(*key, "json_type", F.lit(0).alias("size"))
     # both sides in one layout by record: everything that follows stays inside its parts
-    cell, shape = F.struct("json_type", "value").alias("_cell"), F.struct("json_type", "size").alias("_cell")
+    cell, shape, mark = _cell("json_type", "value"), _cell("json_type", "size"), _packed("digest")
     parts = max(expected.sparkSession.sparkContext.defaultParallelism, 1 + expected.count() // PART_LEAVES)
-    leaf = _sides(expected.select(*key, cell, "digest"), facts.select(*key, cell, "digest"), record, parts)
+    leaf = _sides(expected.select(*key, cell, mark), facts.select(*key, cell, mark), record, parts)
     group = Window.partitionBy(*key).orderBy("_stored").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     stored = F.col("_stored")
     fact, mark = F.when(stored, F.col("_cell")), F.when(stored, F.col("digest"))

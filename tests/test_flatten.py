@@ -165,3 +165,24 @@ def test_long_lists_keep_every_position(spark):
     assert [found[f"/m/{i}"] for i in range(6)] == [
         ("integer", "1"), ("decimal", "2.5"), ("text", "x"), ("null", None), ("boolean", "true"), ("text", "ü"),
     ]
+
+
+def test_coverage_deals_out_packed_rows_that_tell_all_texts_apart(spark):
+    digests = [None, "", "-", "ab", "AB", "abc", "0abc", "xy", "a" * 64, "a" * 63 + "b", "\x01", "\x00", "\u00ab"]
+    cells = [(kind, value) for kind in (None, "", "1:", "text") for value in (None, "", "-", "=", "x", ":x")]
+    for column, texts in (("digest", [("t", "x", d) for d in digests]), ("cell", [(*c, "d") for c in cells])):
+        rows = spark.createDataFrame(
+            [(k, n, *text) for k, text in enumerate(texts) for n in range(len(texts))], "record long, n int, json_type string, value string, digest string"
+        ).withColumn("source_path", F.concat(F.lit("/"), F.col("n")))
+        # at path n the store has the n-th text: only the record's own one is right
+        stored = spark.createDataFrame(
+            [(k, f"/{n}", *text) for n, text in enumerate(texts) for k in range(len(texts))], "record long, source_path string, json_type string, value string, digest string"
+        )
+        found = mapping.coverage(rows.drop("n"), stored, "record").collect()
+        wrong = "invalid_metadata" if column == "digest" else "changed"
+        assert {(r["record"], r[wrong], r["missing"], r["extra"]) for r in found} == {(k, len(texts) - 1, 0, 0) for k in range(len(texts))}
+    digest = spark.createDataFrame([("a" * 64,)], "digest string").select(mapping._packed("digest")).first()[0]
+    assert len(digest) == 33
+    plan = mapping.coverage(rows.drop("n"), stored, "record")._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("RepartitionByExpression") :]
+    assert "struct(" not in dealt.split("Union")[0] and "unhex" in dealt  # rows are packed before they are dealt
