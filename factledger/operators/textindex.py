@@ -1,10 +1,9 @@
 """A stored text index: folded texts, and the rows of every gram, word and beginning.
 
-Texts are folded once, when a batch is added, and turned around where they are
-folded: a task makes one block ``(kind, term, ids)`` of the rows of a chunk that
-have a term, so a term travels once for many rows. Blocks are laid out by term
-below one of ``BUCKETS`` folders, with the number of rows of each term beside
-them. A query reads the folders of its own terms, intersects
+Texts are folded once, when a batch is added, stored, and turned around as they
+are stored: a task makes one block ``(kind, term, ids)`` of the rows of a chunk
+that have a term. It lays its blocks out by term below one of ``BUCKETS`` folders,
+with their numbers of rows beside them; nothing is dealt out. A query reads the folders of its own terms, intersects
 their postings from the rarest on and verifies what is left on the folded text;
 nothing is folded in a query but its own few characters.
 
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
-from factledger.functions.text import fold_text, words
+from factledger.functions.text import fold, fold_text, words
 from factledger.workspace import new_path, pin
 
 BUCKETS = 64
@@ -32,10 +31,11 @@ RAREST = 4
 #: Terms of one row and of one batch of folded texts: bounds memory however long and many the texts are.
 ROW_TERMS = 512
 BATCH_TERMS = 1 << 16
-#: Postings and characters of one chunk that is turned around, and rows of one block.
+#: Postings and characters of one chunk that is turned around, rows of one block, blocks of one batch.
 CHUNK_TERMS = 1 << 20
 CHUNK_CHARS = 1 << 24
 BLOCK_ROWS = 1024
+BATCH_BLOCKS = 1 << 14
 _TERMS = "array<struct<kind: string, term: string>>"
 
 
@@ -153,56 +153,44 @@ class _Chunk:
             terms = pa.array(_grams(codes[starts]), pa.string()) if kind == "gram" else numbered.dictionary
             yield kind, terms, np.append(starts, len(codes)), np.repeat(np.arange(len(counts)), counts)[order]
 
-    def arrow(self, block_rows: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    def arrow(self, block_rows: int) -> Iterator[pa.RecordBatch]:
         idents = pa.concat_arrays(self.idents)
-        texts, ids = len(self.folded), pa.list_(idents.type)
-        none = pa.nulls(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([idents, pa.array(self.folded, pa.string()), none, none, pa.nulls(texts, ids)], names)
         for kind, terms, ends, rows in self._by_term():
             # a block takes at most so many rows; a term of more goes on in the next
             pieces = -(-np.diff(ends) // block_rows)
             term = np.repeat(np.arange(len(terms)), pieces)
             starts = ends[term] + (np.arange(len(term)) - (np.cumsum(pieces) - pieces)[term]) * block_rows
             bounds, named = np.append(starts, ends[-1]), terms.take(pa.array(term))
-            for n in range(0, len(starts), BATCH_TERMS >> 2):
-                cut = bounds[n : n + (BATCH_TERMS >> 2) + 1]
+            for n in range(0, len(starts), BATCH_BLOCKS):
+                cut = bounds[n : n + BATCH_BLOCKS + 1]
                 held = idents.take(pa.array(rows[cut[0] : cut[-1]]))
                 blocks = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), held)
-                size = len(blocks)
-                nothing = [pa.nulls(size, idents.type), pa.nulls(size, pa.string())]
-                kinds = pa.array([kind], pa.string()).take(pa.array(np.zeros(size, np.int64)))
-                yield pa.RecordBatch.from_arrays([*nothing, kinds, named.slice(n, size), blocks], names)
+                kinds = pa.array([kind], pa.string()).take(pa.array(np.zeros(len(blocks), np.int64)))
+                yield pa.RecordBatch.from_arrays([kinds, named.slice(n, len(blocks)), blocks], ["kind", "term", "ids"])
 
 
-def posting_blocks(
-    rows: DataFrame, key: str, text: str, chunk_terms: int = CHUNK_TERMS, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """``(id, folded)`` of every row that has a text, and ``(kind, term, ids)`` of their terms: one narrow pass.
-
-    A row of the result is either a text or a block; the other's columns are null.
-    """
-    there = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
-    key_type = there.schema["id"].dataType.simpleString()
-    names = ["id", "folded", "kind", "term", "ids"]
+def posting_blocks(texts: DataFrame, chunk_terms: int = CHUNK_TERMS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(kind, term, ids)`` of folded texts ``(id, folded)``: one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
         for batch in batches:
             start = 0
             for place, value in enumerate(batch.column(1), 1):
-                chunk.add(fold_text(value.as_py()))
+                chunk.add(value.as_py())
                 full = chunk.terms >= chunk_terms or chunk.chars >= CHUNK_CHARS
                 if full or place == batch.num_rows:
                     # a copy: a slice would keep the batch's texts
                     chunk.idents.append(batch.column(0).take(pa.array(np.arange(start, place))))
                     start = place
                 if full:
-                    yield from chunk.arrow(block_rows, names)
+                    yield from chunk.arrow(block_rows)
                     chunk = _Chunk()
-        if chunk.folded:
-            yield from chunk.arrow(block_rows, names)
+        if chunk.idents:
+            yield from chunk.arrow(block_rows)
 
-    return there.mapInArrow(run, f"id {key_type}, folded string, kind string, term string, ids array<{key_type}>")
+    key_type = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "folded").mapInArrow(run, f"kind string, term string, ids array<{key_type}>")
 
 
 def _bucket(kind: Column, term: Column) -> Column:
@@ -218,16 +206,20 @@ class TextIndex:
 
     def add(self, rows: DataFrame, key: str, text: str, batch: int = 0) -> None:
         """Index the rows of a batch; the same batch again replaces itself."""
-        built = pin(posting_blocks(rows, key, text), "folded")
-        blocks = built.filter("kind IS NOT NULL").select("kind", "term", "ids").withColumn("bucket", _bucket(F.col("kind"), F.col("term")))
-        # ranges over term and first row: a frequent term is cut like any other
-        laid = blocks.withColumn("first", F.col("ids")[0]).repartitionByRange("bucket", "kind", "term", "first")
-        laid = laid.sortWithinPartitions("bucket", "kind", "term", "first").drop("first")
-        laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
-        counts = blocks.groupBy("bucket", "kind", "term").agg(F.sum(F.size("ids")).alias("rows"))
-        counts = counts.repartition("bucket").sortWithinPartitions("bucket", "kind", "term")
-        counts.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/frequencies/batch={batch}")
-        built.select("id", "folded").filter("folded IS NOT NULL").write.mode("overwrite").parquet(f"{self.path}/texts/batch={batch}")
+        there = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
+        folded = there.select("id", fold("text").alias("folded"))
+        place = f"{self.path}/texts/batch={batch}"
+        folded.write.mode("overwrite").option("compression", "zstd").parquet(place)
+        texts = self.spark.read.schema(folded.schema).parquet(place)
+        # every task lays out its own blocks: a frequent term has some in each, and none is dealt out
+        blocks = posting_blocks(texts).withColumn("bucket", _bucket(F.col("kind"), F.col("term")))
+        place = f"{self.path}/postings/batch={batch}"
+        laid = blocks.sortWithinPartitions("bucket", "kind", "term")
+        laid.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(place)
+        stored = self.spark.read.schema(blocks.schema).parquet(place)
+        counts = stored.select("kind", "term", F.size("ids").cast("long").alias("rows"), "bucket")
+        counts = counts.coalesce(BUCKETS).sortWithinPartitions("bucket", "kind", "term")
+        counts.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/frequencies/batch={batch}")
 
     def _read(self, name: str, *fields: StructField) -> DataFrame:
         schema = StructType([*fields, StructField("batch", LongType())])
@@ -246,7 +238,7 @@ class TextIndex:
         return rows.filter((F.col("kind") == kind) & wanted)
 
     def frequencies(self, kind: str, terms: Sequence[str]) -> dict[str, int]:
-        """How many rows have each of a query's terms: one number for each."""
+        """How many rows have each of a query's terms: one number for each, from those of its blocks."""
         fields = [StructField(c, StringType()) for c in ("kind", "term")]
         rows = self._read("frequencies", *fields, StructField("rows", LongType()), StructField("bucket", IntegerType()))
         found = self._of(rows, kind, terms).groupBy("term").agg(F.sum("rows").alias("rows"))
@@ -270,6 +262,8 @@ class TextIndex:
         """``(id, folded)`` of the newest texts, of the rows found in them."""
         texts = self.texts()
         if found is not None:
+            # written first: the texts are not dealt out to find a few of them
+            found = pin(found, "found")
             texts = texts.join(found.select("id").distinct(), "id", "left_semi")
         newest = texts.groupBy("id").agg(F.max(F.struct("batch", "folded")).alias("n")).select("id", "n.batch", "n.folded")
         if found is not None:

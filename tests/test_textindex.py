@@ -110,13 +110,21 @@ def test_batches_replace_themselves_and_earlier_texts(spark):
 @pytest.mark.parametrize("chunk, most", [(40, 3), (1 << 20, 1024)])
 def test_postings_travel_in_blocks_of_many_rows(spark, corpus, chunk, most):
     texts = corpus | {400 + k: "the \x00\x00 \U0001d518𠀀𠀁 end" for k in range(60)} | {500: "z\x00\x00"}
-    rows = textindex.posting_blocks(frame(spark, texts).coalesce(1), "doc_id", "text", chunk, most).collect()
     folded = {k: fold_text(text) for k, text in texts.items() if text is not None}
-    assert {r["id"]: r["folded"] for r in rows if r["kind"] is None} == folded
-    blocks = [r for r in rows if r["kind"] is not None]
+    rows = spark.createDataFrame(list(folded.items()), "id long, folded string").coalesce(1)
+    blocks = textindex.posting_blocks(rows, chunk, most).collect()
     found = [(r["kind"], r["term"], k) for r in blocks for k in r["ids"]]
     wanted = [(kind, term, k) for k, text in folded.items() for kind, term in textindex.terms_of(text)]
     assert sorted(found) == sorted(wanted)
-    assert all(0 < len(r["ids"]) <= most and r["id"] is None for r in blocks)
-    if chunk > len(wanted):  # a term's row was sent for every text
+    assert all(0 < len(r["ids"]) <= most for r in blocks)
+    if chunk > len(wanted):
         assert len(blocks) == len({(kind, term) for kind, term, _ in wanted}) < len(wanted) / 4
+
+
+def test_an_index_keeps_a_row_for_many_postings(spark, corpus, index):
+    """Every posting was a row of its own, dealt out and sorted by its term."""
+    wanted = [(kind, term) for text in corpus.values() if text is not None for kind, term in textindex.terms_of(fold_text(text))]
+    rows = spark.read.parquet(f"{index.path}/postings")
+    assert rows.count() < len(wanted) / 4
+    counts = spark.read.parquet(f"{index.path}/frequencies").groupBy("kind", "term").agg(textindex.F.sum("rows").alias("n")).collect()
+    assert {(r["kind"], r["term"]): r["n"] for r in counts} == {pair: wanted.count(pair) for pair in set(wanted)}
