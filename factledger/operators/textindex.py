@@ -36,6 +36,8 @@ CHUNK_TERMS = 1 << 20
 CHUNK_CHARS = 1 << 24
 BLOCK_ROWS = 1024
 BATCH_BLOCKS = 1 << 14
+#: Characters of the texts that one task lays out; each writes a file below every bucket.
+TASK_CHARS = 1 << 26
 _TERMS = "array<struct<kind: string, term: string>>"
 
 
@@ -212,13 +214,14 @@ class TextIndex:
         folded.write.mode("overwrite").option("compression", "zstd").parquet(place)
         texts = self.spark.read.schema(folded.schema).parquet(place)
         # every task lays out its own blocks: a frequent term has some in each, and none is dealt out
-        blocks = posting_blocks(texts).withColumn("bucket", _bucket(F.col("kind"), F.col("term")))
+        chars = texts.agg(F.sum(F.char_length("folded"))).first()[0] or 0
+        blocks = posting_blocks(texts.coalesce(1 + chars // TASK_CHARS)).withColumn("bucket", _bucket(F.col("kind"), F.col("term")))
         place = f"{self.path}/postings/batch={batch}"
         laid = blocks.sortWithinPartitions("bucket", "kind", "term")
         laid.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(place)
         stored = self.spark.read.schema(blocks.schema).parquet(place)
-        counts = stored.select("kind", "term", F.size("ids").cast("long").alias("rows"), "bucket")
-        counts = counts.coalesce(BUCKETS).sortWithinPartitions("bucket", "kind", "term")
+        counts = stored.select("bucket", "kind", "term", F.size("ids").cast("long").alias("rows")).repartition("bucket")
+        counts = counts.groupBy("bucket", "kind", "term").agg(F.sum("rows").alias("rows")).sortWithinPartitions("bucket", "kind", "term")
         counts.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/frequencies/batch={batch}")
 
     def _read(self, name: str, *fields: StructField) -> DataFrame:
@@ -238,7 +241,7 @@ class TextIndex:
         return rows.filter((F.col("kind") == kind) & wanted)
 
     def frequencies(self, kind: str, terms: Sequence[str]) -> dict[str, int]:
-        """How many rows have each of a query's terms: one number for each, from those of its blocks."""
+        """How many rows have each of a query's terms: one number for each."""
         fields = [StructField(c, StringType()) for c in ("kind", "term")]
         rows = self._read("frequencies", *fields, StructField("rows", LongType()), StructField("bucket", IntegerType()))
         found = self._of(rows, kind, terms).groupBy("term").agg(F.sum("rows").alias("rows"))
